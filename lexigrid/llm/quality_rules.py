@@ -36,14 +36,14 @@ class Bands:
     whole: tuple[tuple[int, float, float], ...] = (
         (128, 0.30, 1.05),
         (256, 0.22, 0.95),
-        (512, 0.20, 0.88),
-        (1024, 0.18, 0.82),
-        (4096, 0.15, 0.78),
-        (32768, 0.12, 0.76),
-        (262144, 0.08, 0.76),
+        (512, 0.20, 0.80),
+        (1024, 0.18, 0.74),
+        (4096, 0.15, 0.70),
+        (32768, 0.12, 0.70),
+        (262144, 0.08, 0.70),
     )
     chunk_bytes: int = 4096
-    chunk: tuple[float, float] = (0.15, 0.78)
+    chunk: tuple[float, float] = (0.15, 0.70)
     bad_share: float = 0.5
     level: int = 3
 

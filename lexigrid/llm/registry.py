@@ -5,23 +5,56 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import read
+from .cover_search import topk_search
+from .ngram_join import jaccard_components
 from .quality_rules import rate_documents
 from .sentencepiece_codec import digest_documents
+from .source_mix import mix_documents
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest_documents(read(spark, sf_dir, "documents"))
 
 
+def op8_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk_search(read(spark, sf_dir, "embeddings"))
+
+
+def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = mix_documents(read(spark, sf_dir, "documents").select("doc_id", "source"))
+    return placed.select(F.col("row.doc_id").alias("doc_id"), F.col("row.source").alias("source"), "block", "round", "slot", "release", "deadline", "place")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_documents(read(spark, sf_dir, "documents"))
 
 
+QUERIES = (op4_ngram_join, op7_sentencepiece, op8_cover_tree, op9_source_mix, op10_quality_rules)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op7_sentencepiece": op7_sentencepiece, "op10_quality_rules": op10_quality_rules}
+    return {f.__name__: f for f in QUERIES}
+
+
+OP8_SQL = """
+WITH v AS (
+  SELECT DISTINCT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_inner_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 100 = 0 AND b.vec_id <> a.vec_id AND len(a.q) = len(b.q)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_cover_tree": OP8_SQL}
