@@ -31,7 +31,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def with_facts(rows: DataFrame, facts: DataFrame, use: Callable[[Iterator], Iterator[pa.RecordBatch]], schema: str, packed: bool = False) -> DataFrame:
     """use() gets (doc, tag, id, bytes, {kind: int64 array of (start, stop)}) for each row, in order of documents.
 
-    rows: doc, tag, id and text, or body if packed (compressed bytes). A row without facts gets an empty dict.
+    rows: doc, tag, id and text, or body if packed, which is then handed on as it is. A row without facts gets an empty dict.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,14 +47,13 @@ def with_facts(rows: DataFrame, facts: DataFrame, use: Callable[[Iterator], Iter
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return use(_documents(batches))
+        return use(_documents(batches, bytes if packed else zstandard.ZstdDecompressor().decompress))
 
     return both.repartition("doc", "tag").sortWithinPartitions("doc", "tag", "kind", "start").mapInArrow(run, schema)
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+def _documents(batches: Iterator[pa.RecordBatch], expand: Callable[[bytes], bytes]) -> Iterator[tuple]:
     """The facts of a document stand before its bodies (of which repeated rows have several)."""
-    expand = zstandard.ZstdDecompressor().decompress
     key, waiting, facts = None, [], {}
     for batch in batches:
         doc, tag, kind, start, stop = (column(batch, c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("doc", "tag", "kind", "start", "stop"))

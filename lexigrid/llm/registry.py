@@ -13,6 +13,7 @@ from .ngram_join import jaccard_components
 from .quality_rules import rate_documents
 from .sentencepiece_codec import digest_documents
 from .source_mix import mix_documents
+from .suffix_dedup import dedup_substrings
 from .window_dedup import dedup_windows
 
 
@@ -20,6 +21,11 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
 
+def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = dedup_substrings(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_window_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_windows(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -41,7 +47,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = (op4_ngram_join, op6_window_dedup, op7_sentencepiece, op8_cover_tree, op9_source_mix, op10_quality_rules)
+QUERIES = (op4_ngram_join, op5_suffix_array, op6_window_dedup, op7_sentencepiece, op8_cover_tree, op9_source_mix, op10_quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
