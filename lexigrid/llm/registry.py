@@ -7,16 +7,31 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, stored
 from .cover_search import topk_search
+from .hmm_scoring import score_documents as score_language
 from .ngram_join import jaccard_components
 from .quality_rules import rate_documents
 from .sentencepiece_codec import digest_documents
 from .source_mix import mix_documents
 from .suffix_dedup import dedup_substrings
+from .token_counts import count_lengths, length_table
+from .toxicity import score_documents as score_toxicity
 from .window_dedup import dedup_windows
 
 
+def op1_hmm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_language(read(spark, sf_dir, "documents"))
+
+
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return length_table(stored(count_lengths(read(spark, sf_dir, "documents")), "lengths"))
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(read(spark, sf_dir, "documents"))
 
@@ -47,7 +62,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rate_documents(read(spark, sf_dir, "documents"))
 
 
-QUERIES = (op4_ngram_join, op5_suffix_array, op6_window_dedup, op7_sentencepiece, op8_cover_tree, op9_source_mix, op10_quality_rules)
+QUERIES = (op1_hmm, op2_token_counts, op3_toxicity, op4_ngram_join, op5_suffix_array, op6_window_dedup, op7_sentencepiece, op8_cover_tree, op9_source_mix, op10_quality_rules)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
