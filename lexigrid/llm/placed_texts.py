@@ -17,33 +17,41 @@ from pyspark.sql import functions as F
 from .common import column, encode
 
 LAST = 2**63 - 1
-DOC = "doc long, tag long, id long"
-FACT = "doc long, tag long, kind int, start long, stop long"
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, tag, id, text; null texts are empty."""
+def keyed(docs: DataFrame, id_col: str, text_col: str, carry: list[str] | None = None) -> DataFrame:
+    """doc, tag, row, text; null texts are empty. row: the columns to carry along (the id alone if not given)."""
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    number = docs[id_col].cast("long")
-    return docs.select(F.coalesce(number, F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tag"), number.alias("id"), text.alias("text"))
+    return docs.select(F.coalesce(docs[id_col].cast("long"), F.lit(LAST)).alias("doc"), F.xxhash64(text).alias("tag"), F.struct(*(docs[c] for c in carry or [id_col])).alias("row"), text.alias("text"))
+
+
+def row_type(rows: DataFrame) -> str:
+    """The type of row, for the schemas of functions that hand it on."""
+    return rows.schema["row"].dataType.simpleString()
+
+
+def row_array(rows: list[pa.Scalar]) -> pa.Array:
+    return pa.array([r.as_py() for r in rows], rows[0].type)
 
 
 def with_facts(rows: DataFrame, facts: DataFrame, use: Callable[[Iterator], Iterator[pa.RecordBatch]], schema: str, packed: bool = False) -> DataFrame:
-    """use() gets (doc, tag, id, bytes, {kind: int64 array of (start, stop)}) for each row, in order of documents.
+    """use() gets (doc, tag, row, bytes, {kind: int64 array of (start, stop)}) for each row, in order of documents; row is
+    a scalar of Arrow's.
 
-    rows: doc, tag, id and text, or body if packed, which is then handed on as it is. A row without facts gets an empty dict.
+    rows: doc, tag, row and text, or body if packed, which is then handed on as it is. A row without facts gets an empty dict.
     """
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             body = pa.array([compress(encode(t.as_py())) for t in column(batch, "text")], pa.binary())
-            yield pa.RecordBatch.from_arrays([column(batch, "doc"), column(batch, "tag"), column(batch, "id"), body], ["doc", "tag", "id", "body"])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc"), column(batch, "tag"), column(batch, "row"), body], ["doc", "tag", "row", "body"])
 
-    bodies = rows.select("doc", "tag", "id", "body") if packed else rows.mapInArrow(pack, f"{DOC}, body binary")
+    kind = rows.schema["row"].dataType
+    bodies = rows.select("doc", "tag", "row", "body") if packed else rows.mapInArrow(pack, f"doc long, tag long, row {kind.simpleString()}, body binary")
     null = F.lit(None)
-    both = facts.select("doc", "tag", "kind", "start", "stop", null.cast("long").alias("id"), null.cast("binary").alias("body")).unionByName(
-        bodies.select("doc", "tag", F.lit(LAST >> 32).cast("int").alias("kind"), null.cast("long").alias("start"), null.cast("long").alias("stop"), "id", "body")
+    both = facts.select("doc", "tag", "kind", "start", "stop", null.cast(kind).alias("row"), null.cast("binary").alias("body")).unionByName(
+        bodies.select("doc", "tag", F.lit(LAST >> 32).cast("int").alias("kind"), null.cast("long").alias("start"), null.cast("long").alias("stop"), "row", "body")
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +65,7 @@ def _documents(batches: Iterator[pa.RecordBatch], expand: Callable[[bytes], byte
     key, waiting, facts = None, [], {}
     for batch in batches:
         doc, tag, kind, start, stop = (column(batch, c).fill_null(0).to_numpy(zero_copy_only=False) for c in ("doc", "tag", "kind", "start", "stop"))
-        bodies, ids = column(batch, "body"), column(batch, "id")
+        bodies, carried = column(batch, "body"), column(batch, "row")
         at = 0
         for k in np.flatnonzero(bodies.is_valid().to_numpy(zero_copy_only=False)).tolist():
             if k > at:
@@ -65,7 +73,7 @@ def _documents(batches: Iterator[pa.RecordBatch], expand: Callable[[bytes], byte
             now = (int(doc[k]), int(tag[k]))
             if now != key:
                 key, facts, waiting = now, _by_kind(waiting), []
-            yield *now, ids[k].as_py(), expand(bodies[k].as_py()), facts
+            yield *now, carried[k], expand(bodies[k].as_py()), facts
             at = k + 1
         if at < len(doc):
             waiting.append((kind[at:], start[at:], stop[at:]))

@@ -22,8 +22,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, stored
-from .placed_texts import keyed, runs_of, with_facts
+from .common import column, discard, stored
+from .placed_texts import keyed, row_array, row_type, runs_of, with_facts
 from .shingles import prefix_hash, slices, window_hash
 from .suffix_sort import common_prefixes, sort_suffixes
 
@@ -140,22 +140,26 @@ def _copies(rows: DataFrame) -> DataFrame:
     return found.distinct().select("doc", "tag", "kind", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"))
 
 
-PIECES = "kind int, doc long, tag long, id long, h long, many int, start long, windows int, body binary"
+PIECES = "kind int, doc long, tag long, h long, many int, start long, windows int, body binary"
 TEXT, PIECE = 0, 1
 
 
 def _pieces(cells, key: int, length: int):
     """For each document its compressed text with its runs of open strings, and the pieces that hold them."""
 
+    row_kind: list[pa.DataType] = []
+
     def rows(found: list[tuple]) -> pa.RecordBatch:
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)], [x.split()[0] for x in PIECES.split(", ")])
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
+        carried = pa.array([None if r[8] is None else r[8].as_py() for r in found], row_kind[0])
+        return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in found], kind) for k, kind in enumerate(kinds)), carried], [*(x.split()[0] for x in PIECES.split(", ")), "row"])
 
     def use(documents):
         table = cells.value
         compress = zstandard.ZstdCompressor(level=3).compress
         texts, pieces, size = [], {}, 0
-        for doc, tag, number, raw, facts in documents:
+        for doc, tag, row, raw, facts in documents:
+            row_kind[:] = [row.type]
             n = len(raw)
             repeated = n >= length and (COPY in facts or REPEATED in facts)
             runs = np.array([(0, n - length + 1)] if repeated else [], np.int64).reshape(-1, 2)
@@ -178,13 +182,13 @@ def _pieces(cells, key: int, length: int):
                         body = raw[a + x : a + y - 1 + length]
                         known = pieces.get(body)
                         if known is None:
-                            pieces[body] = (PIECE, doc, tag, None, int(h[place[x]].view(np.int64)), int(repeated), a + x, y - x, body)
+                            pieces[body] = (PIECE, doc, tag, int(h[place[x]].view(np.int64)), int(repeated), a + x, y - x, body, None)
                             size += len(body) + 100
-                        elif known[5] == 0 and (known[1], known[2], known[6]) != (doc, tag, a + x):
-                            pieces[body] = (*known[:5], 1, *known[6:])
+                        elif known[4] == 0 and (known[1], known[2], known[5]) != (doc, tag, a + x):
+                            pieces[body] = (*known[:4], 1, *known[5:])
                 if not repeated:
                     runs = np.stack(runs_of(open_), 1).astype(np.int64)
-            texts.append((TEXT, doc, tag, number, 0, 0, 0, 0, len(runs).to_bytes(8, "little") + runs.tobytes() + compress(raw)))
+            texts.append((TEXT, doc, tag, 0, 0, 0, 0, len(runs).to_bytes(8, "little") + runs.tobytes() + compress(raw), row))
             size += len(raw) // 2
             if size > 1 << 24:
                 yield rows(texts + list(pieces.values()))
@@ -239,7 +243,7 @@ def _cut_out(length: int):
     def use(documents):
         expand = zstandard.ZstdDecompressor().decompress
         rows, size = [], 0
-        for _, _, number, body, facts in documents:
+        for _, _, row, body, facts in documents:
             m = int.from_bytes(body[:8], "little")
             runs = np.frombuffer(body[8 : 8 + 16 * m], np.int64).reshape(m, 2)
             raw = expand(body[8 + 16 * m :])
@@ -257,7 +261,7 @@ def _cut_out(length: int):
             gone = np.cumsum(edge[:-1]) > 0
             spans = np.stack(runs_of(gone), 1)
             kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
-            rows.append((number, len(raw), int(gone.sum()), spans.tolist(), kept))
+            rows.append((row, len(raw), int(gone.sum()), spans.tolist(), kept))
             size += len(raw)
             if size > 1 << 22 or len(rows) >= 4096:
                 yield _rows(rows)
@@ -269,9 +273,24 @@ def _cut_out(length: int):
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
+    kinds = (pa.int64(), pa.int64(), pa.list_(pa.list_(pa.int64())), pa.binary())
     digests = pa.array([hashlib.sha256(r[4]).hexdigest() for r in rows], pa.string())
-    return pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)), digests], ["id", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
+    return pa.RecordBatch.from_arrays([row_array([r[0] for r in rows]), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds, 1)), digests], ["row", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
+
+
+def _dedup(docs: DataFrame, length: int, key: int, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    if not 8 <= key <= length:
+        raise ValueError("the key must be shorter than the strings")
+    rows = keyed(docs, id_col, text_col, carry)
+    cells = docs.sparkSession.sparkContext.broadcast(_counters(rows, key, length))
+    facts = stored(_single_keys(_keys(rows, cells, key, length)).unionByName(_copies(rows)), "keys")
+    found = stored(with_facts(rows, facts, _pieces(cells, key, length), f"{PIECES}, row {row_type(rows)}"), "pieces")
+    discard(facts)
+    pieces = found.where(f"kind = {PIECE}").select("h", "doc", "tag", "many", "start", "windows", "body")
+    single = stored(pieces.repartition("h").sortWithinPartitions("h").mapInArrow(_single_strings(length), "doc long, tag long, start long, stop long"), "strings")
+    single = single.select("doc", "tag", F.lit(SINGLE).alias("kind"), "start", "stop")
+    texts = found.where(f"kind = {TEXT}").select("doc", "tag", "row", "body")
+    return with_facts(texts, single, _cut_out(length), f"row {row_type(rows)}, n_bytes long, n_removed long, spans array<array<long>>, kept binary, kept_sha256 string", packed=True)
 
 
 def dedup_substrings(docs: DataFrame, length: int = 200, key: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -284,15 +303,18 @@ def dedup_substrings(docs: DataFrame, length: int = 200, key: int = 100, id_col:
     Rows with equal texts repeat each other, whether their ids are equal, different or null. An empty table gives an
     empty result; other columns are not read.
     """
-    if not 8 <= key <= length:
-        raise ValueError("the key must be shorter than the strings")
-    rows = keyed(docs, id_col, text_col)
-    cells = docs.sparkSession.sparkContext.broadcast(_counters(rows, key, length))
-    facts = stored(_single_keys(_keys(rows, cells, key, length)).unionByName(_copies(rows)), "keys")
-    found = stored(with_facts(rows, facts, _pieces(cells, key, length), PIECES), "pieces")
-    pieces = found.where(f"kind = {PIECE}").select("h", "doc", "tag", "many", "start", "windows", "body")
-    single = pieces.repartition("h").sortWithinPartitions("h").mapInArrow(_single_strings(length), "doc long, tag long, start long, stop long")
-    single = single.select("doc", "tag", F.lit(SINGLE).alias("kind"), "start", "stop")
-    texts = found.where(f"kind = {TEXT}").select("doc", "tag", "id", "body")
-    out = with_facts(texts, single, _cut_out(length), "id long, n_bytes long, n_removed long, spans array<array<long>>, kept binary, kept_sha256 string", packed=True)
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_bytes", "n_removed", "spans", "kept", "kept_sha256")
+    out = _dedup(docs, length, key, id_col, text_col, [id_col])
+    return out.select(F.col("row")[id_col].alias(id_col), "n_bytes", "n_removed", "spans", "kept", "kept_sha256")
+
+
+def without_repeats(docs: DataFrame, length: int = 200, key: int = 100, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
+    """docs, all its columns, with the texts that dedup_substrings() leaves and, if there is such a column, their lengths.
+
+    A character of which some byte stays is dropped with the removed ones, so texts stay valid UTF-8. Null texts become
+    empty ones.
+    """
+    out = _dedup(docs, length, key, id_col, text_col, [c for c in docs.columns if c != text_col])
+    text = F.decode(F.col("kept"), "UTF-8")
+    text = F.regexp_replace(text, "\ufffd", "") if True else text
+    made = {text_col: text.alias(text_col), chars_col: F.length(text).cast(docs.schema[chars_col].dataType).alias(chars_col) if chars_col in docs.columns else None}
+    return out.select(*(made[c] if made.get(c) is not None else F.col("row")[c].alias(c) for c in docs.columns))

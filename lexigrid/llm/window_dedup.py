@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, stored
-from .placed_texts import covered, keyed, with_facts
+from .placed_texts import covered, keyed, row_array, row_type, with_facts
 from .shingles import join_hashes, slices, word_hashes
 
 #: Words of the windows gathered before repeated ones among them are sent once.
@@ -163,8 +163,8 @@ def dedup_windows(docs: DataFrame, window: int = 20, start: int = 10, id_col: st
         facts = stored(facts, "single")
         found = with_facts(rows, facts, _next_windows(levels[:k], length, window), WINDOWS)
         facts = facts.unionByName(_facts(found, 0 if length == window else length, length == window))
-    out = with_facts(rows, facts, _apply(levels[:-1], window), "id long, n_words long, n_removed long, kept string, kept_sha256 string")
-    return out.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), "n_words", "n_removed", "kept", "kept_sha256")
+    out = with_facts(rows, facts, _apply(levels[:-1], window), f"row {row_type(rows)}, n_words long, n_removed long, kept string, kept_sha256 string")
+    return out.select(F.col("row")[id_col].alias(id_col), "n_words", "n_removed", "kept", "kept_sha256")
 
 
 def _survivors(raw: bytes, facts: dict, levels: list[int], window: int) -> Survivors:
@@ -195,13 +195,13 @@ def _next_windows(levels: list[int], length: int, window: int):
 def _apply(levels: list[int], window: int):
     def use(documents):
         rows, size = [], 0
-        for _, _, number, raw, facts in documents:
+        for _, _, row, raw, facts in documents:
             words = raw.split()
             s = _survivors(raw, facts, levels, window)
             later = np.setdiff1d(s.alive, facts[0][:, 0] if 0 in facts else [])
             gone = covered(len(words), later, window)
             kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
-            rows.append((number, len(words), int(gone.sum()), kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest()))
+            rows.append((row, len(words), int(gone.sum()), kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest()))
             size += len(kept)
             if size > 1 << 22 or len(rows) >= 4096:
                 yield _rows(rows)
@@ -213,5 +213,5 @@ def _apply(levels: list[int], window: int):
 
 
 def _rows(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["id", "n_words", "n_removed", "kept", "kept_sha256"])
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([row_array([r[0] for r in rows]), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds, 1))], ["row", "n_words", "n_removed", "kept", "kept_sha256"])
