@@ -239,7 +239,7 @@ def _single_strings(length: int):
     return run
 
 
-def _cut_out(length: int):
+def _cut_out(length: int, whole_characters: bool):
     def use(documents):
         expand = zstandard.ZstdDecompressor().decompress
         rows, size = [], 0
@@ -260,7 +260,11 @@ def _cut_out(length: int):
                 np.add.at(edge, b - 1 + length, -1)
             gone = np.cumsum(edge[:-1]) > 0
             spans = np.stack(runs_of(gone), 1)
-            kept = np.frombuffer(raw, np.uint8)[~gone].tobytes()
+            data = np.frombuffer(raw, np.uint8)
+            if whole_characters and m:
+                character = np.cumsum((data & 0xC0) != 0x80)
+                gone = np.isin(character, character[gone])
+            kept = data[~gone].tobytes()
             rows.append((row, len(raw), int(gone.sum()), spans.tolist(), kept))
             size += len(raw)
             if size > 1 << 22 or len(rows) >= 4096:
@@ -278,7 +282,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([row_array([r[0] for r in rows]), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds, 1)), digests], ["row", "n_bytes", "n_removed", "spans", "kept", "kept_sha256"])
 
 
-def _dedup(docs: DataFrame, length: int, key: int, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+def _dedup(docs: DataFrame, length: int, key: int, id_col: str, text_col: str, carry: list[str], whole_characters: bool = False) -> DataFrame:
     if not 8 <= key <= length:
         raise ValueError("the key must be shorter than the strings")
     rows = keyed(docs, id_col, text_col, carry)
@@ -290,7 +294,7 @@ def _dedup(docs: DataFrame, length: int, key: int, id_col: str, text_col: str, c
     single = stored(pieces.repartition("h").sortWithinPartitions("h").mapInArrow(_single_strings(length), "doc long, tag long, start long, stop long"), "strings")
     single = single.select("doc", "tag", F.lit(SINGLE).alias("kind"), "start", "stop")
     texts = found.where(f"kind = {TEXT}").select("doc", "tag", "row", "body")
-    return with_facts(texts, single, _cut_out(length), f"row {row_type(rows)}, n_bytes long, n_removed long, spans array<array<long>>, kept binary, kept_sha256 string", packed=True)
+    return with_facts(texts, single, _cut_out(length, whole_characters), f"row {row_type(rows)}, n_bytes long, n_removed long, spans array<array<long>>, kept binary, kept_sha256 string", packed=True)
 
 
 def dedup_substrings(docs: DataFrame, length: int = 200, key: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,11 +314,9 @@ def dedup_substrings(docs: DataFrame, length: int = 200, key: int = 100, id_col:
 def without_repeats(docs: DataFrame, length: int = 200, key: int = 100, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """docs, all its columns, with the texts that dedup_substrings() leaves and, if there is such a column, their lengths.
 
-    A character of which some byte stays is dropped with the removed ones, so texts stay valid UTF-8. Null texts become
-    empty ones.
+    A character of which a byte is removed goes as a whole, so texts stay valid UTF-8. Null texts become empty ones.
     """
-    out = _dedup(docs, length, key, id_col, text_col, [c for c in docs.columns if c != text_col])
-    text = F.decode(F.col("kept"), "UTF-8")
-    text = F.regexp_replace(text, "\ufffd", "") if True else text
+    out = _dedup(docs, length, key, id_col, text_col, [c for c in docs.columns if c != text_col], whole_characters=True)
+    text = F.col("kept").cast("string")
     made = {text_col: text.alias(text_col), chars_col: F.length(text).cast(docs.schema[chars_col].dataType).alias(chars_col) if chars_col in docs.columns else None}
     return out.select(*(made[c] if made.get(c) is not None else F.col("row")[c].alias(c) for c in docs.columns))
