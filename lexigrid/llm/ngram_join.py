@@ -6,9 +6,10 @@ T(n, m) = ceil(num * (n + m) / (num + den)) for a threshold of num / den.
 1. Texts with equal shingle sets are one class; only classes are searched.
 2. A fixed-size table of counters orders shingles by frequency (a total order; its quality affects speed
    only). A class posts its n - ceil(n * num / den) + 1 rarest shingles: two linked classes share one.
-3. Posting lists meet in a shuffle. First each list pairs its members with one of them (a hub); classes that
-   turn out to be linked count as one component from then on. Then the pairs of a list whose components
-   differ follow, if sizes and positions allow the overlap. All copies of one text thus cost a pair each.
+3. Posting lists meet in a shuffle. First each list pairs its members with one of them (a hub), the same one in
+   lists of much the same members; then, twice, those in other components than most with a hub of their list's own. A pair
+   each for most copies of one text, and no list emits all its pairs. What is left are the members of a list whose
+   components still differ: those pairs follow if sizes, places and parity bits allow the overlap.
 4. Pairs are checked by DivideSkip: candidates of a query get inverted lists; the short lists of the query's
    shingles are merged with a heap, and candidates that occur often enough are looked up in the long lists
    by binary search.
@@ -29,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, stored
+from .common import column, discard, mix, stored
 from .components import components
 from .shingles import shingle_sets
 
@@ -40,8 +41,10 @@ SHIFT = np.uint64(64 - 20)
 BLOOM_BITS = 1 << 26
 #: Candidates that are checked together against one query.
 GROUP = 128
-#: Hub rounds go on while lists hold more than this many open pairs per entry.
-HUB_ROUNDS, OPEN = 4, 4
+#: Rounds with hubs before the pairs that they leave open, whatever the lists look like.
+HUB_ROUNDS = 3
+#: Bits that hold the parity of a set's shingles: where two differ, the sets do.
+PARITY = 1024
 #: Weight of the long lists, as in the DivideSkip paper.
 MU = 0.0085
 
@@ -85,21 +88,25 @@ def _signature(h: np.ndarray) -> tuple[int, int]:
     return int(a), int(b)
 
 
+def parity(h: np.ndarray) -> bytes:
+    return np.packbits(np.bincount((h >> np.uint64(24) & np.uint64(PARITY - 1)).astype(np.int64), minlength=PARITY) & 1).tobytes()
+
+
 def _sets(docs: DataFrame, id_col: str, text: str, k: int, num: int, den: int, order) -> DataFrame:
     """n, signature and posted shingles (rarest first) of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells = order.value
         for batch in batches:
-            n, one, two, posted = [], [], [], []
+            n, one, two, posted, bits = [], [], [], [], []
             for _, h in shingle_sets(column(batch, text), k):
                 a, b = _signature(h)
                 keep = len(h) - -(-num * len(h) // den) + 1 if len(h) else 0
                 rank = np.argsort(cells[h >> SHIFT], kind="stable")[:keep]
-                n.append(len(h)), one.append(a), two.append(b), posted.append(h[rank].tobytes())
-            yield pa.RecordBatch.from_arrays([column(batch, id_col).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(posted, pa.binary())], ["id", "n", "s1", "s2", "posted"])
+                n.append(len(h)), one.append(a), two.append(b), posted.append(h[rank].tobytes()), bits.append(parity(h))
+            yield pa.RecordBatch.from_arrays([column(batch, id_col).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(posted, pa.binary()), pa.array(bits, pa.binary())], ["id", "n", "s1", "s2", "posted", "bits"])
 
-    return docs.select(id_col, text).mapInArrow(run, "id long, n int, s1 long, s2 long, posted binary")
+    return docs.select(id_col, text).mapInArrow(run, "id long, n int, s1 long, s2 long, posted binary, bits binary")
 
 
 def _entries(classes: DataFrame) -> DataFrame:
@@ -141,82 +148,107 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[
         yield [np.concatenate(x) for x in zip(*kept, strict=True)]
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of lists with two members at least."""
-    names = ["h", "node", "n", "pos"]
-    for cols in _runs(batches, names):
-        h = cols[0]
-        same = h[1:] == h[:-1]
-        keep = np.zeros(len(h), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        if keep.any():
-            yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names)
-
-
-def _hub_pairs(n, node, pos, root, num, den) -> list[tuple[int, int]]:
-    """Members (by size) with the first of those whose size fits; members of the hub's component need no check."""
-    out, hub = [], 0
-    for j in range(1, len(n)):
-        if den * n[hub] < num * n[j]:
-            hub = j
-        elif root[hub] != root[j]:
-            out.append((node[hub], node[j]))
-    return out
+def _shared(num: int, den: int):
+    """Entries (sorted by shingle and size) whose list has a member next to them that their size allows; in lists
+    of two, that their places allow too."""
 
-
-def _open_pairs(n, node, pos, root, num, den) -> Iterator[tuple[int, np.ndarray]]:
-    """(query, candidates) for members of different components whose sizes and places allow the overlap.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["h", "node", "n", "pos"]
+        for cols in _runs(batches, names):
+            h, _, n, pos = (c.astype(np.int64) for c in cols)
+            if len(h) < 2:
+                continue
+            same = h[1:] == h[:-1]
+            fits = same & (den * n[:-1] >= num * n[1:])
+            edge = np.concatenate([[False], same, [False]])
+            two = same & ~edge[:-2] & ~edge[2:]
+            rest = 1 + np.minimum(n[:-1] - pos[:-1], n[1:] - pos[1:]) - 1
+            fits &= ~two | (rest * (num + den) >= num * (n[:-1] + n[1:]))
+            keep = np.zeros(len(h), bool)
+            keep[1:] |= fits
+            keep[:-1] |= fits
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], names)
+
+    return run
+
+
+def _hub_pairs(n: np.ndarray, node: np.ndarray, root: np.ndarray, salt: int, num: int, den: int) -> Iterator[np.ndarray]:
+    """Rows (hub, member) for each band of sizes that fit each other: the hub is of the component that most members are in,
+    the member of another one."""
+    low = 0
+    while low < len(n):
+        high = int(np.searchsorted(n, n[low] * den // num, "right"))
+        own, nodes = root[low:high], node[low:high]
+        if high - low > 1 and (own != own[0]).any():
+            order = mix(nodes.astype(np.uint64) ^ np.uint64(salt))
+            _, inverse, counts = np.unique(own, return_inverse=True, return_counts=True)
+            most = inverse == counts.argmax() if counts.max() > 1 else np.ones(len(own), bool)
+            hub = np.flatnonzero(most)[order[most].argmin()]
+            others = nodes[own != own[hub]]
+            yield np.stack([np.full(len(others), nodes[hub]), others], 1)
+        low = high
+
+
+def _open_pairs(n: np.ndarray, node: np.ndarray, pos: np.ndarray, root: np.ndarray, bits: np.ndarray, num: int, den: int) -> Iterator[np.ndarray]:
+    """Rows (query, candidate) for members of different components whose sizes, places and parities allow the overlap.
 
     The queries are taken from the smaller components of the list, and each pair comes once.
     """
     _, inverse, counts = np.unique(root, return_inverse=True, return_counts=True)
-    weight = counts[inverse]
-    done = np.zeros(len(n), bool)
-    for i in np.lexsort((node, weight)):
-        done[i] = True
-        small, large = np.minimum(n, n[i]), np.maximum(n, n[i])
-        rest = 1 + np.minimum(n - pos - 1, n[i] - pos[i] - 1)
-        ok = ~done & (root != root[i]) & (den * small >= num * large) & (rest * (num + den) >= num * (n + n[i]))
-        if ok.any():
-            yield node[i], node[ok]
-
-
-def _pairs(lists: DataFrame, roots: DataFrame | None, hubs: bool, num: int, den: int) -> DataFrame:
-    """Distinct pairs q, c of the lists."""
+    place = np.empty(len(counts), np.int64)
+    place[np.argsort(counts, kind="stable")] = np.arange(len(counts))
+    rank = place[inverse]
+    for i in np.flatnonzero(rank < len(counts) - 1):
+        both, small, large = n + n[i], np.minimum(n, n[i]), np.maximum(n, n[i])
+        rest = 1 + np.minimum(n - pos, n[i] - pos[i]) - 1
+        ok = np.flatnonzero((rank > rank[i]) & (den * small >= num * large) & (rest * (num + den) >= num * both))
+        apart = np.bitwise_count(bits[ok] ^ bits[i]).sum(1, dtype=np.int64)
+        ok = ok[apart <= both[ok] + 2 * (-num * both[ok] // (num + den))]
+        if len(ok):
+            yield np.stack([np.full(len(ok), node[i]), node[ok]], 1)
+
+
+def _pairs(lists: DataFrame, turn: int | None, num: int, den: int) -> DataFrame:
+    """Distinct pairs q, c of the lists (with root): of a hub round, or without a turn all that are open (with bits)."""
     names = ["h", "n", "node", "pos", "root"]
-    rooted = _rooted(lists, roots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def packed(found):
-            both = np.unique(np.concatenate(found).reshape(-1, 2), axis=0)
+        def packed():
+            both = np.unique(np.concatenate(found), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["q", "c"])
 
         found, size = [], 0
-        for cols in _runs(batches, names):
+        for cols in _runs(batches, names if turn is not None else [*names, "bits"]):
             cuts = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
             for a, b in zip([0, *cuts], [*cuts, len(cols[0])], strict=True):
-                n, node, pos, root = (c[a:b].astype(np.int64) for c in cols[1:])
-                if b - a < 2 or (root == root[0]).all():
+                if b - a < 2:
                     continue
-                if hubs:
-                    if got := _hub_pairs(n, node, pos, root, num, den):
-                        found.append(np.array(got, np.int64))
-                        size += len(got)
+                n, node, pos, root = (c[a:b].astype(np.int64) for c in cols[1:5])
+                if (root == root[0]).all():
+                    continue
+                if turn is None:
+                    bits = np.frombuffer(b"".join(cols[5][a:b]), np.uint64).reshape(b - a, -1)
+                    made = _open_pairs(n, node, pos, root, bits, num, den)
                 else:
-                    for q, c in _open_pairs(n, node, pos, root, num, den):
-                        found.append(np.stack([np.full(len(c), q), c], 1))
-                        size += len(c)
-                        if size > 200_000:
-                            yield packed(found)
-                            found, size = [], 0
+                    salt = int(mix(np.array([cols[0][a] + turn], np.int64).view(np.uint64))[0]) if turn else 0
+                    made = _hub_pairs(n, node, root, salt, num, den)
+                for rows in made:
+                    found.append(rows)
+                    size += len(rows)
                 if size > 200_000:
-                    yield packed(found)
+                    yield packed()
                     found, size = [], 0
         if found:
-            yield packed(found)
+            yield packed()
+
+    return lists.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(run, "q long, c long").distinct()
 
-    return rooted.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(run, "q long, c long").distinct()
+
+def _open_lists(lists: DataFrame) -> DataFrame:
+    """The lists (with root) that have members of several components."""
+    several = lists.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("h")
+    return lists.join(several, "h", "left_semi")
 
 
 def _rooted(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -225,14 +257,6 @@ def _rooted(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
     return lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _open_share(lists: DataFrame, roots: DataFrame | None) -> float:
-    """Pairs of list members in different components, per entry."""
-    by_root = _rooted(lists, roots).groupBy("h", "root").agg(F.count("*").alias("m"))
-    by_list = by_root.groupBy("h").agg(F.sum("m").cast("double").alias("k"), F.sum(F.col("m").cast("double") * F.col("m")).alias("own"))
-    entries, pairs = by_list.agg(F.sum("k"), F.sum((F.col("k") * F.col("k") - F.col("own")) / 2)).first()
-    return (pairs or 0.0) / (entries or 1.0)
-
-
 def _wanted_sets(docs: DataFrame, id_col: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
     """node and shingles of the wanted classes (node, s1, s2, rep), read again from their texts."""
     bits = 1 << 16
@@ -354,25 +378,49 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     """
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(_counters(docs, text_col, k))
-    rows = stored(_sets(docs, id_col, text_col, k, num, den, order), "sets")
-    grouped = rows.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("posted").alias("posted"))
+    posted = stored(_sets(docs, id_col, text_col, k, num, den, order), "sets")
+    grouped = posted.where("n > 0").groupBy("s1", "s2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("posted").alias("posted"), F.first("bits").alias("bits"))
     classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
-    lists = stored(_entries(classes).repartition("h").sortWithinPartitions("h").mapInArrow(_shared, "h long, node long, n int, pos int"), "lists")
-    wanted = lists.select("node").distinct().join(classes.select("node", "s1", "s2", "rep"), "node")
+    rows = stored(posted.select("id", "n", "s1", "s2"), "rows")
+    discard(posted)
+    lists = stored(_entries(classes).repartition("h").sortWithinPartitions("h", "n").mapInArrow(_shared(num, den), "h long, node long, n int, pos int"), "lists")
+    names = stored(classes.select("node", "s1", "s2", "rep"), "names")
+    bits = stored(classes.select("node", "bits"), "bits")
+    discard(classes)
+    wanted = lists.select("node").distinct().join(names, "node")
     sets = stored(_wanted_sets(docs, id_col, text_col, k, stored(wanted, "wanted")), "items")
 
-    links = roots = None
-    for turn in range(HUB_ROUNDS + 1):
-        hubs = turn == 0 or (turn < HUB_ROUNDS and _open_share(lists, roots) > OPEN)
-        found = _check(_pairs(lists, roots, hubs, num, den), sets, num, den)
-        links = stored(found if links is None else links.unionByName(found), "links")
-        roots = stored(components(links), "roots")
-        if not hubs:
-            break
-    labels = classes.select("node", "s1", "s2", "rep").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    links, roots = None, None
+    for turn in (*range(HUB_ROUNDS), None):
+        rooted = _open_lists(_rooted(lists, roots)) if turn != 0 else _rooted(lists, roots)
+        pairs = stored(_pairs(rooted if turn is not None else rooted.join(bits, "node"), turn, num, den), "pairs")
+        if pairs.isEmpty():
+            continue
+        found = stored(_check(pairs, sets, num, den), "links")
+        links = found if links is None else links.unionByName(found)
+        if not found.isEmpty():
+            roots = stored(components(links), "roots")
+    if roots is None:
+        roots = spark.createDataFrame([], "node long, root long")
+    labels = names.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labels.groupBy("root").agg(F.min("rep").alias("least"))
     named = labels.join(least, "root").select(F.col("s1").alias("l1"), F.col("s2").alias("l2"), "least")
     out = rows.where("n > 0").join(named, (F.col("s1") == F.col("l1")) & (F.col("s2") == F.col("l2")), "left")
     kind = docs.schema[id_col].dataType
     picked = lambda df, c: df.select(F.col("id").cast(kind).alias(id_col), F.col("n").cast("long").alias("n_shingles"), c.cast(kind).alias("component_id"))
     return picked(out, F.col("least")).unionByName(picked(rows.where("n = 0"), F.col("id")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, all their columns, of which each stands for its component: the one of smallest id.
+
+    Rows without shingles all stay. Of repeated rows (same id and text) one stays. Rows without an id come after
+    those with one.
+    """
+    number, tag = "__number", "__tag"
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    late = F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62))
+    named = docs.withColumn(tag, F.xxhash64(text)).withColumn(number, F.coalesce(docs[id_col].cast("long"), late))
+    found = jaccard_components(named, id_col=number, text_col=text_col, **options)
+    first = found.where(F.col(number) == F.col("component_id")).select(number).distinct()
+    return named.join(first, number, "left_semi").dropDuplicates([number, tag]).select(docs.columns)

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lexigrid.llm.ngram_join import divide_skip, jaccard_components, need
+from lexigrid.llm.ngram_join import divide_skip, jaccard_components, need, one_of_each
 
 SCHEMA = "doc_id long, text string, node string, n int"
 
@@ -63,3 +63,11 @@ def test_divide_skip(seed):
     q = np.unique(rnd.integers(0, 60, 50).astype(np.uint64))
     expected = [i for i, s in enumerate(sets) if len(np.intersect1d(q, s)) >= need(len(q), len(s), 75, 100)]
     assert sorted(divide_skip(q, sets, 75, 100)) == expected
+
+
+def test_one_of_each(spark):
+    a, b = "one two three four five six seven eight nine ten eleven twelve", "quite another text of some length that has no friend here"
+    rows = [(5, a, "k", 1), (3, a.upper(), "k", 2), (9, b, None, None), (9, b, None, None), (None, a, None, None), (None, None, "x", 0), (2, "", "y", 0)]
+    out = one_of_each(spark.createDataFrame(rows, SCHEMA))
+    assert out.columns == ["doc_id", "text", "node", "n"]
+    assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(3, a.upper(), "k", 2), (9, b, None, None), (None, None, "x", 0), (2, "", "y", 0)], key=str)

@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from lexigrid.llm.suffix_dedup import dedup_substrings
+from lexigrid.llm.suffix_dedup import dedup_substrings, without_repeats
 from lexigrid.llm.suffix_sort import common_prefixes, sort_suffixes
 
 SCHEMA = "doc_id long, text string, kept string, n_bytes int"
@@ -69,3 +69,13 @@ def test_edges(spark):
     rows = [(None, None, None, None), (1, "", None, None), (2, "x" * 199, None, None), (3, "x" * 199, "k", 1), (None, long, None, None), (4, long[:400] + "ß" + long[600:], None, None), (5, long[50:251], None, None), (5, long[50:251], None, None)]
     assert run(spark, rows) == brute(rows, 200)
     assert run(spark, []) == []
+
+
+def test_texts_without_repeats(spark):
+    rnd = random.Random(9)
+    part = "".join(rnd.choice("aéß ") for _ in range(150))
+    rows = [(1, "x" + part + "y", "k", 1), (2, "éé" + part, None, None), (None, None, "n", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string, n_chars int")
+    out = {r["doc_id"]: r for r in without_repeats(docs).collect()}
+    assert out[1].asDict() == {"doc_id": 1, "text": "xy", "kept": "k", "n_chars": 2}
+    assert out[2]["text"] == "éé" and out[None].asDict() == {"doc_id": None, "text": "", "kept": "n", "n_chars": 0}
