@@ -1,10 +1,15 @@
-"""The corpus pipeline: quality rules, near duplicates, repeated passages, source mix, tokens."""
+"""The corpus pipeline: quality rules, near duplicates, repeated passages, source mix, token ids."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from lexigrid.llm.ngram_join import one_of_each
 from lexigrid.llm.quality_rules import keep_documents
+from lexigrid.llm.sentencepiece_codec import encode_documents
+from lexigrid.llm.source_mix import in_mix_order
+from lexigrid.llm.suffix_dedup import without_repeats
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,11 +17,34 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_documents(docs)
 
 
-STAGES = [("quality", quality)]
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays."""
+    return one_of_each(docs)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that stand elsewhere too are cut out of the texts; all documents stay."""
+    return without_repeats(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, in the order in which the sources take turns."""
+    return in_mix_order(docs)
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Ids of every text, with their number."""
+    return encode_documents(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("repeated_passages", repeated_passages), ("mix", mix), ("token_ids", token_ids)]
+
+#: SQL has no zstandard and no SentencePiece; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other over the table documents; each works on what the one before left."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
