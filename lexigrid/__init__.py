@@ -1,0 +1 @@
+"""Retrieval, evaluation and ingestion of document collections with Spark."""

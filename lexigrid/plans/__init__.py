@@ -1,11 +1,16 @@
-"""Registered queries: thin plans over the operators, with their DuckDB counterparts."""
+"""Registered queries: plans over the operators, with their DuckDB counterparts."""
 
 from __future__ import annotations
 
+from . import record_queries, search_queries
+
+TABLE = search_queries.SEARCH | record_queries.RECORDS
+flagship = search_queries.search_flagship
+
 
 def queries():
-    return {}
+    return {name: run for name, (run, _) in TABLE.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for name, (_, sql) in TABLE.items() if sql}
