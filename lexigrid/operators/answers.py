@@ -85,9 +85,14 @@ def read_answer(raw: str | None) -> dict:
     return {"code": "", "summary": _text(answer.get("summary")), "factors": factors[:FACTORS], "limitations": _texts(answer.get("limitations")), "citations": list(dict.fromkeys(_texts(data.get("citations"))))}
 
 
-@F.pandas_udf(ANSWER)
-def parse_answer(raw: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([read_answer(x) for x in raw], columns=["code", "summary", "factors", "limitations", "citations"])
+def parse_answer(raw: Column) -> Column:
+    """read_answer() of a column, as a struct."""
+
+    @F.pandas_udf(ANSWER)
+    def parse(batch: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([read_answer(x) for x in batch], columns=["code", "summary", "factors", "limitations", "citations"])
+
+    return parse(raw)
 
 
 def ground(answers: DataFrame) -> DataFrame:
@@ -97,7 +102,7 @@ def ground(answers: DataFrame) -> DataFrame:
     said among the limitations, as are few citations and none.
     """
     known = lambda ids: F.array_distinct(F.filter(ids, lambda x: F.array_contains(F.col("allowed"), x)))
-    out = answers.withColumn("a", parse_answer("raw")).select("*", "a.*")
+    out = answers.withColumn("a", parse_answer(F.col("raw"))).select("*", "a.*")
     out = out.withColumn("cited", F.slice(known(F.concat("citations", F.flatten(F.transform("factors", lambda f: f["citations"])))), 1, CITATIONS))
     out = out.withColumn("spare", F.slice(F.when(F.size("cited") > 0, F.col("cited")).otherwise(F.array_sort("allowed")), 1, BACKFILL))
     mended = F.transform("factors", lambda f: F.struct(f["rank"].alias("rank"), f["normalized_name"].alias("normalized_name"), f["aliases"].alias("aliases"), f["confidence"].alias("confidence"), truncated(f["rationale"], RATIONALE).alias("rationale"), F.when(F.size(known(f["citations"])) > 0, known(f["citations"])).otherwise(F.col("spare")).alias("citations")))

@@ -49,9 +49,9 @@ def upsert_latest(batch: DataFrame, path: str, keys: list[str], order: str) -> N
     """
     spark = batch.sparkSession
     fs_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
-    pointer = fs_path(f"{path}/_version")
+    pointer = fs_path(f"{path}/current.txt")
     fs = pointer.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    version = int(spark.read.text(f"{path}/_version").first()[0]) if fs.exists(pointer) else -1
+    version = int(spark.read.text(f"{path}/current.txt").first()[0]) if fs.exists(pointer) else -1
     both = batch if version < 0 else spark.read.parquet(f"{path}/v{version}").unionByName(batch)
     n = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))
     both.withColumn("_n", n).where("_n = 1").drop("_n").write.mode("overwrite").parquet(f"{path}/v{version + 1}")
@@ -63,7 +63,7 @@ def upsert_latest(batch: DataFrame, path: str, keys: list[str], order: str) -> N
 
 
 def read_latest(spark, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/v{int(spark.read.text(f'{path}/_version').first()[0])}")
+    return spark.read.parquet(f"{path}/v{int(spark.read.text(f'{path}/current.txt').first()[0])}")
 
 
 def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
