@@ -8,7 +8,7 @@ from ..functions import dates, status, text
 from ..operators import answers, evaluation, ingest, ranking, schedules
 from ..streaming import jobs
 from . import search_queries as search
-from .search_queries import _BOTH, _CAND, table
+from .search_queries import _CAND, table
 
 
 def rankings(spark, sf_dir):

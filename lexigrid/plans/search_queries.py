@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, text
-from ..functions.vectors import cosine
 from ..operators import assembly, chunking, ranking, retrieval
 from ..sources import readers
 
