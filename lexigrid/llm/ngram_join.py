@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import column, discard, mix, stored
 from .components import components
+from .placed_texts import whole_runs
 from .shingles import shingle_sets
 
 #: Counters of the frequency order, and the parts in which they are summed.
@@ -129,32 +130,13 @@ def _entries(classes: DataFrame) -> DataFrame:
     return classes.select("node", "n", "posted").mapInArrow(run, "h long, node long, n int, pos int")
 
 
-def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[np.ndarray]]:
-    """Columns cut so that equal values of the first one (sorted) stay together."""
-    kept: list[list[np.ndarray]] = []
-    for batch in batches:
-        now = [column(batch, c).to_numpy(zero_copy_only=False) for c in names]
-        if not len(now[0]):
-            continue
-        last = np.searchsorted(now[0], now[0][-1])
-        if last == 0 and kept and kept[-1][0][-1] == now[0][0]:
-            kept.append(now)
-            continue
-        whole = [np.concatenate(x) for x in zip(*kept, [c[:last] for c in now], strict=True)] if kept or last else None
-        if whole is not None and len(whole[0]):
-            yield whole
-        kept = [[c[last:] for c in now]]
-    if kept:
-        yield [np.concatenate(x) for x in zip(*kept, strict=True)]
-
-
 def _shared(num: int, den: int):
     """Entries (sorted by shingle and size) whose list has a member next to them that their size allows; in lists
     of two, that their places allow too."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["h", "node", "n", "pos"]
-        for cols in _runs(batches, names):
+        for cols in whole_runs(batches, names):
             h, _, n, pos = (c.astype(np.int64) for c in cols)
             if len(h) < 2:
                 continue
@@ -219,11 +201,17 @@ def _pairs(lists: DataFrame, turn: int | None, num: int, den: int) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["q", "c"])
 
         found, size = [], 0
-        for cols in _runs(batches, names if turn is not None else [*names, "bits"]):
-            cuts = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(cols[0])], strict=True):
-                if b - a < 2:
-                    continue
+        for cols in whole_runs(batches, names if turn is not None else [*names, "bits"]):
+            begin = np.concatenate([[0], np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1])
+            sizes = np.diff(np.append(begin, len(cols[0])))
+            long = sizes > 2 if turn is not None else sizes > 1
+            if turn is not None:  # lists of two need no hub
+                a = begin[sizes == 2]
+                a = a[(cols[4][a] != cols[4][a + 1]) & (den * cols[1][a].astype(np.int64) >= num * cols[1][a + 1].astype(np.int64))]
+                if len(a):
+                    found.append(np.stack([cols[2][a], cols[2][a + 1]], 1))
+                    size += len(a)
+            for a, b in zip(begin[long].tolist(), (begin + sizes)[long].tolist(), strict=True):
                 n, node, pos, root = (c[a:b].astype(np.int64) for c in cols[1:5])
                 if (root == root[0]).all():
                     continue

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, discard, stored
-from .placed_texts import keyed, row_array, row_type, runs_of, with_facts
+from .placed_texts import ASKED, COPY, REPEATED, Asking, copies, keyed, repeated_places, row_array, row_type, runs_of, with_facts
 from .shingles import prefix_hash, slices, window_hash
 from .suffix_sort import common_prefixes, sort_suffixes
 
@@ -32,8 +32,8 @@ CELLS, PARTS = 1 << 20, 64
 SEGMENT = 1 << 20
 #: Bytes of pieces whose suffixes are sorted together.
 BLOCK = 1 << 20
-#: Kinds of facts.
-COPY, REPEATED, SINGLE = 1, 2, 3
+#: Kinds of facts: places of keys that are repeated, and runs of strings that are single.
+KEY, SINGLE = 3, 4
 
 
 def segments(n: int, length: int) -> Iterator[tuple[int, int]]:
@@ -47,10 +47,14 @@ def key_hashes(data: np.ndarray, key: int) -> np.ndarray:
     return window_hash(prefix_hash(data), at, at + key)
 
 
+def commonness(cells: np.ndarray) -> np.ndarray:
+    """Log-scaled counts of the cells, in the upper bits."""
+    return np.minimum(64 * np.log2(1.0 + cells), 16383).astype(np.uint64) << np.uint64(50)
+
+
 def choose(h: np.ndarray, cells: np.ndarray, span: int) -> np.ndarray:
-    """For each run of `span` keys: the place of the rarest one. Log-scaled counts, then hashes, then places."""
-    rarity = np.minimum(64 * np.log2(1.0 + cells), 16383).astype(np.uint64)[h >> np.uint64(44)]
-    v = (rarity << np.uint64(50)) | ((h & np.uint64((1 << 26) - 1)) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
+    """For each run of `span` keys: the place of the least common one, then by hashes, then by places."""
+    v = cells[h >> np.uint64(44)] | ((h & np.uint64((1 << 26) - 1)) << np.uint64(24)) | np.arange(len(h), dtype=np.uint64)
     size = 1
     while 2 * size <= span:
         v = np.minimum(v[:-size], v[size:])
@@ -90,21 +94,11 @@ def _counters(rows: DataFrame, key: int, length: int) -> np.ndarray:
 
 
 def _keys(rows: DataFrame, cells, key: int, length: int) -> DataFrame:
-    """The keys of each batch once: h, many, doc, tag, pos (of the only one, if there is one)."""
-
-    def send(parts):
-        h, doc, tag, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.argsort(h, kind="stable")
-        at = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
-        many = np.diff(np.append(at, len(h))) > 1
-        keep = order[at]
-        back = np.argsort(keep, kind="stable")
-        keep = keep[back]
-        return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(many[back].astype(np.int32)), pa.array(doc[keep]), pa.array(tag[keep]), pa.array(pos[keep])], ["h", "many", "doc", "tag", "pos"])
+    """What each task asks about the keys of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = cells.value
-        parts, size = [], 0
+        out = Asking(places=True)
         for batch in batches:
             docs, tags = column(batch, "doc").to_numpy(), column(batch, "tag").to_numpy()
             for low, _, data, offsets in slices(column(batch, "text")):
@@ -114,30 +108,13 @@ def _keys(rows: DataFrame, cells, key: int, length: int) -> DataFrame:
                         if b - a >= length:
                             h = key_hashes(raw[a:b], key)
                             place = np.unique(choose(h, table, length - key + 1))
-                            parts.append((h[place], np.full(len(place), docs[low + row]), np.full(len(place), tags[low + row]), place + a))
-                            size += len(place)
-                if size > 500_000:
-                    yield send(parts)
-                    parts, size = [], 0
-        if parts:
-            yield send(parts)
-
-    return rows.select("doc", "tag", "text").mapInArrow(run, "h long, many int, doc long, tag long, pos long")
-
-
-def _single_keys(keys: DataFrame) -> DataFrame:
-    """Places of keys that stand nowhere else."""
-    alone = keys.groupBy("h").agg(F.count("*").alias("n"), F.max("many").alias("many"), F.max("doc").alias("doc"), F.max("tag").alias("tag"), F.max("pos").alias("pos")).where("n = 1 AND many = 0")
-    return alone.select("doc", "tag", F.lit(SINGLE).alias("kind"), F.col("pos").alias("start"), F.col("pos").alias("stop"))
-
+                            out.add(h[place], int(docs[low + row]), int(tags[low + row]), place + a)
+                if out.size > 500_000:
+                    yield out.send()
+        if out.size:
+            yield out.send()
 
-def _copies(rows: DataFrame) -> DataFrame:
-    """Of documents with equal texts: that one of them repeats, and that the others are its copies."""
-    more = F.xxhash64(F.lit(1), "text")
-    same = rows.select("doc", "tag", more.alias("more"), F.octet_length("text").alias("bytes"))
-    groups = same.groupBy("tag", "more", "bytes").agg(F.count("*").alias("n"), F.min("doc").alias("least")).where("n > 1")
-    found = same.join(groups, ["tag", "more", "bytes"]).select("doc", "tag", F.when(F.col("doc") == F.col("least"), REPEATED).otherwise(COPY).alias("kind"))
-    return found.distinct().select("doc", "tag", "kind", F.lit(0).cast("long").alias("start"), F.lit(0).cast("long").alias("stop"))
+    return rows.select("doc", "tag", "text").mapInArrow(run, ASKED)
 
 
 PIECES = "kind int, doc long, tag long, h long, many int, start long, windows int, body binary"
@@ -165,15 +142,14 @@ def _pieces(cells, key: int, length: int):
             runs = np.array([(0, n - length + 1)] if repeated else [], np.int64).reshape(-1, 2)
             if n >= length and COPY not in facts:
                 data = np.frombuffer(raw, np.uint8)
-                dead = facts[SINGLE][:, 0] if SINGLE in facts else np.zeros(0, np.int64)
+                live = facts[KEY][:, 0] if KEY in facts else np.zeros(0, np.int64)
                 open_ = np.zeros(n - length + 1, bool)
                 for a, b in segments(n, length):
                     h = key_hashes(data[a:b], key)
                     place = choose(h, table, length - key + 1)
-                    single = np.zeros(len(h), bool)
-                    own = dead[(dead >= a) & (dead < a + len(h))] - a
-                    single[own] = True
-                    alive = ~single[place]
+                    again = np.zeros(len(h), bool)
+                    again[live[(live >= a) & (live < a + len(h))] - a] = True
+                    alive = again[place]
                     open_[a : a + len(place)] = alive
                     # strings with the same key at the same place form one piece
                     cut = np.flatnonzero(alive & np.concatenate([[True], (place[1:] != place[:-1]) | ~alive[:-1]]))
@@ -286,8 +262,8 @@ def _dedup(docs: DataFrame, length: int, key: int, id_col: str, text_col: str, c
     if not 8 <= key <= length:
         raise ValueError("the key must be shorter than the strings")
     rows = keyed(docs, id_col, text_col, carry)
-    cells = docs.sparkSession.sparkContext.broadcast(_counters(rows, key, length))
-    facts = stored(_single_keys(_keys(rows, cells, key, length)).unionByName(_copies(rows)), "keys")
+    cells = docs.sparkSession.sparkContext.broadcast(commonness(_counters(rows, key, length)))
+    facts = stored(repeated_places(_keys(rows, cells, key, length), KEY).unionByName(copies(rows)), "keys")
     found = stored(with_facts(rows, facts, _pieces(cells, key, length), f"{PIECES}, row {row_type(rows)}"), "pieces")
     discard(facts)
     pieces = found.where(f"kind = {PIECE}").select("h", "doc", "tag", "many", "start", "windows", "body")

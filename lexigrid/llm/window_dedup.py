@@ -5,8 +5,9 @@ survivors are looked at on the next level, with windows of twice that length, un
 or none is left. The shorter window chosen is the one of least hash inside the longer one, so equal longer
 windows choose equal shorter ones, and about one in (window - length) / 2 of the shorter ones is sent at all.
 
-A level sends back what is not repeated (most documents' own words never go further). On the last level the
-first occurrence of each window goes back, and every other one is removed.
+A level sends back what is repeated (most documents' own words never go further). On the last level the first
+occurrence of each window goes back, and every other one is removed. Texts that equal an earlier one as a whole
+need no windows.
 """
 
 from __future__ import annotations
@@ -20,12 +21,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import column, stored
-from .placed_texts import covered, keyed, row_array, row_type, with_facts
+from .placed_texts import ASKED, COPY, Asking, copies, covered, first_places, keyed, repeated_places, row_array, row_type, with_facts
 from .shingles import join_hashes, slices, word_hashes
 
-#: Words of the windows gathered before repeated ones among them are sent once.
-GATHER = 1_000_000
-WINDOWS = "h long, many int, doc long, tag long, pos long"
+#: Windows gathered before equal ones among them are sent once, and the kind of the facts about first occurrences.
+GATHER, FIRST = 500_000, 0
 
 
 class Survivors:
@@ -44,38 +44,13 @@ class Survivors:
         inside = np.lib.stride_tricks.sliding_window_view(h ^ np.uint64(0x5851F42D4C957F2D), self.window - length + 1)[self.alive]
         return h, self.alive + inside.argmin(1)
 
-    def drop(self, length: int, single: np.ndarray) -> None:
+    def keep(self, length: int, repeated: np.ndarray) -> None:
         _, place = self.chosen(length)
-        self.alive = self.alive[~np.isin(place, single)]
-
-
-class Gather:
-    """Windows of many texts, of which equal ones are sent once: the first, and if there were more."""
-
-    def __init__(self):
-        self.parts, self.size = [], 0
-
-    def add(self, h: np.ndarray, doc: int, tag: int, pos: np.ndarray) -> None:
-        if len(h):
-            self.parts.append((h, np.full(len(h), doc, np.int64), np.full(len(h), tag, np.int64), pos.astype(np.int64)))
-            self.size += len(h)
-
-    def send(self) -> pa.RecordBatch:
-        h, doc, tag, pos = (np.concatenate(x) for x in zip(*self.parts, strict=True))
-        self.parts, self.size = [], 0
-        order = np.lexsort((tag, pos, doc, h))
-        first = np.ones(len(h), bool)
-        first[1:] = h[order][1:] != h[order][:-1]
-        at = np.flatnonzero(first)
-        many = np.diff(np.append(at, len(h))) > 1
-        keep = order[at]
-        back = np.argsort(keep, kind="stable")  # as they came: neighbours share their document, which packs well
-        keep = keep[back]
-        return pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(many[back].astype(np.int32)), pa.array(doc[keep]), pa.array(tag[keep]), pa.array(pos[keep])], ["h", "many", "doc", "tag", "pos"])
+        self.alive = self.alive[np.isin(place, repeated)]
 
 
 def _first_windows(batches: Iterator[pa.RecordBatch], window: int, length: int) -> Iterator[pa.RecordBatch]:
-    out = Gather()
+    out = Asking(places=length < window)
     for batch in batches:
         docs, tags = column(batch, "doc").to_numpy(), column(batch, "tag").to_numpy()
         for low, _, data, offsets in slices(column(batch, "text")):
@@ -86,57 +61,12 @@ def _first_windows(batches: Iterator[pa.RecordBatch], window: int, length: int)
                     h, place = s.chosen(length)
                     place = np.unique(place)
                     out.add(h[place], int(docs[low + row]), int(tags[low + row]), place)
-            if out.size > GATHER // 4:
+            if out.size > GATHER:
                 yield out.send()
     if out.size:
         yield out.send()
 
 
-def _single(batches: Iterator[pa.RecordBatch], last: bool) -> Iterator[pa.RecordBatch]:
-    """Of windows sorted by hash and place: those that are alone, or on the last level the first of each."""
-    carry = None  # the last run's first row, how many rows it has had, and if one of them stood for many
-    names = ["doc", "tag", "pos"]
-
-    def out(rows):
-        return pa.RecordBatch.from_arrays([pa.array(np.array([r[k] for r in rows], np.int64)) for k in range(3)], names)
-
-    for batch in batches:
-        h, many, doc, tag, pos = (column(batch, c).to_numpy() for c in ("h", "many", "doc", "tag", "pos"))
-        if not len(h):
-            continue
-        starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-        sizes = np.diff(np.append(starts, len(h)))
-        more = np.maximum.reduceat(many, starts) > 0
-        done = []
-        if carry is not None:
-            if carry[0] == h[0]:
-                carry = (carry[0], carry[1], carry[2] + int(sizes[0]), carry[3] or bool(more[0]))
-                starts, sizes, more = starts[1:], sizes[1:], more[1:]
-            if len(starts):
-                if last or (carry[2] == 1 and not carry[3]):
-                    done.append(carry[1])
-                carry = None
-        if len(starts):
-            k = starts[-1]
-            carry = (h[k], (int(doc[k]), int(tag[k]), int(pos[k])), int(sizes[-1]), bool(more[-1]))
-            pick = starts[:-1] if last else starts[:-1][(sizes[:-1] == 1) & ~more[:-1]]
-            yield pa.RecordBatch.from_arrays([pa.array(doc[pick]), pa.array(tag[pick]), pa.array(pos[pick])], names)
-        if done:
-            yield out(done)
-    if carry is not None and (last or (carry[2] == 1 and not carry[3])):
-        yield out([carry[1]])
-
-
-def _facts(windows: DataFrame, kind: int, last: bool) -> DataFrame:
-    """What a level sends back, as facts of its kind."""
-
-    def run(batches):
-        return _single(batches, last)
-
-    ranked = windows.repartition("h").sortWithinPartitions("h", "doc", "pos", "tag")
-    return ranked.mapInArrow(run, "doc long, tag long, pos long").select("doc", "tag", F.lit(kind).alias("kind"), F.col("pos").alias("start"), F.col("pos").alias("stop"))
-
-
 def dedup_windows(docs: DataFrame, window: int = 20, start: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Remove each word covered by a window of words that also starts earlier (in a document of smaller id, or
     earlier in the same one).
@@ -157,28 +87,34 @@ def dedup_windows(docs: DataFrame, window: int = 20, start: int = 10, id_col: st
     def begin(batches):
         return _first_windows(batches, window, start)
 
-    found = rows.select("doc", "tag", "text").mapInArrow(begin, WINDOWS)
-    facts = _facts(found, 0 if start == window else start, start == window)
+    found = rows.select("doc", "tag", "text").mapInArrow(begin, ASKED)
+    facts = copies(rows).unionByName(_answers(found, start, window))
     for k, length in enumerate(levels[1:], 1):
-        facts = stored(facts, "single")
-        found = with_facts(rows, facts, _next_windows(levels[:k], length, window), WINDOWS)
-        facts = facts.unionByName(_facts(found, 0 if length == window else length, length == window))
+        facts = stored(facts, "windows")
+        found = with_facts(rows, facts, _next_windows(levels[:k], length, window), ASKED)
+        facts = facts.unionByName(stored(_answers(found, length, window), "windows"))
     out = with_facts(rows, facts, _apply(levels[:-1], window), f"row {row_type(rows)}, n_words long, n_removed long, kept string, kept_sha256 string")
     return out.select(F.col("row")[id_col].alias(id_col), "n_words", "n_removed", "kept", "kept_sha256")
 
 
+def _answers(found: DataFrame, length: int, window: int) -> DataFrame:
+    return first_places(found, FIRST) if length == window else repeated_places(found, length)
+
+
 def _survivors(raw: bytes, facts: dict, levels: list[int], window: int) -> Survivors:
     s = Survivors(word_hashes(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), lower=False)[0], window)
     for length in levels:
-        if length in facts and len(s.alive):
-            s.drop(length, facts[length][:, 0])
+        if len(s.alive):
+            s.keep(length, facts[length][:, 0] if length in facts else np.zeros(0, np.int64))
     return s
 
 
 def _next_windows(levels: list[int], length: int, window: int):
     def use(documents):
-        out = Gather()
+        out = Asking(places=length < window)
         for doc, tag, _, raw, facts in documents:
+            if COPY in facts:
+                continue
             s = _survivors(raw, facts, levels, window)
             if len(s.alive):
                 h, place = s.chosen(length)
@@ -197,9 +133,12 @@ def _apply(levels: list[int], window: int):
         rows, size = [], 0
         for _, _, row, raw, facts in documents:
             words = raw.split()
-            s = _survivors(raw, facts, levels, window)
-            later = np.setdiff1d(s.alive, facts[0][:, 0] if 0 in facts else [])
-            gone = covered(len(words), later, window)
+            if COPY in facts:  # all its windows start earlier
+                gone = np.full(len(words), len(words) >= window)
+            else:
+                s = _survivors(raw, facts, levels, window)
+                later = np.setdiff1d(s.alive, facts[FIRST][:, 0] if FIRST in facts else [])
+                gone = covered(len(words), later, window)
             kept = b" ".join(w for w, g in zip(words, gone.tolist(), strict=True) if not g)
             rows.append((row, len(words), int(gone.sum()), kept.decode("utf-8", "surrogatepass"), hashlib.sha256(kept).hexdigest()))
             size += len(kept)
