@@ -41,7 +41,10 @@ def replay(events: DataFrame) -> DataFrame:
 
 
 def track(events: DataFrame, hours: int = 24) -> DataFrame:
-    """The same over a stream; a document without events for so many hours is forgotten if it isn't committed."""
+    """The same over a stream; a document without events for so many hours of event time is forgotten if it isn't committed.
+
+    Events that come later than that are dropped. Event time, as timeouts by the clock would start empty batches without end.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
@@ -56,10 +59,11 @@ def track(events: DataFrame, hours: int = 24) -> DataFrame:
             out.append(outcome)
         held.update(tuple(state))
         if state[0] != "committed":
-            held.setTimeoutDuration(hours * 3_600_000)
+            held.setTimeoutTimestamp(int(rows["at"].max().timestamp() * 1000) + hours * 3_600_000)
         yield rows.assign(outcome=out)[["doc_id", "action", "owner", "at", "outcome"]]
 
-    return events.select("doc_id", "action", "owner", "at").groupBy("doc_id").applyInPandasWithState(run, OUTCOME, "kind string, holder string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = events.select("doc_id", "action", "owner", "at").withWatermark("at", f"{hours} hours")
+    return rows.groupBy("doc_id").applyInPandasWithState(run, OUTCOME, "kind string, holder string", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def retained(jobs: DataFrame, hours: float, most: int, now_col: str = "now") -> DataFrame:
