@@ -17,6 +17,7 @@ import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import ahocorasick
 import pyarrow as pa
@@ -28,10 +29,12 @@ from .common import column, texts
 
 MARK = "▁"
 #: Most entries of the caches of a Python worker; segments have two generations of this size.
-CACHE = 400_000
-PAIRS = 1_000_000
+CACHE = 60_000
+PAIRS = 200_000
 #: Segments longer than this are not kept in the cache.
 CACHED_CHARS = 48
+#: Ids that are gathered before their texts are handed on.
+GATHER = 300_000
 
 
 class PrefixTableCodec:
@@ -173,7 +176,7 @@ class PrefixTableCodec:
             ids = cache.get(part) if at else None  # parts after a cut are cached under themselves, without a mark
             if ids is None:
                 ids = self.segment_ids(part)
-                if at and len(part) <= CACHED_CHARS:
+                if at and len(part) <= CACHED_CHARS and len(cache) < 2 * CACHE:
                     cache[part] = tuple(ids)
             out.extend(ids)
             at = k
@@ -272,8 +275,15 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(where)
         for batch in batches:
-            ids = [c.encode(t or "") for t in texts(batch, text_col)]
-            yield pa.RecordBatch.from_arrays([column(batch, id_col), pa.array(ids, pa.list_(pa.int32())), pa.array([c.decode(i) for i in ids], pa.string())], [id_col, "ids", "decoded"])
+            at, n, ids, decoded = 0, 0, [], []
+            for k, text in enumerate(texts(batch, text_col), 1):
+                found = c.encode(text or "")
+                ids.append(pa.array(found, pa.int32())), decoded.append(c.decode(found))
+                n += len(found)
+                if n >= GATHER or k == batch.num_rows:
+                    lengths = pa.array([0, *accumulate(map(len, ids))], pa.int32())
+                    yield pa.RecordBatch.from_arrays([column(batch, id_col)[at:k], pa.ListArray.from_arrays(lengths, pa.concat_arrays(ids)), pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
+                    at, n, ids, decoded = k, 0, [], []
 
     picked = docs.select(id_col, text_col)
     schema = T.StructType([picked.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType(), True)), T.StructField("decoded", T.StringType())])
