@@ -13,7 +13,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -165,8 +165,11 @@ class Words:
     def of(self, text: str | None) -> tuple[set[str], list[str]]:
         """Distinct restored words, and restored runs of spaced letters (which may hold several words)."""
         low = (text or "").lower()
-        found = {self.restored(w) for w in set(low.split())}
+        written, known = low.split(), self.cache.get
+        found = {known(w) or self.restored(w) for w in set(written)}
         found.discard("")
+        if b"\1\1\1" not in bytes(map((1).__eq__, map(len, written))):  # no three single characters in a row
+            return found, []
         return found, [self.restorer.decode(run[k : k + 96]) for run in SPACED.findall(low) if any(c.isalpha() for c in run) for k in range(0, len(run), 96)]
 
 
@@ -178,9 +181,15 @@ def features(word: str) -> list[str]:
 class Classifier:
     weights: dict[str, float]
     logit: np.ndarray
+    cache: dict[str, float] = field(default_factory=dict)
 
     def strength(self, word: str) -> float:
-        return max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
+        known = self.cache.get(word)
+        if known is None:
+            if len(self.cache) >= CACHE:
+                self.cache.clear()
+            known = self.cache[word] = max((self.weights.get(f, 0.0) for f in features(word)), default=0.0)
+        return known
 
     def signs(self, words: set[str], runs: list[str]) -> list[float]:
         """How strongly and how often a text shows what toxic texts show."""
