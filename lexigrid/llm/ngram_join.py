@@ -14,6 +14,8 @@ T(n, m) = ceil(num * (n + m) / (num + den)) for a threshold of num / den.
    shingles are merged with a heap, and candidates that occur often enough are looked up in the long lists
    by binary search.
 5. Connected components of the links, by shuffles.
+6. On demand, all links of every class are counted: each lies inside a component, so the classes of a component are dealt
+   into blocks, and the lists of one block are scanned for the sets of another. Only counts leave a pair of blocks.
 
 No pair, list or fingerprint goes through the driver but the counters and a Bloom filter, both of bounded size.
 """
@@ -46,6 +48,8 @@ GROUP = 128
 HUB_ROUNDS = 3
 #: Bits that hold the parity of a set's shingles: where two differ, the sets do.
 PARITY = 1024
+#: Classes, and shingles of them, in a block of a component whose links are counted.
+BLOCK, BLOCK_ITEMS = 512, 1 << 20
 #: Weight of the long lists, as in the DivideSkip paper.
 MU = 0.0085
 
@@ -356,6 +360,64 @@ def _check(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return asked.unionByName(candidates).repartition("q", "part").sortWithinPartitions("q", "part", "kind").mapInArrow(run, "a long, b long")
 
 
+def block_degrees(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many sets of the other block each set links with; without a right block, how many others of its own."""
+    sets = left if right is None else right
+    sizes = np.array([len(s) for s in sets], np.int64)
+    items, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(items, kind="stable")
+    items, owner = items[order], owner[order]
+    one, two = np.zeros(len(left), np.int64), np.zeros(len(sets), np.int64)
+    for i, query in enumerate(left):
+        low = np.searchsorted(items, query, "left")
+        length = np.searchsorted(items, query, "right") - low
+        at = np.repeat(low - np.cumsum(length) + length, length) + np.arange(length.sum())
+        overlap = np.bincount(owner[at], minlength=len(sets))
+        links = (overlap > 0) & (overlap * (num + den) >= num * (len(query) + sizes))
+        one[i] = links.sum() - (right is None)
+        two += links
+    return one, two
+
+
+def _degrees(roots: DataFrame, names: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """node and degree (the other classes that it links with) of all classes in components of several."""
+    sized = roots.join(names.select("node", "n"), "node")
+    shape = sized.groupBy("root").agg(F.count("*").alias("m"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int").alias("parts"))
+    members = roots.join(shape, "root")
+    dealt = members.where("m > 2").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(sets, "node")
+    faced = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = faced.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "items")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def count():
+            if not nodes[0]:
+                return
+            if key[1] == key[2]:
+                out.append((nodes[0], block_degrees(items[0], None, num, den)[0]))
+            elif nodes[1]:
+                out.extend(zip(nodes, block_degrees(items[0], items[1], num, den), strict=True))
+
+        def packed():
+            return pa.RecordBatch.from_arrays([pa.array([x for names, _ in out for x in names], pa.int64()), pa.array(np.concatenate([d for _, d in out]) if out else [], pa.int64())], ["node", "degree"])
+
+        key, nodes, items, out = None, ([], []), ([], []), []
+        for batch in batches:
+            blobs = column(batch, "items")
+            for row, (*now, side, node) in enumerate(zip(*(column(batch, x).to_pylist() for x in ("root", "low", "high", "side", "node")), strict=True)):
+                if now != key:
+                    count()
+                    key, nodes, items = now, ([], []), ([], [])
+                nodes[side].append(node), items[side].append(np.frombuffer(blobs[row].as_py(), np.uint64))
+            if out:
+                yield packed()
+                out = []
+        count()
+        yield packed()
+
+    counted = rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "side").mapInArrow(run, "node long, degree long")
+    return counted.unionByName(members.where("m = 2").select("node", F.lit(1).cast("long").alias("degree"))).groupBy("node").agg(F.sum("degree").alias("degree"))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id.
 
@@ -364,6 +426,20 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     over for the smallest id (null if there is no other). Repeated rows give repeated results; an empty table
     gives an empty one; other columns are not read.
     """
+    return _joined(docs, k, num, den, id_col, text_col, False)
+
+
+def jaccard_links(docs: DataFrame, k: int = 5, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """jaccard_components() with n_links: the other shingle sets of the table that the row's own links with, all of them.
+
+    Rows of equal shingle sets are one class: they have the same n_links, and no links to one another count. The time
+    may grow with the square of a component's classes, as the links do; the rows that are shuffled are the classes times the
+    blocks of their component.
+    """
+    return _joined(docs, k, num, den, id_col, text_col, True)
+
+
+def _joined(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col: str, counted: bool) -> DataFrame:
     spark = docs.sparkSession
     order = spark.sparkContext.broadcast(_counters(docs, text_col, k))
     posted = stored(_sets(docs, id_col, text_col, k, num, den, order), "sets")
@@ -372,7 +448,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
     rows = stored(posted.select("id", "n", "s1", "s2"), "rows")
     discard(posted)
     lists = stored(_entries(classes).repartition("h").sortWithinPartitions("h", "n").mapInArrow(_shared(num, den), "h long, node long, n int, pos int"), "lists")
-    names = stored(classes.select("node", "s1", "s2", "rep"), "names")
+    names = stored(classes.select("node", "s1", "s2", "rep", "n"), "names")
     bits = stored(classes.select("node", "bits"), "bits")
     discard(classes)
     wanted = lists.select("node").distinct().join(names, "node")
@@ -392,11 +468,14 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 75, den: int = 10
         roots = spark.createDataFrame([], "node long, root long")
     labels = names.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labels.groupBy("root").agg(F.min("rep").alias("least"))
-    named = labels.join(least, "root").select(F.col("s1").alias("l1"), F.col("s2").alias("l2"), "least")
+    if counted:
+        labels = labels.join(stored(_degrees(roots, names, sets, num, den), "degrees"), "node", "left")
+    n_links = [F.coalesce("degree", F.lit(0)).cast("long").alias("n_links")] if counted else []
+    named = labels.join(least, "root").select(F.col("s1").alias("l1"), F.col("s2").alias("l2"), "least", *n_links)
     out = rows.where("n > 0").join(named, (F.col("s1") == F.col("l1")) & (F.col("s2") == F.col("l2")), "left")
     kind = docs.schema[id_col].dataType
-    picked = lambda df, c: df.select(F.col("id").cast(kind).alias(id_col), F.col("n").cast("long").alias("n_shingles"), c.cast(kind).alias("component_id"))
-    return picked(out, F.col("least")).unionByName(picked(rows.where("n = 0"), F.col("id")))
+    picked = lambda df, c, *more: df.select(F.col("id").cast(kind).alias(id_col), F.col("n").cast("long").alias("n_shingles"), c.cast(kind).alias("component_id"), *more)
+    return picked(out, F.col("least"), *(["n_links"] if counted else [])).unionByName(picked(rows.where("n = 0"), F.col("id"), *([F.lit(0).cast("long").alias("n_links")] if counted else [])))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

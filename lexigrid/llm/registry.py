@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .common import read, stored
 from .cover_search import topk_search
 from .hmm_scoring import score_documents as score_language
-from .ngram_join import jaccard_components
+from .ngram_join import jaccard_links
 from .quality_rules import rate_documents
 from .sentencepiece_codec import digest_documents
 from .source_mix import mix_documents
@@ -33,7 +33,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_components(read(spark, sf_dir, "documents"))
+    return jaccard_links(read(spark, sf_dir, "documents"))
 
 
 def op5_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from lexigrid.llm.ngram_join import divide_skip, jaccard_components, need, one_of_each
+from lexigrid.llm.ngram_join import divide_skip, jaccard_components, jaccard_links, need, one_of_each
 
 SCHEMA = "doc_id long, text string, node string, n int"
 
@@ -71,3 +71,27 @@ def test_one_of_each(spark):
     out = one_of_each(spark.createDataFrame(rows, SCHEMA))
     assert out.columns == ["doc_id", "text", "node", "n"]
     assert sorted((tuple(r) for r in out.collect()), key=str) == sorted([(3, a.upper(), "k", 2), (9, b, None, None), (None, None, "x", 0), (2, "", "y", 0)], key=str)
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_counts_every_link(spark, monkeypatch, block):
+    monkeypatch.setattr("lexigrid.llm.ngram_join.BLOCK", block)
+    rnd = random.Random(5)
+    vocab = [f"w{i}" for i in range(90)]
+    base = [rnd.choices(vocab, k=60) for _ in range(4)]
+    rows = [(1, "a b c d e f g h", None, 0), (2, "a b c d e f g h i", None, 0), (3, None, None, 0), (4, "A b c d e f g h", None, 0), (5, "no friend", None, 0)]
+    for i in range(100):
+        w = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 2)):
+            w[rnd.randrange(len(w))] = rnd.choice(vocab)
+        rows.append((100 + i, " ".join(w), "clash", i))
+    sets = {}
+    for i, text, *_ in rows:
+        w = (text or "").lower().split()
+        sets[i] = frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset()
+    linked = lambda a, b: 100 * len(a & b) >= 75 * len(a | b)
+    expected = {i: sum(linked(a, b) for b in set(sets.values()) if b != a and b and a) for i, a in sets.items()}
+    assert max(expected.values()) > 9 and expected[1] == expected[2] == expected[4] == 1
+    out = jaccard_links(spark.createDataFrame(rows, SCHEMA))
+    assert {r["doc_id"]: r["n_links"] for r in out.collect()} == expected
+    assert sorted((tuple(r) for r in out.drop("n_links").collect()), key=str) == brute(rows)
