@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -11,12 +12,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import canonical_doi, first_nonblank, nonblank
-from ..functions.vectors import score
 
 #: Chunks fetched for each document asked for, and the most.
 OVERFETCH, MOST_CHUNKS = 8, 400
-#: Queries that a task holds beside its chunks; more of them are dealt into groups.
+#: Queries that a task holds beside its chunks; more of them are dealt into groups, each with a scan of the chunks.
 QUERY_GROUP = 2048
+#: Differences of vectors' numbers that a task holds at once.
+DIFFERENCES = 1 << 22
 FILTER_KEYS = ("doi", "disease", "source_type", "year", "year_min", "year_max")
 
 
@@ -52,15 +54,11 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, distance: str = "cosine",
     if k <= 0:
         return queries.sparkSession.createDataFrame([], "query_id long, point_id long, score double, rank int")
     pool = (chunks if where is None else chunks.where(where)).select("point_id", "vector")
-    rows = queries.select("query_id", "vector").orderBy("query_id").limit(QUERY_GROUP + 1).collect()
-    if len(rows) > QUERY_GROUP:  # too many to hold: pairs are scored by a join, with the partial limit of the window
-        pairs = pool.alias("c").join(queries.alias("q"), F.lit(True)).select("q.query_id", "c.point_id", F.round(score(F.col("q.vector"), F.col("c.vector"), distance), 9).alias("score"))
-        local = pairs
-    else:
-        ids = [r["query_id"] for r in rows]
-        q = np.array([r["vector"] for r in rows], float).reshape(len(rows), -1)
-        shared = queries.sparkSession.sparkContext.broadcast((ids, q))
-        point, kind = pool.schema["point_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+    context = queries.sparkSession.sparkContext
+    point, kind = pool.schema["point_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
+
+    def nearest(rows: list) -> DataFrame:
+        shared = context.broadcast(([r["query_id"] for r in rows], np.array([r["vector"] for r in rows], float).reshape(len(rows), -1 if rows else 0)))
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own, q = shared.value
@@ -71,7 +69,10 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, distance: str = "cosine",
                     continue
                 x = np.array(batch.vector.tolist(), float)
                 if distance == "euclid":
-                    s = -np.sqrt(np.maximum(((q[:, None, :] - x[None, :, :]) ** 2).sum(2), 0)) if len(own) * len(x) < 200_000 else -np.sqrt(np.maximum((q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2 * q @ x.T, 0))
+                    s = np.empty((len(q), len(x)))
+                    step = max(1, DIFFERENCES // max(1, x.size))
+                    for i in range(0, len(q), step):
+                        s[i : i + step] = -np.sqrt(((q[i : i + step, None, :] - x[None, :, :]) ** 2).sum(2))
                 else:
                     s = q @ x.T
                     if distance == "cosine":
@@ -90,7 +91,14 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, distance: str = "cosine",
             if kept is not None:
                 yield kept
 
-        local = pool.mapInPandas(best, f"query_id {kind}, point_id {point}, score double")
+        return pool.mapInPandas(best, f"query_id {kind}, point_id {point}, score double")
+
+    # one group of queries at a time passes through the driver
+    asked = queries.select("query_id", "vector").where("vector IS NOT NULL").orderBy("query_id").toLocalIterator()
+    groups = []
+    while (rows := list(islice(asked, QUERY_GROUP))) or not groups:
+        groups.append(nearest(rows))
+    local = reduce(DataFrame.unionByName, groups)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "point_id"))
     return local.where(F.col("score").isNotNull()).withColumn("rank", rank).where(F.col("rank") <= k)
 

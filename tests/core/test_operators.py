@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 
 import pytest
 from pyspark.errors import PySparkException
@@ -64,6 +65,20 @@ def candidates(spark, rows):
     return spark.createDataFrame(rows, "query_id long, chunk_id string, score double, chunk_text string, section string")
 
 
+@pytest.mark.parametrize("group", [2048, 16])
+def test_knn_euclid_copies_and_groups(spark, monkeypatch, group):
+    monkeypatch.setattr(retrieval, "QUERY_GROUP", group)
+    rnd = random.Random(2)
+    vectors = [[rnd.uniform(-1, 1) for _ in range(16)] for _ in range(3000)]
+    # copies in one large batch: 40 * 6000 pairs
+    c = spark.createDataFrame([(i + 9000 * copy, v) for copy in (1, 0) for i, v in enumerate(vectors)], "point_id long, vector array<double>").coalesce(1)
+    q = spark.createDataFrame([(i, vectors[i * 7]) for i in range(40)], "query_id long, vector array<double>")
+    out = retrieval.knn(q, c, 1, "euclid")
+    assert sorted((r["query_id"], r["point_id"], r["score"]) for r in out.collect()) == [(i, i * 7, 0.0) for i in range(40)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
 def test_rerank_orders(spark):
     q = spark.createDataFrame([(1, "deep clot")], "query_id long, question string")
     same = candidates(spark, [(1, "c1", 0.9, "deep clot", "Methods"), (1, "c2", 0.8, "deep clot", "Results")])
