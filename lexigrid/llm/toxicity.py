@@ -102,18 +102,20 @@ class Restorer:
     def decode(self, written: str) -> str:
         """Letters that the written characters most likely stand for."""
         costs, number = self.costs, self.number
-        ends: dict[tuple[int, int], tuple[float, str, str]] = {(0, 0): (0.0, "", "")}  # last two letters -> cost, letters, last character read
+        ends: dict[tuple[int, int], tuple[float, tuple | None, str]] = {(0, 0): (0.0, None, "")}  # last two letters -> cost, letters as a chain, last character read
+        first = next((k for k, c in enumerate(written) if c.isalnum()), len(written))
+        final = next((k for k in range(len(written) - 1, -1, -1) if written[k].isalnum()), -1)
         for at, c in enumerate(written):
             arcs: list[tuple[str, float]] = []
             if c.isalpha():
                 arcs.append((c, 0.0))
-            elif c.isdigit():
+            elif c.isalnum():
                 arcs.append((c, KEEP_SIGN))
             means = IMITATES.get(c, "")
             arcs += [(m, HIDE if len(means) > 2 else IMITATE) for m in means]
-            edge = all(not x.isalnum() for x in written[:at]) or all(not x.isalnum() for x in written[at + 1 :])
+            edge = first >= at or final <= at
             silent = (EDGE if edge and means else 0.0 if edge else DROP) if not c.isalnum() and (c in SEPARATORS or edge or not means) else None
-            now: dict[tuple[int, int], tuple[float, str, str]] = {}
+            now: dict[tuple[int, int], tuple[float, tuple | None, str]] = {}
             for (a, b), (cost, letters, last) in ends.items():
                 row = costs[a][b]
                 for m, extra in arcs:
@@ -121,23 +123,27 @@ class Restorer:
                     total = cost + extra + row[k]
                     key = (b, k)
                     if key not in now or total < now[key][0]:
-                        now[key] = (total, letters + m, m)
+                        now[key] = (total, (letters, m), m)
                 # a repeat of the letter before, or a sign that stands for nothing
                 skip = REPEAT if letters and any(m == last for m, _ in arcs) else silent
                 if silent is not None and (skip is None or silent < skip):
                     skip = silent
                 if skip is not None and ((a, b) not in now or cost + skip < now[a, b][0]):
                     now[a, b] = (cost + skip, letters, last)
-            if not now:
-                return written
-            ends = dict(sorted(now.items(), key=lambda x: x[1][0])[:24])
-        return min(((cost + self.costs[a][b][0], letters) for (a, b), (cost, letters, _) in ends.items()))[1]
+            ends = now
+        chain = min(((cost + costs[a][b][0], letters) for (a, b), (cost, letters, _) in ends.items()), key=lambda x: x[0])[1]
+        out = []
+        while chain:
+            chain, m = chain
+            out.append(m)
+        return "".join(reversed(out))
 
 
-#: Single characters with a space between, three of them at least.
-SPACED = re.compile(r"(?<!\S)\S(?: \S){2,}(?!\S)")
+#: Single characters with white space between, three of them at least.
+SPACED = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 TRIM = re.compile(r"^[\W_]+|[\W_]+$")
 RUN = re.compile(r"(.)\1\1")
+DOUBLE = re.compile(r"(.)\1")
 SIGNS = re.compile(r"[^\W\d_].*[\d\W_]|[\d@$!|+€£*(].*[^\W\d_]")
 
 
@@ -146,17 +152,21 @@ class Words:
 
     def __init__(self, costs: np.ndarray):
         self.restorer = Restorer(costs)
-        self.cache: dict[str, str] = {}
+        self.cache: dict[str, tuple[str, ...]] = {}
 
-    def restored(self, token: str) -> str:
-        """The token in lower case and without signs around it; decoded if it still shows a sign of disguise."""
+    def forms(self, token: str) -> tuple[str, ...]:
+        """The token in lower case and without signs around it; decoded if it still shows a sign of disguise. A doubled
+        letter may be meant: such a word comes as it is, and decoded too if that differs."""
         known = self.cache.get(token)
         if known is None:
-            known = TRIM.sub("", token)
-            if not known.isalpha() or RUN.search(known):
-                core = token if len(known) < len(token) and any(c in "@$!|+€£(" for c in token[:1]) else known
+            word = TRIM.sub("", token)
+            known = (word,)
+            if not word.isalpha() or RUN.search(word):
+                core = token if len(word) < len(token) and any(c in "@$!|+€£(" for c in token[:1]) else word
                 if SIGNS.search(core) or RUN.search(core):
-                    known = "".join(self.restorer.decode(core[k : k + 48]) for k in range(0, len(core), 48))
+                    known = (self.restorer.decode(core),)
+            elif DOUBLE.search(word) and (meant := self.restorer.decode(word)) != word:
+                known = (word, meant)
             if len(self.cache) >= CACHE:
                 self.cache.clear()
             self.cache[token] = known
@@ -166,11 +176,11 @@ class Words:
         """Distinct restored words, and restored runs of spaced letters (which may hold several words)."""
         low = (text or "").lower()
         written, known = low.split(), self.cache.get
-        found = {known(w) or self.restored(w) for w in set(written)}
+        found = {f for w in set(written) for f in known(w) or self.forms(w)}
         found.discard("")
         if b"\1\1\1" not in bytes(map((1).__eq__, map(len, written))):  # no three single characters in a row
             return found, []
-        return found, [self.restorer.decode(run[k : k + 96]) for run in SPACED.findall(low) if any(c.isalpha() for c in run) for k in range(0, len(run), 96)]
+        return found, [self.restorer.decode(" ".join(run.split())) for run in SPACED.findall(low) if any(c.isalpha() for c in run)]
 
 
 def features(word: str) -> list[str]:
@@ -196,7 +206,7 @@ class Classifier:
         found = [s for w in words if (s := self.strength(w)) > 0]
         for run in runs:
             inner = [self.weights.get(f"={run[a:b]}", 0.0) for a in range(len(run)) for b in range(a + 4, min(len(run), a + 16) + 1)]
-            found += sorted((s for s in inner if s > 0), reverse=True)[:3]
+            found += [s for s in inner if s > 0]
         found.sort(reverse=True)
         top = [*found[:3], 0.0, 0.0, 0.0]
         return [1.0, top[0], top[1], top[2], min(sum(found), 60.0), float(np.log1p(len(found))), float(np.log1p(sum(s > 3 for s in found)))]

@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from lexigrid.llm.toxicity import Restorer, count_trigrams, score_documents, trigram_costs
+from lexigrid.llm.toxicity import Restorer, Words, count_trigrams, score_documents, trigram_costs
 
 DOCS, LABELS = "doc_id long, text string, score string, toxic int", "doc_id long, quality int, toxic int, text string"
 
@@ -32,6 +32,18 @@ def test_restores(spark, written, meant):
     assert Restorer(COSTS).decode(written) == meant
 
 
+def test_opens_the_gates(spark):
+    words = Words(trigram_costs(count_trigrams(spark.createDataFrame(corpus()[0], DOCS), "text")))
+    for written, meant in (("stuupid", "stupid"), ("iddiot", "idiot"), ("bridge", "bridge")):
+        assert {meant, written} == words.of(f"{written} people")[0] - {"people"}
+    for space in ("  ", "\t", "\n", " \n "):
+        assert words.of(f"walk {space.join('moron')} and")[1] == ["moron"]
+    # a word over the place where runs were cut, and one after it
+    (run,) = words.of(" ".join("river" * 18 + "people" + "moron" + "bridge" * 20))[1]
+    assert "moron" in run and len(run) > 200
+    assert words.of("bridge-" * 6 + "m0r0n-" + "x1" * 30_000)[0].pop().startswith("bridge" * 6 + "moron")
+
+
 def test_held_out_and_disguised(spark):
     rows, labels = corpus()
     disguised = [(2000 + i, t, "k", 0) for i, t in enumerate(["people walk along 1d10t and talk", "the old m o r o n runs under stone", "music bread stuuuupid gardens", "weather p4th3t1c music"])]
