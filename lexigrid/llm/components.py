@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
-
-ROUNDS = 60
+from .common import discard, stored
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,12 +26,11 @@ def components(links: DataFrame) -> DataFrame:
     nodes with a link to another one. No links give an empty result; loops and repeated links don't matter."""
     edges = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     mark = None
-    for _ in range(ROUNDS):
-        edges = stored(_star(_star(edges, True), False), "stars")
+    while True:
+        before, edges = edges, stored(_star(_star(edges, True), False), "stars")
+        discard(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == mark or not now[0]:
             break
         mark = now
-    else:
-        raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

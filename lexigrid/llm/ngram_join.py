@@ -10,9 +10,9 @@ T(n, m) = ceil(num * (n + m) / (num + den)) for a threshold of num / den.
    lists of much the same members; then, twice, those in other components than most with a hub of their list's own. A pair
    each for most copies of one text, and no list emits all its pairs. What is left are the members of a list whose
    components still differ: those pairs follow if sizes, places and parity bits allow the overlap.
-4. Pairs are checked by DivideSkip: candidates of a query get inverted lists; the short lists of the query's
-   shingles are merged with a heap, and candidates that occur often enough are looked up in the long lists
-   by binary search.
+4. Pairs whose parity bits allow the overlap are checked, once, by DivideSkip: candidates of a query get inverted lists; the
+   short lists of the query's shingles are merged with a heap, and candidates that occur often enough are looked up in the
+   long lists by binary search. What travels to the pairs are compressed texts: the sets made of them are some times larger.
 5. Connected components of the links, by shuffles.
 6. On demand, all links of every class are counted: each lies inside a component, so the classes of a component are dealt
    into blocks, and the lists of one block are scanned for the sets of another. Only counts leave a pair of blocks.
@@ -25,6 +25,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,15 +33,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, mix, stored
+from .common import NUMBERS, added_up, column, discard, encode, mix, numbers_of_task, stored
 from .components import components
-from .placed_texts import whole_runs
-from .shingles import shingle_sets
+from .placed_texts import LAST, whole_runs
+from .shingles import shingle_set, shingle_sets
 
 #: Counters of the frequency order, and the parts in which they are summed.
 CELLS, PARTS = 1 << 20, 64
 SHIFT = np.uint64(64 - 20)
-#: Largest Bloom filter, in bits. It saves shuffling sets that nobody asks for; a full one lets all pass.
+#: Largest Bloom filter, in bits. It saves shuffling texts that nobody asks for; a full one lets all pass.
 BLOOM_BITS = 1 << 26
 #: Candidates that are checked together against one query.
 GROUP = 128
@@ -49,7 +50,7 @@ HUB_ROUNDS = 3
 #: Bits that hold the parity of a set's shingles: where two differ, the sets do.
 PARITY = 1024
 #: Classes, and shingles of them, in a block of a component whose links are counted.
-BLOCK, BLOCK_ITEMS = 512, 1 << 20
+BLOCK, BLOCK_ITEMS = 2048, 1 << 20
 #: Weight of the long lists, as in the DivideSkip paper.
 MU = 0.0085
 
@@ -63,25 +64,19 @@ def _counters(docs: DataFrame, text: str, k: int) -> np.ndarray:
     """How many rows hold a shingle of each cell; CELLS numbers whatever the input."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = np.zeros(CELLS, np.uint32)
+        cells = np.zeros(CELLS, np.int64)
         for batch in batches:
             for _, h in shingle_sets(column(batch, text), k):
-                np.add.at(cells, h >> SHIFT, 1)
+                cells += np.bincount((h >> SHIFT).astype(np.int64), minlength=CELLS) if len(h) > 4096 else 0
+                if len(h) <= 4096:
+                    np.add.at(cells, h >> SHIFT, 1)
         if cells.any():
-            pack = zstandard.ZstdCompressor().compress
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([pack(x.tobytes()) for x in np.split(cells, PARTS)], pa.binary())], ["part", "cells"])
+            yield numbers_of_task(np.split(cells, PARTS))
 
-    def add(key, group):
-        total = np.zeros(CELLS // PARTS, np.uint32)
-        for blob in group.cells:
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint32)
-        return group.iloc[:1].assign(cells=[total.tobytes()])
-
-    parts = docs.select(text).mapInArrow(count, "part int, cells binary").groupBy("part").applyInPandas(add, "part int, cells binary").collect()
-    out = np.zeros((PARTS, CELLS // PARTS), np.uint32)
-    for r in parts:
-        out[r["part"]] = np.frombuffer(r["cells"], np.uint32)
-    return out.reshape(-1)
+    out = np.zeros((PARTS, CELLS // PARTS), np.int64)
+    for part, total in added_up(docs.select(text).mapInArrow(count, NUMBERS), np.int64).items():
+        out[part] = total
+    return np.minimum(out, 2**32 - 1).astype(np.uint32).reshape(-1)
 
 
 def _signed(h: np.ndarray) -> np.ndarray:
@@ -249,39 +244,84 @@ def _rooted(lists: DataFrame, roots: DataFrame | None) -> DataFrame:
     return lists.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
-def _wanted_sets(docs: DataFrame, id_col: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
-    """node and shingles of the wanted classes (node, s1, s2, rep), read again from their texts."""
-    bits = 1 << 16
-    count = wanted.count()
-    while bits < BLOOM_BITS and bits < 16 * count:
-        bits *= 2
+class _Bloom:
+    """Marks of numbers, of bounded size, for all tasks."""
 
-    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = np.zeros(bits, bool)
-        for batch in batches:
-            for c in ("s1", "s2"):
-                found[column(batch, c).to_numpy() % bits] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor().compress(np.packbits(found).tobytes())], pa.binary())], ["bits"])
+    def __init__(self, numbers: DataFrame, name: str):
+        bits = 1 << 16
+        count = numbers.count()
+        while bits < BLOOM_BITS and bits < 16 * count:
+            bits *= 2
+        self.mask = np.uint64(bits - 1)
+
+        def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found = np.zeros(bits, bool)
+            for batch in batches:
+                for place in self.places(column(batch, name)):
+                    found[place] = True
+            yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor().compress(np.packbits(found).tobytes())], pa.binary())], ["bits"])
+
+        all_marks = np.zeros(bits // 8, np.uint8)
+        for r in numbers.select(name).coalesce(4).mapInArrow(mark, "bits binary").toLocalIterator():
+            all_marks |= np.frombuffer(zstandard.ZstdDecompressor().decompress(r["bits"]), np.uint8)
+        self.shared = numbers.sparkSession.sparkContext.broadcast(all_marks)
+
+    def places(self, numbers: pa.Array) -> list[np.ndarray]:
+        h = mix(numbers.fill_null(LAST).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) ^ np.uint64(0x2545F4914F6CDD1D))
+        return [h & self.mask, (h >> np.uint64(32)) & self.mask]
+
+    def holds(self, numbers: pa.Array) -> np.ndarray:
+        marks = self.shared.value
+        a, b = ((marks[p >> np.uint64(3)] >> (np.uint8(7) - (p & np.uint64(7)).astype(np.uint8)) & 1).astype(bool) for p in self.places(numbers))
+        return a & b
+
+    def among(self, df: DataFrame, name: str) -> DataFrame:
+        """The rows of df whose number may be marked."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch.filter(pa.array(self.holds(column(batch, name))))
+
+        return df.mapInArrow(run, df.schema)
 
-    bloom = np.zeros(bits // 8, np.uint8)
-    for r in wanted.select("s1", "s2").coalesce(4).mapInArrow(mark, "bits binary").toLocalIterator():
-        bloom |= np.frombuffer(zstandard.ZstdDecompressor().decompress(r["bits"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bloom)
+
+def _wanted_texts(docs: DataFrame, id_col: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
+    """node and compressed text of the wanted classes (node, s1, s2, rep)."""
+    asked = _Bloom(wanted, "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        pack = zstandard.ZstdCompressor(level=3).compress
         for batch in batches:
             ids = column(batch, id_col).cast(pa.int64())
-            rows, one, two, sets = [], [], [], []
-            for row, h in shingle_sets(column(batch, text), k):
+            few = pa.array(np.flatnonzero(asked.holds(ids)), pa.int64())
+            ids, some = ids.take(few), column(batch, text).take(few)
+            one, two, bodies = [], [], []
+            for row, h in shingle_sets(some, k):
                 a, b = _signature(h)
-                if all(known[x % bits >> 3] >> (7 - (x % bits & 7)) & 1 for x in (a, b)):
-                    rows.append(row), one.append(a), two.append(b), sets.append(h.tobytes())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sets, pa.binary())], ["id", "s1", "s2", "items"])
+                one.append(a), two.append(b), bodies.append(pack(encode(some[row].as_py())))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bodies, pa.binary())], ["id", "s1", "s2", "body"])
 
-    found = docs.select(id_col, text).mapInArrow(run, "id long, s1 long, s2 long, items binary").alias("f")
+    # of rows of one id with equal sets, whose texts may differ by white space and case, any will do
+    found = docs.select(id_col, text).mapInArrow(run, "id long, s1 long, s2 long, body binary").alias("f")
     w = wanted.alias("w")
-    return found.join(w, (F.col("f.s1") == F.col("w.s1")) & (F.col("f.s2") == F.col("w.s2")) & F.col("f.id").eqNullSafe(F.col("w.rep"))).select("w.node", "f.items")
+    met = found.join(w, (F.col("f.s1") == F.col("w.s1")) & (F.col("f.s2") == F.col("w.s2")) & F.col("f.id").eqNullSafe(F.col("w.rep")))
+    return met.select("w.node", "f.body").groupBy("node").agg(F.first("body").alias("body"))
+
+
+def _plausible(pairs: DataFrame, names: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sizes and parity bits allow the overlap. Where the parities of two sets differ, the sets do."""
+    asked = _Bloom(pairs.select(F.explode(F.array("q", "c")).alias("node")), "node")
+    known = asked.among(names.select("node", "n", "bits"), "node")
+    both = pairs.join(known.select(F.col("node").alias("q"), F.col("n").alias("n"), F.col("bits").alias("a")), "q").join(known.select(F.col("node").alias("c"), F.col("n").alias("m"), F.col("bits").alias("b")), "c")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            total = column(batch, "n").to_numpy().astype(np.int64) + column(batch, "m").to_numpy()
+            a, b = (np.frombuffer(b"".join(column(batch, x).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for x in ("a", "b"))
+            apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
+            yield batch.select(["q", "c"]).filter(pa.array(apart <= total + 2 * (-num * total // (num + den))))
+
+    return both.select("q", "c", "n", "m", "a", "b").mapInArrow(run, "q long, c long")
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[int]:
@@ -328,25 +368,27 @@ def divide_skip(query: np.ndarray, sets: list[np.ndarray], num: int, den: int) -
     return out
 
 
-def _check(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _check(pairs: DataFrame, bodies: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """The pairs that link: a, b."""
     parts = pairs.groupBy("q").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))
-    dealt = stored(pairs.join(parts, "q").select("q", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"), "c"), "pairs")
-    candidates = dealt.join(sets.withColumnRenamed("node", "c"), "c").select("q", "part", F.lit(1).alias("kind"), "c", "items")
-    asked = dealt.select("q", "part").distinct().join(sets.withColumnRenamed("node", "q"), "q").select("q", "part", F.lit(0).alias("kind"), F.col("q").alias("c"), "items")
+    dealt = pairs.join(parts, "q").select("q", F.pmod(F.xxhash64("c"), F.col("parts")).cast("int").alias("part"), "c")
+    # one row for each query of a part (kind 0) and for each of its candidates
+    asked = dealt.select("q", "part", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("q").alias("node")), F.struct(F.lit(1).alias("kind"), F.col("c").alias("node")))).alias("x")).select("q", "part", "x.kind", "x.node").distinct()
+    texts = _Bloom(asked, "node").among(bodies, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def links():
             found = {nodes[c] for c in divide_skip(query, items, num, den)} if nodes else ()
             return [(key[0], c) for c in found]
 
+        expand = zstandard.ZstdDecompressor().decompress
         key, query, nodes, items, out = None, None, [], [], []
         for batch in batches:
-            for q, part, kind, c, blob in zip(*(column(batch, x).to_pylist() for x in ("q", "part", "kind", "c", "items")), strict=True):
+            for q, part, kind, c, body in zip(*(column(batch, x).to_pylist() for x in ("q", "part", "kind", "node", "body")), strict=True):
                 if (q, part) != key:
                     out += links()
                     key, query, nodes, items = (q, part), np.zeros(0, np.uint64), [], []
-                h = np.frombuffer(blob, np.uint64)
+                h = shingle_set(expand(body), k)
                 if kind == 0:
                     query = h
                 else:
@@ -357,7 +399,7 @@ def _check(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
         out += links()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
-    return asked.unionByName(candidates).repartition("q", "part").sortWithinPartitions("q", "part", "kind").mapInArrow(run, "a long, b long")
+    return asked.join(texts, "node").select("q", "part", "kind", "node", "body").repartition("q", "part").sortWithinPartitions("q", "part", "kind").mapInArrow(run, "a long, b long")
 
 
 def block_degrees(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -379,14 +421,16 @@ def block_degrees(left: list[np.ndarray], right: list[np.ndarray] | None, num: i
     return one, two
 
 
-def _degrees(roots: DataFrame, names: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _degrees(roots: DataFrame, names: DataFrame, bodies: DataFrame, k: int, num: int, den: int) -> DataFrame:
     """node and degree (the other classes that it links with) of all classes in components of several."""
-    sized = roots.join(names.select("node", "n"), "node")
+    linked = _Bloom(roots, "node")
+    bodies = linked.among(bodies, "node")
+    sized = roots.join(linked.among(names.select("node", "n"), "node"), "node")
     shape = sized.groupBy("root").agg(F.count("*").alias("m"), F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n") / BLOCK_ITEMS)).cast("int").alias("parts"))
     members = roots.join(shape, "root")
-    dealt = members.where("m > 2").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(sets, "node")
+    dealt = members.where("m > 2").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(bodies, "node")
     faced = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    rows = faced.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "items")
+    rows = faced.select("root", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "body")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def count():
@@ -400,14 +444,15 @@ def _degrees(roots: DataFrame, names: DataFrame, sets: DataFrame, num: int, den:
         def packed():
             return pa.RecordBatch.from_arrays([pa.array([x for names, _ in out for x in names], pa.int64()), pa.array(np.concatenate([d for _, d in out]) if out else [], pa.int64())], ["node", "degree"])
 
+        expand = zstandard.ZstdDecompressor().decompress
         key, nodes, items, out = None, ([], []), ([], []), []
         for batch in batches:
-            blobs = column(batch, "items")
+            blobs = column(batch, "body")
             for row, (*now, side, node) in enumerate(zip(*(column(batch, x).to_pylist() for x in ("root", "low", "high", "side", "node")), strict=True)):
                 if now != key:
                     count()
                     key, nodes, items = now, ([], []), ([], [])
-                nodes[side].append(node), items[side].append(np.frombuffer(blobs[row].as_py(), np.uint64))
+                nodes[side].append(node), items[side].append(shingle_set(expand(blobs[row].as_py()), k))
             if out:
                 yield packed()
                 out = []
@@ -448,28 +493,37 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     rows = stored(posted.select("id", "n", "s1", "s2"), "rows")
     discard(posted)
     lists = stored(_entries(classes).repartition("h").sortWithinPartitions("h", "n").mapInArrow(_shared(num, den), "h long, node long, n int, pos int"), "lists")
-    names = stored(classes.select("node", "s1", "s2", "rep", "n"), "names")
-    bits = stored(classes.select("node", "bits"), "bits")
+    names = stored(classes.select("node", "s1", "s2", "rep", "n", "bits"), "names")
     discard(classes)
-    wanted = lists.select("node").distinct().join(names, "node")
-    sets = stored(_wanted_sets(docs, id_col, text_col, k, stored(wanted, "wanted")), "items")
+    wanted = stored(lists.select("node").distinct().join(names.select("node", "s1", "s2", "rep"), "node"), "wanted")
+    bodies = stored(_wanted_texts(docs, id_col, text_col, k, wanted), "texts")
+    discard(wanted)
 
-    links, roots = None, None
+    links, roots, done = [], None, []
     for turn in (*range(HUB_ROUNDS), None):
         rooted = _open_lists(_rooted(lists, roots)) if turn != 0 else _rooted(lists, roots)
-        pairs = stored(_pairs(rooted if turn is not None else rooted.join(bits, "node"), turn, num, den), "pairs")
-        if pairs.isEmpty():
-            continue
-        found = stored(_check(pairs, sets, num, den), "links")
-        links = found if links is None else links.unionByName(found)
-        if not found.isEmpty():
-            roots = stored(components(links), "roots")
+        made = _pairs(rooted if turn is not None else rooted.join(names.select("node", "bits"), "node"), turn, num, den)
+        for known in done:
+            made = made.join(known, ["q", "c"], "left_anti").join(known.select(F.col("q").alias("c"), F.col("c").alias("q")), ["q", "c"], "left_anti")
+        made = stored(made, "pairs")
+        if not made.isEmpty():
+            pairs = stored(_plausible(made, names, num, den), "plausible")
+            done.append(pairs)
+            found = stored(_check(pairs, bodies, k, num, den), "links")
+            links.append(found)
+            if not found.isEmpty():
+                before, roots = roots, stored(components(reduce(DataFrame.unionByName, links)), "roots")
+                if before is not None:
+                    discard(before)
+        discard(made)
+    discard(lists, *done, *links)
     if roots is None:
         roots = spark.createDataFrame([], "node long, root long")
     labels = names.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labels.groupBy("root").agg(F.min("rep").alias("least"))
     if counted:
-        labels = labels.join(stored(_degrees(roots, names, sets, num, den), "degrees"), "node", "left")
+        labels = labels.join(stored(_degrees(roots, names, bodies, k, num, den), "degrees"), "node", "left")
+    discard(bodies)
     n_links = [F.coalesce("degree", F.lit(0)).cast("long").alias("n_links")] if counted else []
     named = labels.join(least, "root").select(F.col("s1").alias("l1"), F.col("s2").alias("l2"), "least", *n_links)
     out = rows.where("n > 0").join(named, (F.col("s1") == F.col("l1")) & (F.col("s2") == F.col("l2")), "left")
@@ -481,13 +535,14 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs, all their columns, of which each stands for its component: the one of smallest id.
 
-    Rows without shingles all stay. Of repeated rows (same id and text) one stays. Rows without an id come after
-    those with one.
+    Rows without shingles all stay. Of repeated rows (same id and text) one stays, whatever their other columns hold. Rows
+    without an id come after those with one. Columns of any names are carried along; an empty table gives an empty result.
     """
-    number, tag = "__number", "__tag"
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
-    late = F.shiftrightunsigned(F.xxhash64(text), 2).bitwiseOR(F.lit(1 << 62))
-    named = docs.withColumn(tag, F.xxhash64(text)).withColumn(number, F.coalesce(docs[id_col].cast("long"), late))
-    found = jaccard_components(named, id_col=number, text_col=text_col, **options)
-    first = found.where(F.col(number) == F.col("component_id")).select(number).distinct()
-    return named.join(first, number, "left_semi").dropDuplicates([number, tag]).select(docs.columns)
+    tag = F.xxhash64(text)
+    late = F.shiftrightunsigned(tag, 2).bitwiseOR(F.lit(1 << 62))
+    number = F.coalesce(docs[id_col].cast("long"), late)
+    found = jaccard_components(docs.select(number.alias("number"), docs[text_col].alias("text")), id_col="number", text_col="text", **options)
+    first = found.where(F.col("number") == F.col("component_id")).select("number").distinct()
+    named = docs.select(number.alias("number"), tag.alias("tag"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return named.join(first, "number", "left_semi").dropDuplicates(["number", "tag"]).select("row.*")

@@ -118,3 +118,12 @@ def shingle_sets(texts: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
                 yield low + row, join_hashes(w[a:b], b - a) + np.uint64(b - a)
             else:
                 yield low + row, np.zeros(0, np.uint64)
+
+
+def shingle_set(raw: bytes, k: int) -> np.ndarray:
+    """shingle_sets() of a single text in UTF-8."""
+    data = np.frombuffer(raw, np.uint8)
+    w, _ = word_hashes(data, np.array([0, len(data)]), lower=True)
+    if len(w) >= k:
+        return np.unique(join_hashes(w, k))
+    return join_hashes(w, len(w)) + np.uint64(len(w)) if len(w) else np.zeros(0, np.uint64)

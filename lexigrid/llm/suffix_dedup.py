@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, discard, stored
+from .common import NUMBERS, added_up, column, discard, numbers_of_task, stored
 from .placed_texts import ASKED, COPY, REPEATED, Asking, copies, keyed, repeated_places, row_array, row_type, runs_of, with_facts
 from .shingles import prefix_hash, slices, window_hash
 from .suffix_sort import common_prefixes, sort_suffixes
@@ -78,18 +78,11 @@ def _counters(rows: DataFrame, key: int, length: int) -> np.ndarray:
                         inside[max(0, end - key + 1) : end] = False
                     cells += np.bincount((h[inside[: len(h)]] >> np.uint64(44)).astype(np.int64), minlength=CELLS)
         if cells.any():
-            pack = zstandard.ZstdCompressor().compress
-            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([pack(x.tobytes()) for x in np.split(cells, PARTS)], pa.binary())], ["part", "cells"])
-
-    def add(_, group):
-        total = np.zeros(CELLS // PARTS, np.int64)
-        for blob in group.cells:
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
-        return group.iloc[:1].assign(cells=[total.tobytes()])
+            yield numbers_of_task(np.split(cells, PARTS))
 
     out = np.zeros((PARTS, CELLS // PARTS), np.int64)
-    for r in rows.select("text").mapInArrow(count, "part int, cells binary").groupBy("part").applyInPandas(add, "part int, cells binary").collect():
-        out[r["part"]] = np.frombuffer(r["cells"], np.int64)
+    for part, total in added_up(rows.select("text").mapInArrow(count, NUMBERS), np.int64).items():
+        out[part] = total
     return out.reshape(-1)
 
 

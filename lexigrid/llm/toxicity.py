@@ -17,11 +17,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column
+from .common import NUMBERS, added_up, column, numbers_of_task, stored
 
 #: What written characters may stand for, besides themselves (fixed values).
 IMITATES = {
@@ -33,7 +32,7 @@ SEPARATORS = set(" .-_*~'`^,:;/\\|+=#")
 IMITATE, HIDE, DROP, REPEAT, KEEP_SIGN = 1.0, 2.5, 1.0, 0.7, 6.0
 #: Dropping a sign at either end of a word that may imitate a letter.
 EDGE = 0.8
-LETTERS = 64
+LETTERS, PARTS = 64, 64
 SAMPLE, FIT_SAMPLE, FEATURES = 40_000, 20_000, 30_000
 CACHE = 300_000
 
@@ -51,8 +50,6 @@ def letter_numbers(codes: np.ndarray) -> np.ndarray:
 
 def count_trigrams(docs: DataFrame, text_col: str) -> np.ndarray:
     """Letter trigrams of all texts; a table of LETTERS ** 3 numbers whatever the corpus."""
-    parts = 64
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, some = np.zeros(LETTERS**3, np.int64), False
         for batch in batches:
@@ -66,18 +63,11 @@ def count_trigrams(docs: DataFrame, text_col: str) -> np.ndarray:
                     n = n[(n > 0) | np.concatenate([[True], n[:-1] > 0])]
                     cells += np.bincount((n[:-2] * LETTERS + n[1:-1]) * LETTERS + n[2:], minlength=LETTERS**3) if len(n) > 2 else 0
         if some:
-            pack = zstandard.ZstdCompressor().compress
-            yield pa.RecordBatch.from_arrays([pa.array(range(parts), pa.int32()), pa.array([pack(x.tobytes()) for x in np.split(cells, parts)], pa.binary())], ["part", "cells"])
-
-    def add(_, group):
-        total = np.zeros(LETTERS**3 // parts, np.int64)
-        for blob in group.cells:
-            total += np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.int64)
-        return group.iloc[:1].assign(cells=[total.tobytes()])
-
-    out = np.zeros((parts, LETTERS**3 // parts), np.int64)
-    for r in docs.select(text_col).mapInArrow(run, "part int, cells binary").groupBy("part").applyInPandas(add, "part int, cells binary").collect():
-        out[r["part"]] = np.frombuffer(r["cells"], np.int64)
+            yield numbers_of_task(np.split(cells, PARTS))
+
+    out = np.zeros((PARTS, LETTERS**3 // PARTS), np.int64)
+    for part, total in added_up(docs.select(text_col).mapInArrow(run, NUMBERS), np.int64).items():
+        out[part] = total
     return out.reshape(LETTERS, LETTERS, LETTERS)
 
 
