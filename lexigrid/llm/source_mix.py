@@ -1,80 +1,127 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
-Each source's documents are cut into blocks of equal size. A round gives every source as many slots as
-its target weight asks for; inside a round of `length` slots, the i-th of n blocks of a source may start
-at floor((i-1) * length / n) and must be done by ceil(i * length / n), and every slot takes the released
-block with the earliest deadline. At any slot a source is then less than one block away from its share.
-
-Rounds end at whole blocks for every source, so they are independent: the round of a block and the slots
-before it follow from the sources' sizes alone. Rounds differ only where a source runs out, which makes at
-most 2 * sources + 1 kinds; each kind is scheduled once, by a fold over its slots, and blocks look their
-slot up. Nothing is left out and nothing comes twice: as sources run out, the others share the slots in
-proportion to their weights.
+Each source's documents are cut into blocks of equal size, and the mix is a row of slots of one block each. While the same
+sources have blocks left (a phase), the i-th block of a source of weight w may start at floor((i - 1) / w) and must be done
+by ceil(i / w). Every slot takes the released block of earliest deadline, so at any slot of a phase each source is less than
+one block away from its share. A phase ends when a source runs out; the others then share the slots in proportion to
+their weights. Nothing is left out and nothing comes twice.
+
+Phases are cut into rounds that are scheduled apart. What is done by the end of a round follows from the weights alone:
+all blocks that are due, and of the blocks under way there (released, not due) as many as slots are left. Those are
+chosen by deadline, each if it and the ones before it find free slots before the end. The blocks that find room in time form
+a matroid, and the greedy choice leaves the least due soon to the next round, so each round has a schedule in which every
+block keeps its window, and earliest deadline first finds one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-#: Most sources; the tables of rounds are bounded by (2 * MAX_SOURCES + 1) * slots rows.
-MAX_SOURCES = 250
-#: Groups into which the documents of each source are dealt to number them without a single task per source.
-SALTS = 1024
-#: Names used inside; other columns are carried along untouched under one struct.
-ROW, KEY, SALT, RANK = "__row", "__key", "__salt", "__rank"
-
+#: Documents of a source that are numbered together, about.
+NUMBERED = 50_000
+#: Products of slots and whole-numbered weights stay under this.
+WIDE = 2**62
+
+
+def whole_weights(raw: list[float], slots: int) -> list[int]:
+    """Weights as whole numbers of a sum so large that rounding moves no block over the slots, up to 2^30 of them."""
+    total = sum(raw)
+    unit = WIDE // (2 * (slots + len(raw) + 1)) // (len(raw) + 1)
+    return [max(1, round(w / total * unit)) for w in raw]
+
+
+def done_by(shares: list[int], low: int, at: int) -> list[int]:
+    """Blocks of each source that are done by slot `at`, at the end of a round from slot `low` on (see above)."""
+    total = sum(shares)
+    whole = [k * at // total for k in shares]
+    left = at - sum(whole)
+    under_way = sorted((-(-(n + 1) * total // k), s, n * total // k) for s, (k, n) in enumerate(zip(shares, whole, strict=True)) if k * at % total)
+    # slots from t to the end that blocks released and due in between leave
+    room = {t: at - t - sum(max(0, n - -(-k * t // total)) for k, n in zip(shares, whole, strict=True)) for t in range(low + 1, at)}
+    for _, s, begin in under_way:
+        if left and all(free > 0 for t, free in room.items() if t <= begin):
+            room = {t: free - (t <= begin) for t, free in room.items()}
+            whole[s] += 1
+            left -= 1
+    return whole
+
+
+def phases(blocks: list[int], raw: list[float], slots: int) -> list[tuple]:
+    """(phase, first slot, slots, source numbers, shares, blocks done before, blocks done in it) until all blocks are done."""
+    out, done, slot = [], [0] * len(blocks), 0
+    while any(d < b for d, b in zip(done, blocks, strict=True)):
+        active = [s for s, b in enumerate(blocks) if done[s] < b]
+        left = [blocks[s] - done[s] for s in active]
+        shares = whole_weights([raw[s] for s in active], sum(left))
+        total = sum(shares)
+        length = min(b * total // k for b, k in zip(left, shares, strict=True))
+        part = done_by(shares, (length - 1) // slots * slots, length)
+        out.append((len(out), slot, length, active, shares, [done[s] for s in active], part))
+        for s, n in zip(active, part, strict=True):
+            done[s] += n
+        slot += length
+    return out
+
+
+def _done_by(low: str, high: str) -> Column:
+    """done_by() in SQL, of the columns shares and total."""
+    return F.expr(
+        f"""
+        aggregate(
+          array_sort(filter(
+            transform(shares, (k, s) -> named_struct(
+              'deadline', ((k * {high} div total + 1) * total + k - 1) div k, 'number', s, 'release', (k * {high} div total) * total div k, 'under', k * {high} % total > 0)),
+            x -> x.under)),
+          named_struct(
+            'done', transform(shares, k -> k * {high} div total),
+            'left', {high} - aggregate(shares, 0L, (a, k) -> a + k * {high} div total),
+            'room', transform(
+              filter(sequence({low}, {high}), t -> t > {low} and t < {high}),
+              t -> named_struct('at', t, 'free', {high} - t - aggregate(shares, 0L, (a, k) -> a + greatest(0L, k * {high} div total - (k * t + total - 1) div total))))),
+          (acc, j) -> if(acc.left > 0 and forall(acc.room, r -> r.at > j.release or r.free > 0),
+            named_struct(
+              'done', transform(acc.done, (d, s) -> d + if(s = j.number, 1L, 0L)), 'left', acc.left - 1L,
+              'room', transform(acc.room, r -> named_struct('at', r.at, 'free', r.free - if(r.at <= j.release, 1L, 0L)))),
+            acc),
+          acc -> acc.done)
+        """
+    )
 
-def shares(sizes: dict[str, int], weights: dict[str, float] | None, temperature: float, slots: int) -> dict[str, int]:
-    """Blocks of each source in a full round, by largest remainders; one at least.
 
-    Without weights a source counts by its size to the power `temperature`. Sources without a weight of
-    their own get one block a round.
-    """
-    raw = {s: (weights.get(s, 0.0) if weights is not None else n**temperature) for s, n in sizes.items()}
-    if any(w < 0 or w != w for w in raw.values()):
-        raise ValueError("weights must not be negative")
-    total = sum(raw.values()) or 1.0
-    exact = {s: slots * w / total for s, w in raw.items()}
-    whole = {s: int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (whole[s] - exact[s], s))[: max(0, slots - sum(whole.values()))]:
-        whole[s] += 1
-    return {s: max(1, n) for s, n in whole.items()}
-
-
-def round_kinds(blocks: dict[str, int], share: dict[str, int]) -> list[int]:
-    """First rounds of each kind: where a source has its last full round, and where it has gone."""
-    full = [blocks[s] // share[s] for s in blocks]
-    last = max(-(-blocks[s] // share[s]) for s in blocks)
-    return sorted({x for x in {0, *full, *(f + 1 for f in full)} if x < last})
-
-
-def timetable(spark, blocks: dict[str, int], share: dict[str, int]) -> DataFrame:
-    """Slots of each kind of round: kind, source number, block in the round (from 0), slot, release, deadline."""
-    names = list(blocks)
-    counts = [(k, [min(share[s], max(0, blocks[s] - k * share[s])) for s in names]) for k in round_kinds(blocks, share)]
-    rounds = spark.createDataFrame(counts, "kind long, n array<int>").withColumn("length", F.expr("aggregate(n, 0, (a, x) -> a + x)"))
+def timetable(spark: SparkSession, plan: list[tuple], slots: int) -> DataFrame:
+    """number (of a source), block (from 0), round, slot, release, deadline (slots of the whole mix) of all blocks of phases()."""
+    table = spark.createDataFrame(plan, "phase int, first long, length long, active array<int>, shares array<long>, before array<long>, part array<long>")
+    table = table.withColumn("total", F.expr("aggregate(shares, 0L, (a, k) -> a + k)")).where("length > 0")
+    rounds = table.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(length - 1) div {slots}")))).repartition("phase", "r")
+    rounds = rounds.withColumn("low", F.expr(f"r * {slots}")).withColumn("high", F.least("length", F.expr(f"(r + 1) * {slots}")))
+    rounds = rounds.withColumn("n1", F.when(F.col("high") == F.col("length"), F.col("part")).otherwise(_done_by("low", "high")))
+    rounds = rounds.withColumn("n0", F.when(F.col("r") == 0, F.expr("transform(shares, k -> 0L)")).otherwise(_done_by(f"(low - {slots})", "low")))
+    # a fold over the slots of the round: the released block of earliest deadline, then of smallest source
     picked = F.expr(
         """
         aggregate(
-          sequence(0, length - 1),
-          named_struct('done', transform(n, x -> 0), 'out', cast(array() as array<struct<source:int,item:int,release:int,deadline:int>>)),
-          (acc, slot) -> transform(
+          sequence(low, high - 1),
+          named_struct('done', n0, 'out', cast(array() as array<struct<source:int,item:bigint,slot:bigint,release:bigint,deadline:bigint>>)),
+          (acc, t) -> transform(
             array(array_min(filter(
-              transform(n, (x, s) -> named_struct(
-                'deadline', cast(((acc.done[s] + 1L) * length + x - 1) div greatest(x, 1) as int), 'source', s,
-                'release', cast((cast(acc.done[s] as bigint) * length) div greatest(x, 1) as int), 'item', acc.done[s], 'left', x - acc.done[s])),
-              c -> c.left > 0 and c.release <= slot))),
+              transform(shares, (k, s) -> named_struct(
+                'due', least(high, ((acc.done[s] + 1) * total + k - 1) div k), 'number', s, 'begin', acc.done[s] * total div k, 'open', acc.done[s] < n1[s])),
+              c -> c.open and c.begin <= t))),
             c -> named_struct(
-              'done', transform(acc.done, (d, s) -> d + if(s = c.source, 1, 0)),
-              'out', concat(acc.out, array(named_struct('source', c.source, 'item', c.item, 'release', c.release, 'deadline', c.deadline)))))[0],
+              'done', transform(acc.done, (d, s) -> d + if(s = c.number, 1L, 0L)),
+              'out', concat(acc.out, array(named_struct('source', c.number, 'item', acc.done[c.number], 'slot', t, 'release', c.begin,
+                'deadline', ((acc.done[c.number] + 1) * total + shares[c.number] - 1) div shares[c.number])))))[0],
           acc -> acc.out)
         """
     )
-    return (
-        rounds.repartition(len(counts), "kind")
-        .select("kind", F.posexplode(picked).alias("slot", "c"))
-        .select("kind", F.col("c.source").alias("number"), F.col("c.item").alias("item"), "slot", F.col("c.release").alias("release"), F.col("c.deadline").alias("deadline"))
+    each = rounds.select("phase", "r", "first", "active", "before", F.explode(picked).alias("c"))
+    return each.select(
+        F.expr("active[c.source]").alias("number"),
+        F.expr("before[c.source] + c.item").alias("block"),
+        F.expr(f"(first + c.slot) div {slots}").alias("round"),
+        *(F.expr(f"first + c.{x}").alias(x) for x in ("slot", "release", "deadline")),
+        "phase",
     )
 
 
@@ -82,60 +129,66 @@ def mix_documents(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
     block_docs: int = 16,
-    slots: int = 1000,
+    slots: int = 256,
     temperature: float = 0.5,
     id_col: str = "doc_id",
     source_col: str = "source",
 ) -> DataFrame:
     """Give every document its place in the mix.
 
-    Returns all columns of docs in the struct `row`, with block (number in its source, from 0), round, slot
-    (place of the block in the whole mix, from 0), release and deadline (slots of the whole mix), and
+    Returns all columns of docs in the struct `row`, with block (number in its source, from 0), round (slots // `slots`), slot
+    (place of the block in the whole mix, from 0), release and deadline (slots of the whole mix), phase (see above), and
     place (of the document in its block, from 0).
 
-    A null source is a source of its own. Documents of a source are dealt into blocks by a hash of their id,
+    Target weights: `weights` by source, relative to one another; without them a source counts by its number of documents to
+    the power `temperature`. They are taken as given, however small. Sources that `weights` doesn't name, or gives 0, come
+    when all others have run out, by their sizes. Any number of sources: a phase costs their number on the driver, a slot their number in a task.
+
+    A null source is a source of its own (in `weights`: None). Documents of a source are dealt into blocks by a hash of their id,
     then by id; ties and repeated rows follow one another in any order, a null id counts as 0. An empty table gives an
-    empty result. Columns named like those above don't clash: they stay inside `row`.
+    empty result. Columns named like those above don't clash: they stay inside `row`. Rows are ranked as they are: select what
+    is needed before (see in_mix_order).
     """
     spark = docs.sparkSession
     key = F.coalesce(F.concat(F.lit("="), docs[source_col].cast("string")), F.lit("null"))
     order = F.coalesce(docs[id_col].cast("string"), F.lit("0"))
-    salt = F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int")
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), key.alias(KEY), salt.alias(SALT))
-    counts = docs.select(key.alias(KEY), salt.alias(SALT)).groupBy(KEY, SALT).agg(F.count("*").alias("n"))
-    sizes = {r[KEY]: r["n"] for r in counts.groupBy(KEY).agg(F.sum("n").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"over {MAX_SOURCES} sources: join small ones first")
-    empty = rows.select("row", F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("round"), F.lit(0).cast("long").alias("slot"), F.lit(0).cast("long").alias("release"), F.lit(0).cast("long").alias("deadline"), F.lit(0).cast("long").alias("place"))
-    if not sizes:
-        return empty
-    named = None if weights is None else {("null" if s is None else f"={s}"): w for s, w in weights.items()}
-    blocks = {s: -(-n // block_docs) for s, n in sorted(sizes.items())}
-    share = shares(dict(sorted(sizes.items())), named, temperature, max(slots, 4 * len(sizes)))
-    kinds = round_kinds(blocks, share)
-
-    offsets = counts.withColumn("before", F.sum("n").over(Window.partitionBy(KEY).orderBy(SALT)) - F.col("n")).select(KEY, SALT, "before")
-    within = F.row_number().over(Window.partitionBy(KEY, SALT).orderBy(F.col("row")[id_col])) - 1
-    ranked = rows.withColumn(RANK, within).join(offsets, [KEY, SALT]).withColumn(RANK, F.col(RANK) + F.col("before")).drop("before", SALT)
-
-    # bounded by MAX_SOURCES rows, and by the kinds of rounds
-    sources = spark.createDataFrame([(s, i, share[s]) for i, s in enumerate(blocks)], f"{KEY} string, number int, share int")
-    table = timetable(spark, blocks, share)
-    before = lambda r: " + ".join(f"least({blocks[s]}L, {r} * {share[s]}L)" for s in blocks)
-    placed = (
-        ranked.join(F.broadcast(sources), KEY)
-        .withColumn("block", F.expr(f"{RANK} div {block_docs}"))
-        .withColumn("place", F.expr(f"{RANK} % {block_docs}").cast("long"))
-        .withColumn("round", F.expr("block div share"))
-        .withColumn("item", F.expr("block % share").cast("int"))
-        .withColumn("kind", F.expr(f"array_max(filter(array({', '.join(f'{k}L' for k in kinds)}), k -> k <= round))"))
-        .withColumn("start", F.expr(before("round")))
-        .join(F.broadcast(table), ["kind", "number", "item"])
-    )
-    return placed.select("row", "block", "round", *((F.col("start") + F.col(c)).alias(c) for c in ("slot", "release", "deadline")), "place")
-
-
-def in_mix_order(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all their columns, in the order of the mix: partitions follow one another, and so do rows in them."""
-    placed = mix_documents(docs, **options)
-    return placed.orderBy("slot", "place").select("row.*")
+    sizes = {r["key"]: r["n"] for r in docs.select(key.alias("key")).groupBy("key").agg(F.count("*").alias("n")).collect()}
+    hashed = F.xxhash64(order)
+    salts = max(1, sum(sizes.values()) // NUMBERED)
+    salt = F.pmod(hashed, F.lit(salts)).cast("int")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), key.alias("key"), salt.alias("salt"), hashed.alias("hash"))
+
+    names = sorted(sizes)
+    blocks = {s: -(-sizes[s] // block_docs) for s in names}
+    given = {s: sizes[s] ** temperature for s in names} if weights is None else {("null" if s is None else f"={s}"): float(w) for s, w in weights.items()}
+    if any(not 0 <= w < float("inf") for w in given.values()):
+        raise ValueError("weights must be finite and not negative")
+    plan: list[tuple] = []
+    for group, raw in (([s for s in names if given.get(s, 0.0) > 0], given), ([s for s in names if not given.get(s, 0.0) > 0], sizes)):
+        slot = sum(p[2] for p in plan)
+        number = [names.index(s) for s in group]
+        plan += [(len(plan) + p, slot + first, length, [number[s] for s in active], *rest) for p, first, length, active, *rest in phases([blocks[s] for s in group], [raw[s] for s in group], slots)]
+
+    counts = docs.select(key.alias("key"), salt.alias("salt")).groupBy("key", "salt").agg(F.count("*").alias("n"))
+    offsets = counts.withColumn("before", F.sum("n").over(Window.partitionBy("key").orderBy("salt")) - F.col("n")).select("key", "salt", "before")
+    within = F.row_number().over(Window.partitionBy("key", "salt").orderBy("hash", F.col("row")[id_col])) - 1
+    numbers = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)), "key string, number int")
+    ranked = rows.withColumn("rank", within).join(offsets, ["key", "salt"]).join(numbers, "key").select("row", "number", (F.col("rank") + F.col("before")).alias("rank"))
+    placed = ranked.withColumn("block", F.expr(f"rank div {block_docs}")).withColumn("place", F.expr(f"rank % {block_docs}").cast("long"))
+    return placed.join(timetable(spark, plan, slots), ["number", "block"]).select("row", "block", "round", "slot", "release", "deadline", "phase", "place")
+
+
+def in_mix_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs, all their columns, in the order of the mix: partitions follow one another, and so do rows in them.
+
+    Only ids and hashes of rows are ranked; the rows meet their slots by both. Repeated rows (all columns alike) stand together
+    at the first of their places, other ties of id follow one another in any order. Null ids and sources, clashing names and empty
+    tables as in mix_documents().
+    """
+    number = F.coalesce(docs[id_col].cast("string"), F.lit("0"))
+    tag = F.xxhash64(*(F.coalesce(docs[c].cast("string"), F.lit("null")) for c in docs.columns))
+    thin = docs.select(number.alias("id"), tag.alias("tag"), docs[source_col].alias("source"))
+    placed = mix_documents(thin, id_col="id", source_col="source", **options)
+    first = placed.groupBy(F.col("row.id").alias("id"), F.col("row.tag").alias("tag")).agg(F.min(F.struct("slot", "place")).alias("at"))
+    whole = docs.select(number.alias("id"), tag.alias("tag"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
+    return whole.join(first, ["id", "tag"]).orderBy("at").select("row.*")

@@ -1,38 +1,104 @@
-from collections import Counter, defaultdict
+from collections import defaultdict
+from fractions import Fraction
+from math import ceil, floor, pi, sqrt
 
-from lexigrid.llm.source_mix import in_mix_order, mix_documents, shares
+import pytest
+
+from lexigrid.llm.source_mix import done_by, in_mix_order, mix_documents, phases, timetable
 
 SCHEMA = "doc_id long, text string, source string, slot long, __row string"
 
 
-def test_whole_and_close_to_targets(spark):
+def plain_edf(blocks, raw):
+    """(source, block) of each slot: earliest deadline first over whole phases, with exact fractions of the weights."""
+    done, out = [0] * len(blocks), []
+    while sum(done) < sum(blocks):
+        active = [s for s in range(len(blocks)) if done[s] < blocks[s]]
+        total = sum(Fraction(raw[s]) for s in active)
+        w = {s: Fraction(raw[s]) / total for s in active}
+        begin = list(done)
+        length = min(floor((blocks[s] - begin[s]) / w[s]) for s in active)
+        for t in range(length):
+            ready = [(ceil((done[s] - begin[s] + 1) / w[s]), s) for s in active if floor((done[s] - begin[s]) / w[s]) <= t and done[s] < blocks[s]]
+            _, s = min(ready)
+            out.append((s, done[s]))
+            done[s] += 1
+    return out
+
+
+def scheduled(spark, blocks, raw, slots):
+    plan = phases(blocks, raw, slots)
+    rows = sorted(timetable(spark, plan, slots).collect(), key=lambda r: r["slot"])
+    assert [r["slot"] for r in rows] == list(range(sum(blocks)))
+    assert sorted((r["number"], r["block"]) for r in rows) == [(s, b) for s, n in enumerate(blocks) for b in range(n)]
+    return plan, rows
+
+
+CASES = [
+    ([4000, 1300, 700, 90, 15, 3], [sqrt(4000), sqrt(1300), pi, sqrt(2), 0.01, 1e-7]),
+    ([3000, 60, 60], [0.98, 0.01, 0.01]),
+    ([900, 900, 900], [1.0, 1.0, 1.0]),
+    ([700], [0.3]),
+    ([200] * 23, [1.0 + sqrt(i) for i in range(23)]),
+]
+
+
+@pytest.mark.parametrize("blocks, raw", CASES)
+def test_less_than_one_block_off_at_every_slot(spark, blocks, raw):
+    plan, rows = scheduled(spark, blocks, raw, 64)
+    for _, first, length, active, _, before, part in plan:
+        total = sum(Fraction(raw[s]) for s in active)
+        done = dict.fromkeys(active, 0)
+        for t in range(length):
+            r = rows[first + t]
+            s = r["number"]
+            w = Fraction(raw[s]) / total
+            i = r["block"] - before[active.index(s)]
+            assert i == done[s] and abs(r["release"] - first - floor(i / w)) <= 1 and abs(r["deadline"] - first - ceil((i + 1) / w)) <= max(1, 1e-9 / w)
+            assert r["release"] <= r["slot"] < r["deadline"]
+            done[s] += 1
+            assert all(abs(done[x] - Fraction(raw[x]) / total * (t + 1)) < 1 + Fraction(1, 10**6) for x in active)
+        assert [done[s] for s in active] == part
+
+
+def test_long_rounds_are_plain_earliest_deadline_first(spark):
+    blocks, raw = [300, 120, 41, 7], [sqrt(3), sqrt(2), 0.5, 0.125]
+    _, rows = scheduled(spark, blocks, raw, 10**6)
+    plan = phases(blocks, raw, 10**6)
+    edf = plain_edf(blocks, raw)
+    for _, first, length, *_ in plan[:1]:  # later phases depend on who was under way when the first one ended
+        assert [(r["number"], r["block"]) for r in rows[first : first + length - 8]] == edf[first : first + length - 8]
+
+
+def test_done_by_finds_room():
+    shares, now = [98, 1, 1], [0, 0, 0]
+    for t in range(10, 300, 10):
+        then = done_by(shares, t - 10, t)
+        assert sum(then) == t and all(abs(d - k * t / 100) < 1 for d, k in zip(then, shares, strict=True))
+        assert all(b >= a for a, b in zip(now, then, strict=True))
+        now = then
+
+
+def test_documents_come_once_in_whole_blocks(spark):
     sizes = {"a": 900, "b": 330, "c": 70, "d": 5}
     rows = [(i, f"t{i}", s, 7, "x") for i, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
-    weights = {"a": 0.5, "b": 0.3, "c": 0.15, "d": 0.05}
+    weights = {"a": 0.5, "b": 0.3, "c": 1e-5}  # d has none: it comes last
     out = mix_documents(spark.createDataFrame(rows, SCHEMA), weights, block_docs=4, slots=40).collect()
     assert sorted(r["row"]["doc_id"] for r in out) == list(range(len(rows)))
     blocks = defaultdict(list)
     for r in out:
-        assert r["release"] <= r["slot"] < r["deadline"]
-        blocks[r["row"]["source"], r["block"]].append((r["slot"], r["place"], r["round"]))
-    assert all(len({s for s, *_ in v}) == 1 and sorted(p for _, p, _ in v) == list(range(len(v))) for v in blocks.values())
+        assert r["release"] <= r["slot"] < r["deadline"] and r["round"] == r["slot"] // 40
+        blocks[r["row"]["source"], r["block"]].append((r["slot"], r["place"]))
+    assert all(len({s for s, _ in v}) == 1 and sorted(p for _, p in v) == list(range(len(v))) for v in blocks.values())
     assert all(len(v) == 4 for (s, b), v in blocks.items() if b < sizes[s] // 4)
     order = sorted((v[0][0], s) for (s, _), v in blocks.items())
-    assert [s for s, _ in order] == list(range(len(order)))
-    share, done = {"a": 20, "b": 12, "c": 6, "d": 2}, Counter()
-    for t in range(40):  # the first round has all sources but d, which has two blocks
-        done[order[t][1]] += 1
-        assert all(abs(done[s] - share[s] * (t + 1) / 40) < 1 for s in share)
-    # every round keeps each source within a block of its share of that round
-    rounds = defaultdict(list)
-    for (s, _), v in blocks.items():
-        rounds[v[0][2]].append((v[0][0], s))
-    for v in rounds.values():
-        v.sort()
-        total, done = Counter(s for _, s in v), Counter()
-        for t, (_, s) in enumerate(v, 1):
-            done[s] += 1
-            assert all(abs(done[x] - total[x] * t / len(v)) < 1 for x in total)
+    assert [s for s, _ in order] == list(range(len(order))) and [s for _, s in order[-2:]] == ["d", "d"]
+
+
+def test_many_sources(spark):
+    rows = [(i, "t", f"s{i % 300}", 0, None) for i in range(900)]
+    out = mix_documents(spark.createDataFrame(rows, SCHEMA), block_docs=2).select("row.doc_id", "slot").collect()
+    assert sorted(r["doc_id"] for r in out) == list(range(900)) and {r["slot"] for r in out} == set(range(600))
 
 
 def test_edges(spark):
@@ -42,9 +108,8 @@ def test_edges(spark):
     assert len({r["slot"] for r in out}) == 3
     assert mix_documents(spark.createDataFrame([], SCHEMA)).count() == 0
     ordered = in_mix_order(spark.createDataFrame(rows, SCHEMA))
-    assert ordered.columns == ["doc_id", "text", "source", "slot", "__row"] and ordered.count() == 4
-
-
-def test_shares():
-    assert sum(shares({"a": 5, "b": 7, "c": 9}, None, 0.5, 100).values()) == 100
-    assert shares({"a": 5, "b": 7}, {"a": 1.0}, 0.5, 10) == {"a": 10, "b": 1}
+    assert ordered.columns == ["doc_id", "text", "source", "slot", "__row"]
+    assert sorted(map(str, (tuple(r) for r in ordered.collect()))) == sorted(map(str, rows))
+    assert in_mix_order(spark.createDataFrame([], SCHEMA)).count() == 0
+    with pytest.raises(ValueError):
+        mix_documents(spark.createDataFrame(rows, SCHEMA), {"": -1.0})
