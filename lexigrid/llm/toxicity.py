@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NUMBERS, added_up, column, numbers_of_task, stored
+from .common import NUMBERS, added_up, column, discard, numbers_of_task, stored
 
 #: What written characters may stand for, besides themselves (fixed values).
 IMITATES = {
@@ -137,12 +137,46 @@ DOUBLE = re.compile(r"(.)\1")
 SIGNS = re.compile(r"[^\W\d_].*[\d\W_]|[\d@$!|+€£*(].*[^\W\d_]")
 
 
+#: Letters of a feature that a disguised word must be able to begin with.
+BEGIN = 4
+
+
+class Beginnings:
+    """Can a written word stand for one that shows a feature? The lattice of Restorer.decode(), followed only as far as
+    some feature begins so; no path that decode() may take is left out."""
+
+    def __init__(self, wanted: Iterable[str]):
+        words = {f[1:] for f in wanted}
+        self.short = {w for w in words if len(w) < BEGIN}
+        self.begun = {w[:k] for w in words for k in range(min(len(w), BEGIN) + 1)}
+
+    def meets(self, written: str) -> bool:
+        begun, alive = self.begun, {""}
+        for c in written:
+            means = (c if c.isalnum() else "") + IMITATES.get(c, "")
+            now = set()
+            for w in alive:
+                for m in means:
+                    longer = w + m
+                    if longer in begun:
+                        if len(longer) == BEGIN:
+                            return True
+                        now.add(longer)
+                if not c.isalnum() or (w and w[-1] in means):  # a sign that stands for nothing, or a repeat
+                    now.add(w)
+            alive = now
+            if not alive:
+                return False
+        return not alive.isdisjoint(self.short)
+
+
 class Words:
-    """Restored words of texts."""
+    """Restored words of texts; with `wanted` features, disguised words that can't show one of them are left out."""
 
-    def __init__(self, costs: np.ndarray):
+    def __init__(self, costs: np.ndarray, wanted: Iterable[str] | None = None):
         self.restorer = Restorer(costs)
         self.cache: dict[str, tuple[str, ...]] = {}
+        self.meets = (lambda _: True) if wanted is None else Beginnings(wanted).meets
 
     def forms(self, token: str) -> tuple[str, ...]:
         """The token in lower case and without signs around it; decoded if it still shows a sign of disguise. A doubled
@@ -154,8 +188,8 @@ class Words:
             if not word.isalpha() or RUN.search(word):
                 core = token if len(word) < len(token) and any(c in "@$!|+€£(" for c in token[:1]) else word
                 if SIGNS.search(core) or RUN.search(core):
-                    known = (self.restorer.decode(core),)
-            elif DOUBLE.search(word) and (meant := self.restorer.decode(word)) != word:
+                    known = (self.restorer.decode(core),) if self.meets(core) else ()
+            elif DOUBLE.search(word) and self.meets(word) and (meant := self.restorer.decode(word)) != word:
                 known = (word, meant)
             if len(self.cache) >= CACHE:
                 self.cache.clear()
@@ -220,39 +254,46 @@ def fit_logit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
 
 
 def _train(rows: DataFrame, costs) -> Classifier:
-    """rows: id, text, toxic. Weights from one part of a bounded sample, the regression from the other."""
-    n = rows.count()
-    place = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) / float(1 << 20)
-    share = min(1.0, (SAMPLE + FIT_SAMPLE) / max(n, 1))
-    chosen = rows.where(place < share)
-    first = place < share * SAMPLE / (SAMPLE + FIT_SAMPLE)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, toxic, clean, seen = Words(costs.value), Counter(), Counter(), [0, 0]
-        for batch in batches:
-            for text, label in zip(column(batch, "text").to_pylist(), column(batch, "toxic").to_pylist(), strict=True):
-                found, _ = words.of(text)
-                (toxic if label else clean).update({f for w in found for f in features(w)})
-                seen[bool(label)] += 1
-        names = [*toxic, *(f for f in clean if f not in toxic)]
-        yield pa.RecordBatch.from_arrays([pa.array([*names, ""]), pa.array([*(toxic[f] for f in names), seen[1]], pa.int64()), pa.array([*(clean[f] for f in names), seen[0]], pa.int64())], ["feature", "toxic", "clean"])
-
-    counted = chosen.where(first).select("text", "toxic").mapInArrow(count, "feature string, toxic long, clean long").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    totals = counted.where("feature = ''").first()
-    if totals is None or not totals["t"]:
+    """rows: text, toxic, first. Weights from one part of a bounded sample (first), the regression from the other.
+
+    What clean texts show is counted for the features of toxic ones only.
+    """
+
+    def shown(chosen: DataFrame, wanted: list[str] | None) -> DataFrame:
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words, keep, seen, n = Words(costs.value, wanted), None if wanted is None else set(wanted), Counter(), 0
+            for batch in batches:
+                for text in column(batch, "text"):
+                    found, _ = words.of(text.as_py())
+                    own = {f for w in found for f in features(w)}
+                    seen.update(own if keep is None else own & keep)
+                    n += 1
+            yield pa.RecordBatch.from_arrays([pa.array([*seen, ""]), pa.array([*seen.values(), n], pa.int64())], ["feature", "n"])
+
+        return chosen.select("text").mapInArrow(count, "feature string, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+    learn = rows.where("first")
+    toxic = {r["feature"]: r["n"] for r in shown(learn.where("toxic = 1"), None).where("n >= 3 OR feature = ''").collect()}
+    n_toxic = toxic.pop("", 0)
+    if not n_toxic:
         return Classifier({}, np.array([-3.0, 0, 0, 0, 0, 0, 0]))
-    weight = F.log((F.col("t") + 0.5) / (totals["t"] + 1)) - F.log((F.col("c") + 0.5) / (totals["c"] + 1))
-    sure = weight - F.sqrt(1 / (F.col("t") + 0.5) + 1 / (F.col("c") + 0.5))
-    top = counted.where("feature <> '' AND t >= 3").select("feature", sure.alias("w")).where("w > 0.8").orderBy(F.desc("w"), "feature").limit(FEATURES).collect()
-    model = Classifier({r["feature"]: r["w"] for r in top}, np.zeros(7))
+    clean = {r["feature"]: r["n"] for r in shown(learn.where("toxic = 0"), list(toxic)).collect()}
+    n_clean = clean.pop("", 0)
+    sure = {}
+    for f, t in toxic.items():
+        c = clean.get(f, 0)
+        w = np.log((t + 0.5) / (n_toxic + 1)) - np.log((c + 0.5) / (n_clean + 1)) - np.sqrt(1 / (t + 0.5) + 1 / (c + 0.5))
+        if w > 0.8:
+            sure[f] = float(w)
+    model = Classifier({f: sure[f] for f in sorted(sure, key=lambda f: (-sure[f], f))[:FEATURES]}, np.zeros(7))
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(costs.value)
+        words = Words(costs.value, model.weights)
         for batch in batches:
             found = [model.signs(*words.of(t.as_py())) for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), column(batch, "toxic")], ["x", "toxic"])
 
-    fit = chosen.where(~first).select("text", "toxic").mapInArrow(signs, "x array<double>, toxic int").collect()
+    fit = rows.where("NOT first").select("text", "toxic").mapInArrow(signs, "x array<double>, toxic int").collect()
     if not fit:
         return model
     model.logit = fit_logit(np.array([r["x"] for r in fit]), np.array([r["toxic"] for r in fit], float))
@@ -274,11 +315,16 @@ def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 5, held:
     costs = context.broadcast(trigram_costs(count_trigrams(docs, text_col)))
     crc = lambda c: F.crc32(F.coalesce(c.cast("string"), F.lit("")).cast("binary")) % modulus == held
     taught = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("id").isNotNull() & ~crc(F.col("id")))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(taught, "id")
+    # chosen before they meet the texts, so no text is shuffled: SAMPLE + FIT_SAMPLE rows at most
+    sample = stored(taught.orderBy(F.xxhash64("id"), "id", "toxic").limit(SAMPLE + FIT_SAMPLE), "labels")
+    first = F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SAMPLE + FIT_SAMPLE)) < SAMPLE
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(sample), "id").withColumn("first", first)
     model = context.broadcast(_train(rows, costs))
+    discard(sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, classifier = Words(costs.value), model.value
+        classifier = model.value
+        words = Words(costs.value, classifier.weights)
         for batch in batches:
             scores = [classifier.score(classifier.signs(*words.of(t.as_py()))) for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [id_col, "held_out", "score", "predicted"])

@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from lexigrid.llm.toxicity import Restorer, Words, count_trigrams, score_documents, trigram_costs
+from lexigrid.llm.toxicity import DROP, EDGE, HIDE, IMITATE, IMITATES, KEEP_SIGN, REPEAT, SEPARATORS, Beginnings, Restorer, Words, count_trigrams, features, score_documents, trigram_costs
 
 DOCS, LABELS = "doc_id long, text string, score string, toxic int", "doc_id long, quality int, toxic int, text string"
 
@@ -32,6 +32,44 @@ def test_restores(spark, written, meant):
     assert Restorer(COSTS).decode(written) == meant
 
 
+def all_paths(written, costs):
+    """Cost and letters of each path of the lattice, one by one."""
+    number = Restorer.number
+    letters = [k for k, c in enumerate(written) if c.isalnum()]
+
+    def go(at, a, b, out, cost):
+        if at == len(written):
+            yield cost + costs[a][b][0], out
+            return
+        c, means = written[at], IMITATES.get(written[at], "")
+        arcs = [(c, 0.0 if c.isalpha() else KEEP_SIGN)] if c.isalnum() else []
+        arcs += [(m, HIDE if len(means) > 2 else IMITATE) for m in means]
+        for m, extra in arcs:
+            yield from go(at + 1, b, number(m), out + m, cost + extra + costs[a][b][number(m)])
+        edge = not letters or at <= letters[0] or at >= letters[-1]
+        skips = [REPEAT] if out and any(m == out[-1] for m, _ in arcs) else []
+        if not c.isalnum() and (c in SEPARATORS or edge or not means):
+            skips.append((EDGE if means else 0.0) if edge else DROP)
+        if skips:
+            yield from go(at + 1, a, b, out, cost + min(skips))
+
+    return go(0, 0, 0, "", 0.0)
+
+
+def test_viterbi_is_the_best_of_all_paths(spark):
+    costs = trigram_costs(count_trigrams(spark.createDataFrame(corpus()[0], DOCS), "text"))
+    rnd, restorer = random.Random(9), Restorer(costs)
+    for written in ["1d10t", "m.0.r.0.n", "p4th3t1c", "$tup1d!", "*#a", "!!", "", *("".join(rnd.choices("mronidt0134@!.-*", k=rnd.randint(1, 6))) for _ in range(150))]:
+        found = sorted(all_paths(written, costs))
+        if restorer.decode(written) != found[0][1]:  # several of one cost, or the repeat of a letter with several last letters
+            assert restorer.decode(written) in {w for c, w in found if c < found[0][0] + 1e-9}
+    words = ["moron", "idiot", "a", "it"]
+    begin = Beginnings({f for w in words for f in features(w)})
+    for written in ["".join(rnd.choices("mronidt0134@!.-*", k=rnd.randint(1, 6))) for _ in range(150)]:
+        if any(f in {g for w in words for g in features(w)} for _, w in all_paths(written, costs) for f in features(w)):
+            assert begin.meets(written)
+
+
 def test_opens_the_gates(spark):
     words = Words(trigram_costs(count_trigrams(spark.createDataFrame(corpus()[0], DOCS), "text")))
     for written, meant in (("stuupid", "stupid"), ("iddiot", "idiot"), ("bridge", "bridge")):
