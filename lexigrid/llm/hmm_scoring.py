@@ -4,10 +4,13 @@ Training counts every word of the training texts (exact, by a shuffle). The comm
 have emission rows of their own; all other words are one class for the states and share its probability in
 proportion to the base model, so the table of the model is bounded while every word keeps an exact probability.
 
-Baum-Welch: each task runs forward and backward over its texts with the present model and sends expected counts
+Baum-Welch: each task runs forward and backward over its whole texts with the present model and sends expected counts
 per state; the sums make the next model. Scoring runs the scaled forward recursion over whole texts: the sum of the
 logarithms of the scales is the exact log likelihood.
 
+Long texts are run over in stretches, all at once: the product of the (scaled) matrices of a stretch carries the forward
+vector over it, and the backward vector back, so every stretch begins and ends with what the whole text gives there.
+
 The base model, sum over tokens of log10((c + 1) / (N + V + 1)), is the prior of all emissions.
 """
 
@@ -23,14 +26,14 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, encode, stored
+from .common import NUMBERS, added_up, column, discard, encode, numbers_of_task, stored
 from .placed_texts import LAST
 
 END = b" "  # never a word
 #: Words whose counts a task keeps before it sends them.
 GATHER = 400_000
-#: Tokens that a task runs over together, and the longest stretch that Baum-Welch takes as one sequence. Scoring knows no such limit.
-TOKENS, STRETCH = 1_000_000, 256
+#: Tokens that a task runs over together (a longer text alone), and the longest stretch. Results don't depend on either.
+TOKENS, STRETCH = 64_000, 256
 
 
 @dataclass(frozen=True)
@@ -100,64 +103,110 @@ def _ids(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint32).astype(np.int64)
 
 
-def _aligned(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Order by falling length, how many are left at each step, and the words at each step of those."""
-    order = np.argsort([-len(s) for s in sequences], kind="stable")
-    lengths = np.array([len(sequences[i]) for i in order])
-    flat = np.concatenate([sequences[i] for i in order])
-    begin = np.cumsum(lengths) - lengths
-    left = np.searchsorted(-lengths, -np.arange(int(lengths[0])), "left")
-    return order, left, [flat[begin[:m] + t] for t, m in enumerate(left)]
+class Stretches:
+    """Texts cut into stretches, ordered by falling length so that all take a step together."""
+
+    def __init__(self, sequences: list[np.ndarray]):
+        pieces = [-(-len(s) // STRETCH) for s in sequences]
+        self.text = np.repeat(np.arange(len(sequences)), pieces)
+        self.turn = np.concatenate([np.arange(n) for n in pieces])  # of a stretch in its text
+        flat = np.concatenate(sequences)
+        starts = np.cumsum([0, *(len(s) for s in sequences)])
+        begin = starts[self.text] + self.turn * STRETCH
+        length = np.minimum(starts[self.text + 1] - begin, STRETCH)
+        order = np.argsort(-length, kind="stable")
+        self.text, self.turn, length, begin = self.text[order], self.turn[order], length[order], begin[order]
+        self.place = np.empty(len(order), np.int64)  # of each stretch, text by text, in this order
+        self.place[order] = np.arange(len(order))
+        self.first_of_text = np.cumsum([0, *pieces])
+        left = np.searchsorted(-length, -np.arange(int(length[0])), "left")
+        self.at = [flat[begin[:m] + t] for t, m in enumerate(left.tolist())]
+        self.left = left.tolist()
+
+    def ends(self, model: Model, backward: bool) -> tuple[np.ndarray, np.ndarray]:
+        """For each stretch: the distribution of the state before it, and (backward) of what follows it, by states, scaled."""
+        n, k = len(self.text), len(model.start)
+        ahead, after = np.ones((n, k)), np.ones((n, k))
+        long = np.flatnonzero(np.isin(self.text, self.text[self.turn > 0]))
+        if not len(long):
+            return ahead, after
+        # products of the matrices of steps (and emissions) of all stretches of texts with several; the first step of a text has
+        # the start for its own
+        product = np.broadcast_to(np.eye(k), (len(long), k, k)).copy()
+        where = np.full(n, -1)
+        where[long] = np.arange(len(long))
+        for t, m in enumerate(self.left):
+            some = where[:m] >= 0
+            rows = where[:m][some]
+            now = product[rows].reshape(-1, k)
+            now = ((now @ model.step) if t else np.where((self.turn[:m][some] > 0)[:, None, None], model.step, model.start).reshape(-1, k)).reshape(-1, k, k)
+            now *= model.emit[self.at[t][some]][:, None, :]
+            now /= now.sum((1, 2), keepdims=True)
+            product[rows] = now
+        texts = np.unique(self.text[long])
+        count = np.diff(self.first_of_text)[texts]
+        for j in range(int(count.max()) - 1):  # from the stretch j of each text to the next
+            on = texts[count > j + 1]
+            here, there = self.place[self.first_of_text[on] + j], self.place[self.first_of_text[on] + j + 1]
+            a = np.einsum("ni,nij->nj", ahead[here], product[where[here]])
+            ahead[there] = a / a.sum(1, keepdims=True)
+        if backward:
+            for j in range(int(count.max()) - 1, 0, -1):
+                on = texts[count > j]
+                here, there = self.place[self.first_of_text[on] + j - 1], self.place[self.first_of_text[on] + j]
+                b = np.einsum("nij,nj->ni", product[where[there]], after[there])
+                after[here] = b / b.sum(1, keepdims=True)
+        return ahead, after
+
+    def forward(self, model: Model, ahead: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Scaled forward vectors and their scales, step by step."""
+        begins = (self.turn == 0)[:, None]
+        vectors, scales = [], []
+        a = ahead
+        for t, m in enumerate(self.left):
+            a = (a[:m] @ model.step if t else np.where(begins, model.start, a @ model.step)) * model.emit[self.at[t]]
+            scale = a.sum(1)
+            a /= scale[:, None]
+            vectors.append(a)
+            scales.append(scale)
+        return vectors, scales
 
 
 def log_likelihoods(sequences: list[np.ndarray], model: Model) -> np.ndarray:
     """log10 of the probability of each sequence (all have a token), by the scaled forward recursion."""
-    order, left, at = _aligned(sequences)
-    total = np.zeros(len(sequences))
-    a = np.broadcast_to(model.start, (len(sequences), len(model.start)))
-    for t, m in enumerate(left):
-        a = (a[:m] @ model.step if t else a[:m]) * model.emit[at[t]]
-        scale = a.sum(1)
-        a = a / scale[:, None]
-        total[:m] += np.log10(scale)
-    out = np.empty(len(sequences))
-    out[order] = total
-    return out
-
-
-def expected_counts(sequences: list[np.ndarray], first: np.ndarray, model: Model, counts: Model) -> float:
-    """Add the expected counts of the sequences; first: which ones begin a text. Returns the log10 likelihood."""
-    order, left, at = _aligned(sequences)
-    first = first[order]
-    k = len(model.start)
-    ahead, scales = [], []
-    going = np.full(k, 1.0 / k)  # a stretch from inside a text begins with the mean of what follows a state
-    inside = going
-    for _ in range(8):
-        inside = inside @ model.step
-    a = np.where(first[:, None], model.start, inside)
-    for t, m in enumerate(left):
-        a = (a[:m] @ model.step if t else a[:m]) * model.emit[at[t]]
-        scale = a.sum(1)
-        a = a / scale[:, None]
-        ahead.append(a)
-        scales.append(scale)
-    back = np.ones((int(left[-1]), k))
-    gammas = [None] * len(left)
-    for t in range(len(left) - 1, -1, -1):
-        m = int(left[t])
-        if len(back) < m:
-            back = np.concatenate([back, np.ones((m - len(back), k))])
-        gammas[t] = ahead[t] * back
+    s = Stretches(sequences)
+    _, scales = s.forward(model, s.ends(model, False)[0])
+    which = np.concatenate([s.text[:m] for m in s.left])
+    return np.bincount(which, np.log10(np.concatenate(scales)), minlength=len(sequences))
+
+
+def expected_counts(sequences: list[np.ndarray], model: Model, counts: Model) -> float:
+    """Add the expected counts of the sequences. Returns their log10 likelihood."""
+    s = Stretches(sequences)
+    before, after = s.ends(model, True)
+    ahead, scales = s.forward(model, before)
+    inside = s.turn > 0
+    back = np.empty((0, len(model.start)))
+    gammas = [None] * len(s.left)
+    for t in range(len(s.left) - 1, -1, -1):
+        m = s.left[t]
+        if len(back) < m:  # stretches that end here
+            back = np.concatenate([back, after[len(back) : m]])
+        gamma = ahead[t] * back
+        whole = gamma.sum(1, keepdims=True)
+        gamma /= whole
+        gammas[t] = gamma
+        follows = model.emit[s.at[t]] * back / (whole * scales[t][:, None])
         if t:
-            ahead_of = (model.emit[at[t]] * back) / scales[t][:, None]
-            counts.step += model.step * (ahead[t - 1][:m].T @ ahead_of)
-            back = ahead_of @ model.step.T
-    counts.start += gammas[0][first].sum(0)
-    where, gamma = np.concatenate(at), np.concatenate(gammas)
-    for s in range(k):
-        counts.emit[:, s] += np.bincount(where, gamma[:, s], minlength=len(counts.emit))
-    return float(sum(np.log10(x).sum() for x in scales))
+            counts.step += model.step * (ahead[t - 1][:m].T @ follows)
+            back = follows @ model.step.T
+        elif inside.any():  # the step from the stretch before
+            counts.step += model.step * (before[inside].T @ follows[inside])
+    counts.start += gammas[0][~inside].sum(0)
+    where, gamma = np.concatenate(s.at), np.concatenate(gammas)
+    for k in range(len(model.start)):
+        counts.emit[:, k] += np.bincount(where, gamma[:, k], minlength=len(counts.emit))
+    return float(np.log10(np.concatenate(scales)).sum())
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
@@ -191,26 +240,11 @@ def _round(coded: DataFrame, shared, states: int, height: int) -> tuple[Model, f
         total, some = 0.0, False
         for rows in _grouped(batches, ["ids"]):
             some = True
-            sequences, first = [], []
-            for (ids,) in rows:
-                for a in range(0, len(ids), STRETCH):
-                    sequences.append(ids[a : a + STRETCH])
-                    first.append(a == 0)
-            total += expected_counts(sequences, np.array(first), model, counts)
+            total += expected_counts([ids for (ids,) in rows], model, counts)
         if some:
-            pack = zstandard.ZstdCompressor(level=1).compress
-            blobs = [np.concatenate([counts.start, counts.step.ravel(), [total]])]
-            blobs += [counts.emit[a : a + SLICE].astype(np.float32).astype(np.float64).ravel() for a in range(0, height, SLICE)]
-            packed = [pack(b.tobytes()) if k == 0 else pack(b.astype(np.float32).tobytes()) for k, b in enumerate(blobs)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(pieces + 1), pa.int32()), pa.array(packed, pa.binary())], ["part", "counts"])
-
-    def add(key, group):
-        kind = np.float64 if key[0] == 0 else np.float32
-        blobs = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind).astype(np.float64) for b in group.counts]
-        # in a fixed order, so a repeated task gives the same sums
-        return group.iloc[:1].assign(counts=[np.sum(sorted(blobs, key=lambda b: b.tobytes()), axis=0).tobytes()])
-
-    sums = {r["part"]: np.frombuffer(r["counts"]) for r in coded.select("ids").mapInArrow(run, "part int, counts binary").groupBy("part").applyInPandas(add, "part int, counts binary").collect()}
+            yield numbers_of_task([np.concatenate([counts.start, counts.step.ravel(), [total]]), *(counts.emit[a : a + SLICE].ravel() for a in range(0, height, SLICE))])
+
+    sums = added_up(coded.select("ids").mapInArrow(run, NUMBERS), np.float64)
     if not sums:
         return Model(np.zeros(states), np.zeros((states, states)), np.zeros((height, states))), 0.0
     start, step = sums[0][:states], sums[0][states : states + states**2].reshape(states, states)
@@ -235,7 +269,7 @@ def _begin(base: np.ndarray, s: Settings) -> Model:
 
 
 def train(coded: DataFrame, base: np.ndarray, s: Settings) -> tuple[Model, list[float]]:
-    """The model after s.rounds rounds, and the log10 likelihood of the training stretches before each."""
+    """The model after s.rounds rounds, and the log10 likelihood of the training texts before each."""
     model, seen = _begin(base, s), []
     context = coded.sparkSession.sparkContext
     for _ in range(s.rounds):
