@@ -8,7 +8,7 @@ Baum-Welch: each task runs forward and backward over its whole texts with the pr
 per state; the sums make the next model. Scoring runs the scaled forward recursion over whole texts: the sum of the
 logarithms of the scales is the exact log likelihood.
 
-Long texts are run over in stretches, all at once: the product of the (scaled) matrices of a stretch carries the forward
+Long texts are run over in stretches, all at once: the product of the (scaled) matrices of an inner stretch carries the forward
 vector over it, and the backward vector back, so every stretch begins and ends with what the whole text gives there.
 
 The base model, sum over tokens of log10((c + 1) / (N + V + 1)), is the prior of all emissions.
@@ -19,6 +19,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import filterfalse, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,9 @@ END = b" "  # never a word
 #: Words whose counts a task keeps before it sends them.
 GATHER = 400_000
 #: Tokens that a task runs over together (a longer text alone), and the longest stretch. Results don't depend on either.
-TOKENS, STRETCH = 64_000, 256
+TOKENS, STRETCH = 128_000, 1024
+#: Steps between two scalings (a probability of 1e-30 at each would still fit), and matrices that are multiplied together.
+SCALED, TOGETHER = 8, 64
 
 
 @dataclass(frozen=True)
@@ -89,9 +92,9 @@ def _coded(rows: DataFrame, shared) -> DataFrame:
             n, ids, rest = [], [], []
             for value in column(batch, "text"):
                 t = tokens(value.as_py())
-                code = np.fromiter((number.get(w, other) for w in t), np.uint32, len(t))
+                code = np.fromiter(map(number.get, t, repeat(other)), np.uint32, len(t))
                 n.append(len(t)), ids.append(pack(code.tobytes()))
-                rest.append(list(Counter(w for w in t if w not in number).items()))
+                rest.append(list(Counter(filterfalse(number.__contains__, t)).items()))
             rare = pa.array([[{"word": w, "times": k} for w, k in r] for r in rest], pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
             yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "held_out"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), rare], ["id", "held_out", "n_tokens", "ids", "rare"])
 
@@ -103,91 +106,107 @@ def _ids(blob: bytes) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint32).astype(np.int64)
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    return x / x.sum(tuple(range(1, x.ndim)), keepdims=True)
+
+
 class Stretches:
     """Texts cut into stretches, ordered by falling length so that all take a step together."""
 
     def __init__(self, sequences: list[np.ndarray]):
-        pieces = [-(-len(s) // STRETCH) for s in sequences]
-        self.text = np.repeat(np.arange(len(sequences)), pieces)
-        self.turn = np.concatenate([np.arange(n) for n in pieces])  # of a stretch in its text
-        flat = np.concatenate(sequences)
+        pieces = np.array([-(-len(s) // STRETCH) for s in sequences])
+        self.first = np.cumsum([0, *pieces])  # stretch of each text, in the order of texts
+        text = np.repeat(np.arange(len(sequences)), pieces)
+        self.flat = np.concatenate(sequences)
         starts = np.cumsum([0, *(len(s) for s in sequences)])
-        begin = starts[self.text] + self.turn * STRETCH
-        length = np.minimum(starts[self.text + 1] - begin, STRETCH)
-        order = np.argsort(-length, kind="stable")
-        self.text, self.turn, length, begin = self.text[order], self.turn[order], length[order], begin[order]
-        self.place = np.empty(len(order), np.int64)  # of each stretch, text by text, in this order
-        self.place[order] = np.arange(len(order))
-        self.first_of_text = np.cumsum([0, *pieces])
-        left = np.searchsorted(-length, -np.arange(int(length[0])), "left")
-        self.at = [flat[begin[:m] + t] for t, m in enumerate(left.tolist())]
-        self.left = left.tolist()
+        self.begin = starts[text] + (np.arange(len(text)) - self.first[text]) * STRETCH
+        self.length = np.minimum(starts[text + 1] - self.begin, STRETCH)
+        self.order = np.argsort(-self.length, kind="stable")
+        self.text, self.inside = text, self.begin > starts[text]
+        self.left = self.steps(self.order)
+        self.at = [self.flat[self.begin[self.order[:m]] + t] for t, m in enumerate(self.left)]
+
+    def steps(self, order: np.ndarray) -> list[int]:
+        """How many of these stretches (by falling length) take each step."""
+        length = self.length[order]
+        return np.searchsorted(-length, -np.arange(int(length[0])), "left").tolist() if len(order) else []
 
     def ends(self, model: Model, backward: bool) -> tuple[np.ndarray, np.ndarray]:
-        """For each stretch: the distribution of the state before it, and (backward) of what follows it, by states, scaled."""
-        n, k = len(self.text), len(model.start)
-        ahead, after = np.ones((n, k)), np.ones((n, k))
-        long = np.flatnonzero(np.isin(self.text, self.text[self.turn > 0]))
-        if not len(long):
-            return ahead, after
-        # products of the matrices of steps (and emissions) of all stretches of texts with several; the first step of a text has
-        # the start for its own
-        product = np.broadcast_to(np.eye(k), (len(long), k, k)).copy()
-        where = np.full(n, -1)
-        where[long] = np.arange(len(long))
-        for t, m in enumerate(self.left):
-            some = where[:m] >= 0
-            rows = where[:m][some]
-            now = product[rows].reshape(-1, k)
-            now = ((now @ model.step) if t else np.where((self.turn[:m][some] > 0)[:, None, None], model.step, model.start).reshape(-1, k)).reshape(-1, k, k)
-            now *= model.emit[self.at[t][some]][:, None, :]
-            now /= now.sum((1, 2), keepdims=True)
-            product[rows] = now
-        texts = np.unique(self.text[long])
-        count = np.diff(self.first_of_text)[texts]
-        for j in range(int(count.max()) - 1):  # from the stretch j of each text to the next
-            on = texts[count > j + 1]
-            here, there = self.place[self.first_of_text[on] + j], self.place[self.first_of_text[on] + j + 1]
-            a = np.einsum("ni,nij->nj", ahead[here], product[where[here]])
-            ahead[there] = a / a.sum(1, keepdims=True)
-        if backward:
-            for j in range(int(count.max()) - 1, 0, -1):
-                on = texts[count > j]
-                here, there = self.place[self.first_of_text[on] + j - 1], self.place[self.first_of_text[on] + j]
-                b = np.einsum("nij,nj->ni", product[where[there]], after[there])
-                after[here] = b / b.sum(1, keepdims=True)
-        return ahead, after
-
-    def forward(self, model: Model, ahead: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-        """Scaled forward vectors and their scales, step by step."""
-        begins = (self.turn == 0)[:, None]
-        vectors, scales = [], []
-        a = ahead
+        """For each stretch, in its order: the state's distribution before it, and (backward) the scaled weights of what follows it."""
+        n, k = len(self.begin), len(model.start)
+        before, after = np.ones((n, k)), np.ones((n, k))
+        head = self.first[:-1][np.diff(self.first) > 1]
+        tail = self.first[1:][np.diff(self.first) > 1] - 1
+        if len(head):
+            a = _scaled(model.start * model.emit[self.flat[self.begin[head]]])
+            for t in range(1, STRETCH):
+                a = (a @ model.step) * model.emit[self.flat[self.begin[head] + t]]
+                if t % SCALED == 0:
+                    a = _scaled(a)
+            before[head + 1] = _scaled(a)
+            inner = np.concatenate([np.arange(a + 1, b) for a, b in zip(head.tolist(), tail.tolist(), strict=True)])
+            product = np.empty((len(inner), k, k))
+            for low in range(0, len(inner), TOGETHER):
+                x = self.begin[inner[low : low + TOGETHER]]
+                p = model.step * model.emit[self.flat[x]][:, None, :]
+                for t in range(1, STRETCH):
+                    p = (p.reshape(-1, k) @ model.step).reshape(-1, k, k)
+                    p *= model.emit[self.flat[x + t]][:, None, :]
+                    if t % SCALED == 0:
+                        p = _scaled(p)
+                product[low : low + TOGETHER] = _scaled(p)
+            number = np.full(n, -1)
+            number[inner] = np.arange(len(inner))
+            for j in range(1, int((tail - head).max())):  # from the j-th stretch of each text to the next
+                on = head[tail - head > j] + j
+                before[on + 1] = _scaled(np.einsum("ni,nij->nj", before[on], product[number[on]]))
+            if backward:
+                order = tail[np.argsort(-self.length[tail], kind="stable")]
+                b = np.ones((len(order), k))
+                for t, m in reversed(list(enumerate(self.steps(order)))):
+                    b[:m] = (model.emit[self.flat[self.begin[order[:m]] + t]] * b[:m]) @ model.step.T
+                    if t % SCALED == 0:
+                        b[:m] = _scaled(b[:m])
+                after[order - 1] = b
+                for j in range(1, int((tail - head).max())):
+                    on = tail[tail - head > j] - j
+                    after[on - 1] = _scaled(np.einsum("nij,nj->ni", product[number[on]], after[on]))
+        return before[self.order], after[self.order]
+
+    def forward(self, model: Model, before: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list, np.ndarray]:
+        """Forward vectors and emissions step by step, the scales where vectors were scaled, and log10 likelihoods of the texts."""
+        vectors, emits, scales = [], [], []
+        logs = np.zeros(len(before))
+        a = np.where(self.inside[self.order][:, None], before @ model.step, model.start)
         for t, m in enumerate(self.left):
-            a = (a[:m] @ model.step if t else np.where(begins, model.start, a @ model.step)) * model.emit[self.at[t]]
-            scale = a.sum(1)
-            a /= scale[:, None]
-            vectors.append(a)
-            scales.append(scale)
-        return vectors, scales
+            e = model.emit[self.at[t]]
+            a = (a[:m] @ model.step if t else a) * e
+            scale = None
+            if t % SCALED == SCALED - 1:
+                scale = a.sum(1)
+                a = a / scale[:, None]
+                logs[:m] += np.log10(scale)
+            vectors.append(a), emits.append(e), scales.append(scale)
+            on = self.left[t + 1] if t + 1 < len(self.left) else 0
+            if on < m:  # stretches that end here
+                logs[on:m] += np.log10(a[on:].sum(1))
+        return vectors, emits, scales, np.bincount(self.text[self.order], logs, minlength=len(self.first) - 1)
 
 
 def log_likelihoods(sequences: list[np.ndarray], model: Model) -> np.ndarray:
     """log10 of the probability of each sequence (all have a token), by the scaled forward recursion."""
     s = Stretches(sequences)
-    _, scales = s.forward(model, s.ends(model, False)[0])
-    which = np.concatenate([s.text[:m] for m in s.left])
-    return np.bincount(which, np.log10(np.concatenate(scales)), minlength=len(sequences))
+    return s.forward(model, s.ends(model, False)[0])[-1]
 
 
 def expected_counts(sequences: list[np.ndarray], model: Model, counts: Model) -> float:
     """Add the expected counts of the sequences. Returns their log10 likelihood."""
     s = Stretches(sequences)
     before, after = s.ends(model, True)
-    ahead, scales = s.forward(model, before)
-    inside = s.turn > 0
-    back = np.empty((0, len(model.start)))
-    gammas = [None] * len(s.left)
+    ahead, emits, scales, logs = s.forward(model, before)
+    inside = s.inside[s.order]
+    back, k = np.empty((0, len(model.start))), len(model.start)
+    steps, gammas = np.zeros((k, k)), [None] * len(s.left)
     for t in range(len(s.left) - 1, -1, -1):
         m = s.left[t]
         if len(back) < m:  # stretches that end here
@@ -196,17 +215,20 @@ def expected_counts(sequences: list[np.ndarray], model: Model, counts: Model) ->
         whole = gamma.sum(1, keepdims=True)
         gamma /= whole
         gammas[t] = gamma
-        follows = model.emit[s.at[t]] * back / (whole * scales[t][:, None])
+        follows = emits[t] * back
+        follows /= whole if scales[t] is None else whole * scales[t][:, None]
         if t:
-            counts.step += model.step * (ahead[t - 1][:m].T @ follows)
+            steps += ahead[t - 1][:m].T @ follows
+            # in proportion to the vector of what follows: the next step divides by its own sum
             back = follows @ model.step.T
         elif inside.any():  # the step from the stretch before
-            counts.step += model.step * (before[inside].T @ follows[inside])
+            steps += before[inside].T @ follows[inside]
+    counts.step += model.step * steps
     counts.start += gammas[0][~inside].sum(0)
     where, gamma = np.concatenate(s.at), np.concatenate(gammas)
-    for k in range(len(model.start)):
-        counts.emit[:, k] += np.bincount(where, gamma[:, k], minlength=len(counts.emit))
-    return float(np.log10(np.concatenate(scales)).sum())
+    for state in range(k):
+        counts.emit[:, state] += np.bincount(where, gamma[:, state], minlength=len(counts.emit))
+    return float(logs.sum())
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[list[tuple]]:
