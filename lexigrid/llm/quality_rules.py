@@ -29,8 +29,8 @@ class Bands:
 
     whole: (least bytes, lowest ratio, highest ratio), by length; short texts carry the frame's own bytes,
     so their limits are wide. A text shorter than the first entry has no band.
-    chunk: the same limits for every full chunk of chunk_bytes; a document fails by its chunks if more than
-    bad_share of them lie outside.
+    chunk: the same limits for every full chunk of chunk_bytes, in texts of more than one; what is left at the end is a chunk
+    with the limits for whole texts of its length. A document fails by its chunks if bad_share of them or more lie outside.
     """
 
     whole: tuple[tuple[int, float, float], ...] = (
@@ -97,20 +97,29 @@ class Rater:
     def ratio(self, raw: bytes | memoryview) -> float:
         return len(self.packer.compress(raw)) / len(raw)
 
+    def inside(self, ratio: float, length: int) -> bool:
+        """Is it within the band for texts of that length?"""
+        _, low, high = self.bands.whole[bisect_right(self.starts, length) - 1]
+        return low <= ratio <= high
+
     def verdict(self, raw: bytes) -> tuple[float | None, int, int, bool]:
         """Ratio of the whole text, chunks rated, chunks outside their band, and if the bands accept it."""
         k = bisect_right(self.starts, len(raw)) - 1
         if k < 0:
             return (self.ratio(raw) if raw else None), 0, 0, True
-        _, low, high = self.bands.whole[k]
         whole = self.ratio(raw)
+        fits = self.inside(whole, len(raw))
         size, (least, most) = self.bands.chunk_bytes, self.bands.chunk
         view = memoryview(raw)
         n = bad = 0
         for at in range(0, len(raw) - size + 1, size):
             n += 1
             bad += not least <= self.ratio(view[at : at + size]) <= most
-        return whole, n, bad, low <= whole <= high and bad <= self.bands.bad_share * n
+        rest = len(raw) % size if n else 0
+        if rest >= self.starts[0]:
+            n += 1
+            bad += not self.inside(self.ratio(view[-rest:]), rest)
+        return whole, n, bad, fits and (not bad or bad < self.bands.bad_share * n)
 
     def rate(self, text: str | None) -> tuple:
         text = text or ""
@@ -158,7 +167,8 @@ def rate_documents(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_i
 
 
 def keep_documents(docs: DataFrame, bands: Bands = Bands(), text_col: str = "text") -> DataFrame:
-    """The rows of docs that rate_documents() keeps, with all their columns."""
+    """The rows of docs that rate_documents() keeps, with all their columns, whatever their names. Null and empty texts go;
+    repeated rows share their fate; an empty table gives an empty one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rater = Rater(bands)

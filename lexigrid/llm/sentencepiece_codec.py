@@ -263,14 +263,15 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every whole text and decode it again.
+def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
+    """Encode every whole text and, with decode, decode it again.
 
-    Returns id_col, ids array<int>, decoded string. A null or empty text has no ids and decodes to ''.
+    Returns id_col, ids array<int>, and decoded string with decode. A null or empty text has no ids and decodes to ''.
     Rows are independent: repeated rows give repeated results, an empty table an empty one; other
     columns are not read. No shuffle; memory is bounded by an Arrow batch and the caches.
     """
     where = model or default_model()
+    names = [id_col, "ids", *(["decoded"] if decode else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(where)
@@ -278,15 +279,18 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
             at, n, ids, decoded = 0, 0, [], []
             for k, text in enumerate(texts(batch, text_col), 1):
                 found = c.encode(text or "")
-                ids.append(pa.array(found, pa.int32())), decoded.append(c.decode(found))
+                ids.append(pa.array(found, pa.int32()))
+                if decode:
+                    decoded.append(c.decode(found))
                 n += len(found)
                 if n >= GATHER or k == batch.num_rows:
                     lengths = pa.array([0, *accumulate(map(len, ids))], pa.int32())
-                    yield pa.RecordBatch.from_arrays([column(batch, id_col)[at:k], pa.ListArray.from_arrays(lengths, pa.concat_arrays(ids)), pa.array(decoded, pa.string())], [id_col, "ids", "decoded"])
+                    made = [column(batch, id_col)[at:k], pa.ListArray.from_arrays(lengths, pa.concat_arrays(ids)), pa.array(decoded, pa.string())]
+                    yield pa.RecordBatch.from_arrays(made[: len(names)], names)
                     at, n, ids, decoded = k, 0, [], []
 
     picked = docs.select(id_col, text_col)
-    schema = T.StructType([picked.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType(), True)), T.StructField("decoded", T.StringType())])
+    schema = T.StructType([picked.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType(), True)), T.StructField("decoded", T.StringType())][: len(names)])
     return picked.mapInArrow(run, schema)
 
 
