@@ -14,6 +14,7 @@ import re
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,7 @@ class Restorer:
         self.costs = costs.tolist()
 
     @staticmethod
+    @lru_cache(1 << 16)
     def number(c: str) -> int:
         return int(letter_numbers(np.array([ord(c)], np.uint32))[0])
 
