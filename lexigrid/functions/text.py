@@ -62,7 +62,8 @@ def squeeze(c: Column) -> Column:
 
 def canonical_doi(c: Column) -> Column:
     """First DOI in the text, lower case, without closing punctuation; '' without one."""
-    found = F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), "10\\.\\d{4,9}/[^\\s\"'<>]+", 0))
+    # fixed value: what a DOI looks like inside a text
+    found = F.lower(F.regexp_extract(F.coalesce(c, F.lit("")), "10\\.\\d{4,9}/[^\\s\"<>]+", 0))
     return F.regexp_replace(found, "[).,;\\]}>\"']+$", "")
 
 

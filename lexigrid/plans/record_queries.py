@@ -350,7 +350,12 @@ RECORDS = {
       WITH e AS (SELECT user_id AS point_id, event_type, value, event_id AS position FROM events WHERE event_id < 5000 OR user_id % 3 = 0) SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY position DESC) = 1"""),
     "delete_documents": (delete_documents, f"WITH {search._sql_windows(1200, 150)} SELECT doc_id, chunk_index FROM w WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)"),
     "idempotency_keys": (idempotency_keys, """
-      WITH k AS (SELECT event_id, user_id || ':' || event_type AS key, ts, lag(ts) OVER (PARTITION BY user_id, event_type ORDER BY ts) AS p FROM events) SELECT event_id, key FROM k WHERE p IS NULL OR epoch(ts) - epoch(p) > 86400"""),
+      WITH RECURSIVE k AS (SELECT event_id, user_id || ':' || event_type AS key, ts FROM events),
+      r AS (
+        SELECT key, min(ts) AS ts FROM k GROUP BY key
+        UNION ALL
+        SELECT r.key, min(k.ts) AS ts FROM r JOIN k ON k.key = r.key AND epoch_us(k.ts) - epoch_us(r.ts) > 86400000000 GROUP BY r.key, r.ts)
+      SELECT event_id, key FROM k JOIN r USING (key, ts)"""),
     "idempotency_conflicts": (idempotency_conflicts, "SELECT user_id AS idempotency_key, count(DISTINCT event_type) AS bodies FROM events GROUP BY 1 HAVING count(DISTINCT event_type) > 1"),
     "slot_fire_once": (slot_fire_once, "SELECT DISTINCT strftime(ts, '%Y-%m-%d %H:%M') AS slot FROM events"),
     "hourly_counts": (hourly_counts, "SELECT strftime(ts, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL"),

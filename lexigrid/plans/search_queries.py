@@ -214,8 +214,9 @@ dense AS (SELECT query_id, chunk_id, weight, text, row_number() OVER (PARTITION
 
 def _sql_windows(size: int, overlap: int) -> str:
     step = size - overlap
-    return f"""w AS (SELECT doc_id, source, text, i::INTEGER AS chunk_index, (i * {step})::INTEGER AS start, least(i * {step} + {size}, length(text))::INTEGER AS stop, substr(text, i * {step} + 1, {size}) AS piece
-      FROM documents, LATERAL (SELECT unnest(generate_series(0, greatest(ceil((length(text) - {size}) / {step}.0), 0)::BIGINT)) AS i) WHERE length(trim(text)) > 0)"""
+    return f"""d AS (SELECT doc_id, source, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents),
+      w AS (SELECT doc_id, source, text, i::INTEGER AS chunk_index, (i * {step})::INTEGER AS start, least(i * {step} + {size}, length(text))::INTEGER AS stop, substr(text, i * {step} + 1, {size}) AS piece
+      FROM d, LATERAL (SELECT unnest(generate_series(0, greatest(ceil((length(text) - {size}) / {step}.0), 0)::BIGINT)) AS i) WHERE length(text) > 0)"""
 
 
 _PLAIN = "trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g'), '\\s+', ' ', 'g'), '[^a-z0-9 ]+', '', 'g'))"
@@ -296,7 +297,11 @@ SEARCH = {
     "tokenize_stats": (tokenize_stats, """
       WITH t AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9]+'), lambda x: len(x) >= 2), lambda x: lower(x)) AS t FROM documents)
       SELECT doc_id, len(t)::INTEGER AS n_tokens, len(list_distinct(t))::INTEGER AS n_distinct FROM t"""),
-    "section_keys": (section_keys, None),
+    "section_keys": (section_keys, """
+      WITH t AS (SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda x: upper(x[1]) || lower(x[2:])), ' ') || ' & ' || CASE WHEN p_partkey % 3 = 0 THEN 'Results' ELSE 'Materials and Methods' END AS t FROM part)
+      SELECT p_partkey, replace(trim(regexp_replace(regexp_replace(lower(t), '[^a-z0-9 ]', ' ', 'g'), ' +', ' ', 'g')), ' ', '_') AS key,
+        CASE p_partkey % 3 WHEN 0 THEN 1.35::DOUBLE WHEN 1 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END AS weight,
+        CASE WHEN length(trim(t)) > 12 THEN rtrim(substr(trim(t), 1, 9)) || '...' ELSE trim(t) END AS short FROM t"""),
     "index_exists": (index_exists, "SELECT doc_id, (doc_id IN (SELECT vec_id FROM embeddings))::INTEGER AS found FROM documents"),
     "fetch_by_doc_ids": (fetch_by_doc_ids, f"WITH {_sql_windows(1200, 150)} SELECT doc_id, chunk_index FROM w WHERE source <> 'src3' AND doc_id IN (SELECT vec_id FROM embeddings WHERE label = 1)"),
     "page_records": (page_records, "SELECT page_id, page_id::VARCHAR AS pmid, 'deep vein clot' AS title, 2021 AS year, 'A B' AS authors FROM pages"),

@@ -5,11 +5,12 @@ from __future__ import annotations
 import xml.etree.ElementTree as ET
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import doi_without_prefixes, strip, truthy
 
+#: The columns of the files.
 RANKING = "query_id string, question string, retrieval_mode string, rank int, doc_id string, chunk_id string, doi string, pmid string, title string, score double, candidate_origin string, selected_for_context boolean, corpus_version string, run_id string"
 TASKS = "data struct<doi:string,title:string,abstract:string,year:int,journal:string,authors:array<string>,source:string,source_id:string>, annotations array<struct<result:array<struct<from_name:string,type:string,value:struct<choices:array<string>,rating:int,labels:array<string>,text:string>>>>>"
 ANNOTATIONS = ("query_id", "question", "resolved_doc_id", "doc_id", "chunk_id", "doi", "pmid", "title", "relevance", "rationale", "annotator", "adjudication_status")
@@ -49,12 +50,17 @@ def read_pool(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_annotations(spark: SparkSession, path: str) -> DataFrame:
-    """All columns as trimmed texts; missing ones raise. Adds row, the line in the file (the header is 1)."""
+    """All columns as trimmed texts; missing ones raise. Adds row, the number of the record in the file (the header is 1)."""
     raw = spark.read.csv(path, header=True, multiLine=True)
     if lacking := [c for c in ANNOTATIONS if c not in raw.columns]:
         raise ValueError(f"columns are missing: {', '.join(lacking)}")
-    trimmed = raw.select(*(strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ANNOTATIONS))
-    return trimmed.withColumn("row", F.monotonically_increasing_id() + 2)
+    trimmed = raw.select(*(strip(F.coalesce(F.col(c), F.lit(""))).alias(c) for c in ANNOTATIONS), F.monotonically_increasing_id().alias("at"))
+    # rows before each partition, from one count per partition
+    part = F.shiftrightunsigned("at", 33)
+    counts = trimmed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = counts.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
+    numbered = trimmed.withColumn("part", part).join(before, "part")
+    return numbered.select(*ANNOTATIONS, (F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)) + 2).alias("row"))
 
 
 def read_sheet(spark: SparkSession, path: str, required: list[str], truths: list[str] = ()) -> DataFrame:

@@ -6,19 +6,40 @@ a micro-batch that runs again changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def once_within(events: DataFrame, key: str, time: str = "ts", hours: int = 24) -> DataFrame:
-    """The first event of each key; the key is forgotten after so many hours."""
+def once_within(events: DataFrame, key: str, time: str = "ts", hours: int = 24, body: str | None = None) -> DataFrame:
+    """The events that begin a record of their key: the first one, then each that comes when the record is over so many hours
+    old or, with `body`, that has another body than the record. Such an event replaces the record; others leave it as it is.
+
+    Of events of one time the least by all their columns comes first. Events without a key or a time go. A stream knows no bodies,
+    and forgets records by its watermark.
+    """
     if events.isStreaming:
         return events.withWatermark(time, f"{hours} hours").dropDuplicatesWithinWatermark([key])
-    gap = F.col(time).cast("double") - F.lag(F.col(time).cast("double")).over(Window.partitionBy(key).orderBy(time))
-    return events.withColumn("_g", gap).where(F.col("_g").isNull() | (F.col("_g") > hours * 3600)).drop("_g")
+    mark = F.coalesce(F.col(body).cast("string"), F.lit("")) if body else F.lit("")
+    rows = events.where(F.col(key).isNotNull() & F.col(time).isNotNull()).select(F.col(key).cast("string").alias("k"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), mark.alias("b"), F.struct(*(events[c] for c in events.columns)).alias("row"))
+    limit = hours * 3_600_000_000
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, since, held = None, 0, None
+        for batch in batches:
+            keep = []
+            for k, t, b in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                new = k != last or t - since > limit or b != held
+                if new:
+                    last, since, held = k, t, b
+                keep.append(new)
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    # a key's events pass one after the other; only its record is held
+    return rows.repartition("k").sortWithinPartitions("k", "t", F.to_json("row")).mapInArrow(run, rows.schema).select("row.*")
 
 
 def conflicts(events: DataFrame) -> DataFrame:
