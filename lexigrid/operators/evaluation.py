@@ -193,16 +193,25 @@ def extraction_summary(rows: DataFrame) -> DataFrame:
     return sums.select("n", "tp", "fp", "fn", p.alias("micro_precision"), r.alias("micro_recall"), f.alias("micro_f1"), "macro_precision", "macro_recall", "macro_f1")
 
 
+#: Most aliases; they are a table of names that somebody keeps, and become part of the plan.
+ALIASES = 10_000
+
+
 def alias_hits(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """key, names: canonical names whose aliases stand in the text as whole words. texts: key, text (plain_spaced); aliases: canonical, alias.
+    """key, names: canonical names whose aliases stand in the text as whole words; keys without any go. texts: key, text
+    (plain_spaced); aliases: canonical, alias.
 
-    Texts are cut into runs of words as long as the longest alias, so aliases meet them by an equi-join.
+    Every text is searched where it is read, and nothing is shuffled. More than ALIASES aliases raise.
     """
-    longest = aliases.agg(F.max(F.size(F.split("alias", " ")))).first()[0] or 1
-    # the words are bound to a variable, so a text is split once
-    runs = F.transform(F.array(F.split("text", " ")), lambda words: F.flatten(F.transform(F.sequence(F.lit(1), F.lit(int(longest))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " ")))))[0]
-    found = texts.select("key", F.explode(F.array_distinct(runs)).alias("alias")).join(aliases, "alias")
-    return found.groupBy("key").agg(F.array_sort(F.collect_set("canonical")).alias("names"))
+    known = aliases.select("canonical", "alias").distinct().limit(ALIASES + 1).collect()
+    if len(known) > ALIASES:
+        raise ValueError(f"over {ALIASES} aliases")
+    table = F.array(*(F.struct(F.lit(r["canonical"]).alias("name"), F.lit(f" {r['alias']} ").alias("alias")) for r in sorted(known)))
+    if not known:
+        return texts.select("key", F.expr("cast(array() as array<string>)").alias("names")).limit(0)
+    padded = F.concat(F.lit(" "), F.col("text"), F.lit(" "))
+    names = F.array_sort(F.array_distinct(F.transform(F.filter(table, lambda a: F.contains(padded, a["alias"])), lambda a: a["name"])))
+    return texts.select("key", names.alias("names")).where(F.size("names") > 0)
 
 
 def canonical_names(names: DataFrame, aliases: DataFrame) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import record_queries, search_queries
+from . import gold_queries, record_queries, search_queries
 
-TABLE = search_queries.SEARCH | record_queries.RECORDS
+TABLE = search_queries.SEARCH | record_queries.RECORDS | gold_queries.GOLD
 flagship = search_queries.search_flagship
 
 
