@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Documents of a source that are numbered together, about.
-NUMBERED = 50_000
+NUMBERED = 4096
 #: Products of slots and whole-numbered weights stay under this.
 WIDE = 2**62
 
