@@ -18,10 +18,10 @@ def bm25(candidates: DataFrame, queries: DataFrame, id_col: str = "chunk_id", te
     Scores add up the query's terms in order, so they are the same however rows are dealt.
     """
     text = candidates.select("query_id", id_col, tokens(F.col(text_col)).alias("_t"))
-    terms = queries.select("query_id", F.array_sort(F.array_distinct(tokens(F.col(query_col)))).alias("_q"))
+    terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col(query_col)))).alias("_term"))
     size = text.groupBy("query_id").agg(F.count("*").alias("_n"), F.avg(F.size("_t")).alias("_avg"))
-    asked = text.join(terms, "query_id").select("query_id", id_col, F.size("_t").alias("_dl"), F.explode("_q").alias("_term"), "_t")
-    counted = asked.select("query_id", id_col, "_dl", "_term", F.size(F.filter("_t", lambda x: x == F.col("_term"))).alias("_tf")).where("_tf > 0")
+    words = text.select("query_id", id_col, F.size("_t").alias("_dl"), F.explode("_t").alias("_term"))
+    counted = words.join(terms, ["query_id", "_term"], "left_semi").groupBy("query_id", id_col, "_dl", "_term").agg(F.count("*").alias("_tf"))
     df = counted.groupBy("query_id", "_term").agg(F.count("*").alias("_df"))
     idf = F.log((F.col("_n") - F.col("_df") + 0.5) / (F.col("_df") + 0.5) + 1.0)
     weight = idf * (F.col("_tf") * (K1 + 1) / (F.col("_tf") + K1 * (1 - B + B * F.col("_dl") / F.greatest(F.col("_avg"), F.lit(1.0)))))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import dates, status, text
+from ..functions.similarity import ratio
 from ..operators import answers, evaluation, ingest, ranking, schedules
 from ..streaming import jobs
 from . import search_queries as search
@@ -60,14 +61,16 @@ def overlap_audit(spark, sf_dir):
 
 
 FACTORS = [("weather", "the"), ("weather", "and"), ("bridge", "of"), ("bridge", "in the"), ("garden", "der"), ("river", "de la"), ("stone", "la")]
+#: Names as a predictor knows them, that lacks some aliases and takes some for others.
+GUESSES = [("weather", "the"), ("bridge", "in the"), ("garden", "in"), ("garden", "der"), ("river", "la"), ("stone", "by the")]
 
 
 def _extraction(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    aliases = spark.createDataFrame(FACTORS, "canonical string, alias string")
-    gold = evaluation.alias_hits(docs.select(F.col("doc_id").alias("key"), text.plain_spaced(F.col("text")).alias("text")), aliases).withColumnRenamed("names", "gold")
-    start = F.regexp_replace(F.left("text", F.lit(200)), r"\s\S*$", "")
-    predicted = evaluation.alias_hits(docs.select(F.col("doc_id").alias("key"), text.plain_spaced(start).alias("text")), aliases).withColumnRenamed("names", "predicted")
+    """Names in whole texts by the table of factors against those by the predictor's table."""
+    texts = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("key"), text.plain_spaced(F.col("text")).alias("text"))
+    known = lambda names: spark.createDataFrame(names, "canonical string, alias string")
+    gold = evaluation.alias_hits(texts, known(FACTORS)).withColumnRenamed("names", "gold")
+    predicted = evaluation.alias_hits(texts, known(GUESSES)).withColumnRenamed("names", "predicted")
     return evaluation.extraction_rows(predicted, gold)
 
 
@@ -122,8 +125,10 @@ def job_status_rollup(spark, sf_dir):
 
 def outcome_merge(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    items = e.where("event_id < 500").select(F.concat(F.lit("d"), F.col("event_id").cast("string")).alias("doi"), F.lit("queued").alias("state"), F.lit(None).cast("string").alias("message"))
-    done = e.where("event_id >= 200 AND event_id < 1400").select(F.concat(F.lit("d"), (F.col("event_id") % 700).cast("string")).alias("doi"), F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("state"), F.col("event_type").alias("message"), F.col("event_id").alias("position"))
+    doi = F.concat(F.lit("d"), F.col("user_id").cast("string"), F.lit("/"), F.date_format("ts", "yyyy-MM-dd HH")).alias("doi")
+    queued = F.col("event_type").isin("view", "click")
+    items = e.where(queued).select(doi).distinct().select("doi", F.lit("queued").alias("state"), F.lit(None).cast("string").alias("message"))
+    done = e.where(~queued).select(doi, F.when(F.col("event_type") == "error", "failed").otherwise("succeeded").alias("state"), F.col("event_type").alias("message"), F.col("event_id").alias("position"))
     return ingest.apply_outcomes(items, done)
 
 
@@ -176,8 +181,9 @@ def index_semi_join(spark, sf_dir):
 
 def latest_wins_upsert(spark, sf_dir):
     e = table(spark, sf_dir, "events").select(F.col("user_id").alias("point_id"), "event_type", "value", F.col("event_id").alias("position"))
-    index = ingest.latest(e.where("position < 5000"), ["point_id"], [F.desc("position")])
-    return ingest.upserted(index, e.where("position >= 5000 AND point_id % 3 = 0"))
+    stored = F.col("event_type").isin("view", "click")
+    index = ingest.latest(e.where(stored), ["point_id"], [F.desc("position")])
+    return ingest.upserted(index, e.where(~stored))
 
 
 def delete_documents(spark, sf_dir):
@@ -250,13 +256,10 @@ def scalar_casts(spark, sf_dir):
 
 
 def title_similarity_match(spark, sf_dir):
-    left = table(spark, sf_dir, "benchmark").select("item_id", F.left("text", F.lit(60)).alias("a"))
-    right = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(60)).alias("b"), F.left(text.plain(F.col("text")), F.lit(3)).alias("k"))
-    pairs = left.withColumn("k", F.left(text.plain(F.col("a")), F.lit(3))).join(right, "k")
-    from ..functions.similarity import ratio
-
-    scored = pairs.withColumn("ratio", ratio("a", "b"))
-    return scored.groupBy("item_id").agg(F.max_by("doc_id", F.struct("ratio", -F.col("doc_id"))).alias("doc_id"), F.round(F.max("ratio"), 6).alias("ratio"))
+    """Pool rows meet tasks by their key, and whole texts are compared: a benchmark item with the document of its number."""
+    left = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("a"))
+    right = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("b"))
+    return left.join(right, F.col("item_id") == F.col("doc_id")).select("item_id", "doc_id", F.round(ratio("a", "b"), 6).alias("ratio"))
 
 
 _J = """j AS (SELECT query_id, chunk_id AS doc_id, ((chunk_id + query_id) % 2 + CASE WHEN chunk_id % 5 = 0 THEN 1 ELSE 0 END)::INTEGER AS relevance FROM cand WHERE (chunk_id + query_id) % 3 = 0)"""
@@ -275,10 +278,10 @@ m AS (SELECT mode, query_id, coalesce(depth, 0) AS depth, f::INTEGER AS first_re
 _NAMES = ("mrr", "p_at_5", "recall_at_5", "ndcg_at_5", "p_at_10", "recall_at_10", "ndcg_at_10")
 _ROUND = ", ".join(f"round({c}, 6) AS {c}" for c in _NAMES)
 _ITEMS = """it AS (SELECT doc_id AS position, CASE WHEN doc_id % 9 = 0 THEN '' ELSE '10.5555/x.' || md5(substr(text, 1, 12)) END AS d FROM documents)"""
-_ALIAS = "(VALUES ('weather', 'the'), ('weather', 'and'), ('bridge', 'of'), ('bridge', 'in the'), ('garden', 'der'), ('river', 'de la'), ('stone', 'la')) a(canonical, alias)"
+_ALIAS = "(VALUES (0, 'weather', 'the'), (0, 'weather', 'and'), (0, 'bridge', 'of'), (0, 'bridge', 'in the'), (0, 'garden', 'der'), (0, 'river', 'de la'), (0, 'stone', 'la'), (1, 'weather', 'the'), (1, 'bridge', 'in the'), (1, 'garden', 'in'), (1, 'garden', 'der'), (1, 'river', 'la'), (1, 'stone', 'by the')) a(guess, canonical, alias)"
 _X = f"""
-WITH t AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS g, ' ' || trim(regexp_replace(lower(regexp_replace(substr(text, 1, 200), '\\s\\S*$', '')), '[^a-z0-9]+', ' ', 'g')) || ' ' AS p FROM documents),
-n AS (SELECT doc_id, list(DISTINCT canonical) FILTER (contains(g, ' ' || alias || ' ')) AS gold, list(DISTINCT canonical) FILTER (contains(p, ' ' || alias || ' ')) AS predicted FROM t, {_ALIAS} GROUP BY doc_id),
+WITH t AS (SELECT doc_id, ' ' || trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) || ' ' AS g FROM documents),
+n AS (SELECT doc_id, list(DISTINCT canonical) FILTER (guess = 0 AND contains(g, ' ' || alias || ' ')) AS gold, list(DISTINCT canonical) FILTER (guess = 1 AND contains(g, ' ' || alias || ' ')) AS predicted FROM t, {_ALIAS} GROUP BY doc_id),
 c AS (SELECT doc_id, coalesce(gold, []) AS gold, coalesce(predicted, []) AS predicted FROM n WHERE gold IS NOT NULL OR predicted IS NOT NULL),
 k AS (SELECT doc_id, list_sort(list_intersect(gold, predicted)) AS hit, len(gold) AS ng, len(predicted) AS np FROM c),
 x AS (SELECT doc_id, len(hit) AS tp, np - len(hit) AS fp, ng - len(hit) AS fn, array_to_string(hit, '|') AS matched FROM k),
@@ -329,7 +332,8 @@ RECORDS = {
       WITH c AS (SELECT event_id % 997 AS job_id, count(*) AS total, count(*) FILTER (event_type IN ('click', 'purchase')) AS succeeded, count(*) FILTER (event_type = 'error') AS failed, count(*) FILTER (event_type = 'view') AS skipped_duplicate FROM events GROUP BY 1)
       SELECT *, CASE WHEN failed > 0 AND succeeded > 0 THEN 'partial' WHEN failed > 0 THEN 'failed' ELSE 'succeeded' END AS state FROM c"""),
     "outcome_merge": (outcome_merge, """
-      WITH i AS (SELECT 'd' || event_id AS doi FROM events WHERE event_id < 500), d AS (SELECT 'd' || (event_id % 700) AS doi, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS state, event_type AS message FROM events WHERE event_id >= 200 AND event_id < 1400 QUALIFY row_number() OVER (PARTITION BY event_id % 700 ORDER BY event_id DESC) = 1)
+      WITH e AS (SELECT *, 'd' || user_id || '/' || strftime(ts, '%Y-%m-%d %H') AS doi, event_type IN ('view', 'click') AS queued FROM events), i AS (SELECT DISTINCT doi FROM e WHERE queued),
+      d AS (SELECT doi, CASE WHEN event_type = 'error' THEN 'failed' ELSE 'succeeded' END AS state, event_type AS message FROM e WHERE NOT queued QUALIFY row_number() OVER (PARTITION BY doi ORDER BY event_id DESC) = 1)
       SELECT coalesce(i.doi, d.doi) AS doi, CASE WHEN i.doi IS NULL THEN 'failed' ELSE coalesce(d.state, 'queued') END AS state, CASE WHEN i.doi IS NULL THEN 'unexpected_doi' ELSE d.message END AS message FROM i FULL JOIN d ON i.doi = d.doi"""),
     "run_status_rollup": (run_status_rollup, """
       WITH q AS (SELECT l_orderkey, count(*) AS n, count(*) FILTER (l_returnflag = 'R') AS f FROM lineitem GROUP BY 1), s AS (SELECT o_custkey AS run_id, CASE WHEN f = 0 THEN 'SUCCESS' WHEN f >= n THEN 'FAILED' ELSE 'PARTIAL' END AS s FROM q JOIN orders ON o_orderkey = l_orderkey),
@@ -347,7 +351,7 @@ RECORDS = {
     "index_anti_join": (index_anti_join, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"),
     "index_semi_join": (index_semi_join, "SELECT doc_id FROM documents WHERE doc_id IN (SELECT vec_id FROM embeddings)"),
     "latest_wins_upsert": (latest_wins_upsert, """
-      WITH e AS (SELECT user_id AS point_id, event_type, value, event_id AS position FROM events WHERE event_id < 5000 OR user_id % 3 = 0) SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY position DESC) = 1"""),
+      WITH e AS (SELECT user_id AS point_id, event_type, value, event_id AS position FROM events) SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY point_id ORDER BY event_type IN ('view', 'click'), e.position DESC) = 1"""),
     "delete_documents": (delete_documents, f"WITH {search._sql_windows(1200, 150)} SELECT doc_id, chunk_index FROM w WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 0)"),
     "idempotency_keys": (idempotency_keys, """
       WITH RECURSIVE k AS (SELECT event_id, user_id || ':' || event_type AS key, ts FROM events),

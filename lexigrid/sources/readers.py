@@ -17,9 +17,12 @@ ANNOTATIONS = ("query_id", "question", "resolved_doc_id", "doc_id", "chunk_id",
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1), value of every line. Lines are numbered file by file, each as one unsplit text."""
-    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    return whole.withColumn("line", F.col("line") + 1)
+    """file, line (from 1), value of every line. Files are read in blocks; a block's lines come after those of the blocks before it."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), "value", F.monotonically_increasing_id().alias("at"))
+    blocks = rows.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("at").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    numbered = rows.join(blocks.select("file", "block", "first", before.alias("before")), ["file", "block"])
+    return numbered.select("file", (F.col("before") + F.col("at") - F.col("first") + 1).alias("line"), "value")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:

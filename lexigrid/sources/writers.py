@@ -2,25 +2,41 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most rows of a table that is rendered on the driver.
 REPORT_ROWS = 10_000
+#: Most objects of one JSON array: a file of arrays can't be read in parts.
+ARRAY_ROWS = 1_000_000
 
 
 def write_three(df: DataFrame, path: str) -> None:
-    """CSV, JSON lines and a JSON array beside one another; NaN becomes null in both JSON forms."""
+    """CSV, JSON lines and JSON arrays (one per file of the folder, and one file per ARRAY_ROWS rows) beside one another; NaN becomes null in both JSON forms."""
     if not path.endswith(".csv"):
         raise ValueError("the path must end in .csv")
     clean = df.select(*(F.when(~F.isnan(c), F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes))
     stem = path.removesuffix(".csv")
     df.write.mode("overwrite").option("header", True).csv(path)
     clean.write.mode("overwrite").option("ignoreNullFields", False).json(f"{stem}.jsonl")
-    one = clean.select(F.to_json(F.struct(*clean.columns), {"ignoreNullFields": "false"}).alias("j")).agg(F.to_json(F.collect_list(F.parse_json("j"))).alias("value"))
-    one.write.mode("overwrite").text(f"{stem}.json")
+    rows = clean.select(F.to_json(F.struct(*clean.columns), {"ignoreNullFields": "false"}).alias("value"))
+    files = -(-rows.count() // ARRAY_ROWS) or 1
+    rows.repartition(files).mapInArrow(_arrays, "value string").write.mode("overwrite").text(f"{stem}.json")
+
+
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of one JSON array from a partition's objects, batch by batch."""
+    opening = "["
+    for batch in batches:
+        lines = []
+        for value in batch.column(0).to_pylist():
+            lines.append(opening + value)
+            opening = ","
+        yield pa.record_batch([pa.array(lines, pa.string())], ["value"])
+    yield pa.record_batch([pa.array(["[]" if opening == "[" else "]"], pa.string())], ["value"])
 
 
 def write_rankings(df: DataFrame, path: str) -> None:

@@ -28,16 +28,21 @@ def _step(state: tuple[str, str], action: str, owner: str) -> tuple[tuple[str, s
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """Outcomes of a static table of events, in order of time and place."""
+    """Outcomes of a static table of events, in order of time and owner. A document's events pass one after the other; only its state is held."""
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        state, out = ("free", ""), []
-        for action, owner in zip(group.sort_values(["at", "owner"]).action, group.sort_values(["at", "owner"]).owner, strict=True):
-            state, outcome = _step(state, action, owner)
-            out.append(outcome)
-        return group.sort_values(["at", "owner"]).assign(outcome=out)[["doc_id", "action", "owner", "at", "outcome"]]
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, ("free", "")
+        for rows in batches:
+            out = []
+            for doc, action, owner in zip(rows.doc_id, rows.action, rows.owner, strict=True):
+                if doc != last:
+                    last, state = doc, ("free", "")
+                state, outcome = _step(state, action, owner)
+                out.append(outcome)
+            yield rows.assign(outcome=out)
 
-    return events.select("doc_id", "action", "owner", "at").groupBy("doc_id").applyInPandas(run, OUTCOME)
+    rows = events.select("doc_id", "action", "owner", "at").repartition("doc_id").sortWithinPartitions("doc_id", "at", "owner", "action")
+    return rows.mapInPandas(run, OUTCOME)
 
 
 def track(events: DataFrame, hours: int = 24) -> DataFrame:
@@ -67,9 +72,14 @@ def track(events: DataFrame, hours: int = 24) -> DataFrame:
 
 
 def retained(jobs: DataFrame, hours: float, most: int, now_col: str = "now") -> DataFrame:
-    """Finished jobs kept for so many hours, and of those the newest; jobs that run are all kept. Ranks are taken per tenant if there is one."""
+    """Finished jobs kept for so many hours, and of those the newest; jobs that run are all kept. Ranks are taken per tenant if there is one.
+
+    Every task keeps its own newest ones first, so that only those meet.
+    """
     age = F.col(now_col).cast("double") - F.col("completed_at").cast("double")
-    fresh = jobs.where(F.col("completed_at").isNull() | (age <= hours * 3600))
-    keys = ["tenant"] if "tenant" in jobs.columns else [F.lit(0)]
-    place = F.row_number().over(Window.partitionBy(*keys, F.col("completed_at").isNull()).orderBy(F.desc("completed_at"), "job_id"))
-    return fresh.withColumn("_n", place).where(F.col("completed_at").isNull() | (F.col("_n") <= most)).drop("_n")
+    running, done = jobs.where(F.col("completed_at").isNull()), jobs.where(age <= hours * 3600)
+    order = F.desc("completed_at"), F.col("job_id")
+    if "tenant" not in jobs.columns:
+        return running.unionByName(done.orderBy(*order).limit(most))
+    place = F.row_number().over(Window.partitionBy("tenant").orderBy(*order))
+    return running.unionByName(done.withColumn("_n", place).where(F.col("_n") <= most).drop("_n"))
