@@ -34,7 +34,7 @@ END = b" "  # never a word
 #: Words whose counts a task keeps before it sends them.
 GATHER = 400_000
 #: Tokens that a task runs over together (a longer text alone), and the longest stretch. Results don't depend on either.
-TOKENS, STRETCH = 128_000, 1024
+TOKENS, STRETCH = 256_000, 1024
 #: Steps between two scalings (a probability of 1e-30 at each would still fit), and matrices that are multiplied together.
 SCALED, TOGETHER = 8, 64
 
@@ -175,7 +175,7 @@ class Stretches:
 
     def forward(self, model: Model, before: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray], list, np.ndarray]:
         """Forward vectors and emissions step by step, the scales where vectors were scaled, and log10 likelihoods of the texts."""
-        vectors, emits, scales = [], [], []
+        vectors, emits, scales, ones = [], [], [], np.ones(len(model.start))
         logs = np.zeros(len(before))
         a = np.where(self.inside[self.order][:, None], before @ model.step, model.start)
         for t, m in enumerate(self.left):
@@ -183,7 +183,7 @@ class Stretches:
             a = (a[:m] @ model.step if t else a) * e
             scale = None
             if t % SCALED == SCALED - 1:
-                scale = a.sum(1)
+                scale = a @ ones
                 a = a / scale[:, None]
                 logs[:m] += np.log10(scale)
             vectors.append(a), emits.append(e), scales.append(scale)
@@ -206,13 +206,13 @@ def expected_counts(sequences: list[np.ndarray], model: Model, counts: Model) ->
     ahead, emits, scales, logs = s.forward(model, before)
     inside = s.inside[s.order]
     back, k = np.empty((0, len(model.start))), len(model.start)
-    steps, gammas = np.zeros((k, k)), [None] * len(s.left)
+    steps, gammas, ones = np.zeros((k, k)), [None] * len(s.left), np.ones((k, 1))
     for t in range(len(s.left) - 1, -1, -1):
         m = s.left[t]
         if len(back) < m:  # stretches that end here
             back = np.concatenate([back, after[len(back) : m]])
         gamma = ahead[t] * back
-        whole = gamma.sum(1, keepdims=True)
+        whole = gamma @ ones
         gamma /= whole
         gammas[t] = gamma
         follows = emits[t] * back
