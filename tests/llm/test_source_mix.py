@@ -1,82 +1,95 @@
+import random
 from collections import defaultdict
 from fractions import Fraction
 from math import ceil, floor, pi, sqrt
 
 import pytest
 
-from lexigrid.llm.source_mix import done_by, in_mix_order, mix_documents, phases, timetable
+from lexigrid.llm.source_mix import in_mix_order, mix_documents, timetable, whole_weights
 
 SCHEMA = "doc_id long, text string, source string, slot long, __row string"
 
 
 def plain_edf(blocks, raw):
-    """(source, block) of each slot: earliest deadline first over whole phases, with exact fractions of the weights."""
-    done, out = [0] * len(blocks), []
-    while sum(done) < sum(blocks):
-        active = [s for s in range(len(blocks)) if done[s] < blocks[s]]
-        total = sum(Fraction(raw[s]) for s in active)
-        w = {s: Fraction(raw[s]) / total for s in active}
-        begin = list(done)
-        length = min(floor((blocks[s] - begin[s]) / w[s]) for s in active)
-        for t in range(length):
-            ready = [(ceil((done[s] - begin[s] + 1) / w[s]), s) for s in active if floor((done[s] - begin[s]) / w[s]) <= t and done[s] < blocks[s]]
-            _, s = min(ready)
-            out.append((s, done[s]))
-            done[s] += 1
+    """Slots of one group by earliest deadline first, one after the other, with exact fractions: (slot, source, block, release, deadline).
+
+    At every slot each source must be less than a block off its share of the ideal mix.
+    """
+    k = whole_weights(raw)
+    ends = sorted({Fraction(b, x) for b, x in zip(blocks, k, strict=True)})
+    slot_of = lambda v: sum(min(Fraction(b), x * v) for b, x in zip(blocks, k, strict=True))
+    windows = [[(floor(slot_of(Fraction(i, x))), ceil(slot_of(Fraction(i + 1, x)))) for i in range(b)] for b, x in zip(blocks, k, strict=True)]
+    at_ends = [slot_of(v) for v in ends]
+    done, out, v, j = [0] * len(blocks), [], Fraction(0), 0
+    for slot in range(sum(blocks)):
+        deadline, s = min((windows[s][n][1], s) for s, n in enumerate(done) if n < blocks[s] and windows[s][n][0] <= slot)
+        assert deadline > slot
+        out.append((slot, s, done[s], *windows[s][done[s]]))
+        done[s] += 1
+        while at_ends[j] < slot + 1:
+            v, j = ends[j], j + 1
+        now = v + (slot + 1 - slot_of(v)) / Fraction(sum(x for b, x in zip(blocks, k, strict=True) if Fraction(b, x) > v))
+        assert all(abs(n - min(Fraction(b), x * now)) < 1 for n, b, x in zip(done, blocks, k, strict=True))
     return out
 
 
-def scheduled(spark, blocks, raw, slots):
-    plan = phases(blocks, raw, slots)
-    rows = sorted(timetable(spark, plan, slots).collect(), key=lambda r: r["slot"])
-    assert [r["slot"] for r in rows] == list(range(sum(blocks)))
-    assert sorted((r["number"], r["block"]) for r in rows) == [(s, b) for s, n in enumerate(blocks) for b in range(n)]
-    return plan, rows
+def groups_of(tables):
+    """Groups for timetable(), and what plain_edf() makes of them, one after the other."""
+    groups, expected, number, first = [], [], 0, 0
+    for blocks, raw in tables:
+        groups.append((list(range(number, number + len(blocks))), blocks, raw))
+        expected += [(first + slot, number + s, block, first + release, first + deadline) for slot, s, block, release, deadline in plain_edf(blocks, raw)]
+        number, first = number + len(blocks), first + sum(blocks)
+    return groups, expected
+
+
+def scheduled(spark, groups, slots):
+    rows = timetable(spark, groups, slots).collect()
+    assert all(r["round"] == r["slot"] // slots for r in rows)
+    return sorted((r["slot"], r["number"], r["block"], r["release"], r["deadline"]) for r in rows)
 
 
 CASES = [
-    ([4000, 1300, 700, 90, 15, 3], [sqrt(4000), sqrt(1300), pi, sqrt(2), 0.01, 1e-7]),
-    ([3000, 60, 60], [0.98, 0.01, 0.01]),
-    ([900, 900, 900], [1.0, 1.0, 1.0]),
-    ([700], [0.3]),
-    ([200] * 23, [1.0 + sqrt(i) for i in range(23)]),
+    ([1000, 330, 170, 22, 4, 3], [sqrt(4000), sqrt(1300), pi, sqrt(2), 0.01, 1e-7]),
+    ([700, 60, 60], [0.98, 0.01, 0.01]),
+    ([100, 100, 100], [1.0, 1.0, 1.0]),
+    ([300], [0.3]),
+    ([30] * 23, [1.0 + sqrt(i) for i in range(23)]),
+    ([7, 300, 90, 800, 5], [3, 439, 120, 749, 3]),
 ]
 
 
-@pytest.mark.parametrize("blocks, raw", CASES)
-def test_less_than_one_block_off_at_every_slot(spark, blocks, raw):
-    plan, rows = scheduled(spark, blocks, raw, 64)
-    for _, first, length, active, _, before, part in plan:
-        total = sum(Fraction(raw[s]) for s in active)
-        done = dict.fromkeys(active, 0)
-        for t in range(length):
-            r = rows[first + t]
-            s = r["number"]
-            w = Fraction(raw[s]) / total
-            i = r["block"] - before[active.index(s)]
-            assert i == done[s] and abs(r["release"] - first - floor(i / w)) <= 1 and abs(r["deadline"] - first - ceil((i + 1) / w)) <= max(1, 1e-9 / w)
-            assert r["release"] <= r["slot"] < r["deadline"]
-            done[s] += 1
-            assert all(abs(done[x] - Fraction(raw[x]) / total * (t + 1)) < 1 + Fraction(1, 10**6) for x in active)
-        assert [done[s] for s in active] == part
-
-
-def test_long_rounds_are_plain_earliest_deadline_first(spark):
-    blocks, raw = [300, 120, 41, 7], [sqrt(3), sqrt(2), 0.5, 0.125]
-    _, rows = scheduled(spark, blocks, raw, 10**6)
-    plan = phases(blocks, raw, 10**6)
-    edf = plain_edf(blocks, raw)
-    for _, first, length, *_ in plan[:1]:  # later phases depend on who was under way when the first one ended
-        assert [(r["number"], r["block"]) for r in rows[first : first + length - 8]] == edf[first : first + length - 8]
-
-
-def test_done_by_finds_room():
-    shares, now = [98, 1, 1], [0, 0, 0]
-    for t in range(10, 300, 10):
-        then = done_by(shares, t - 10, t)
-        assert sum(then) == t and all(abs(d - k * t / 100) < 1 for d, k in zip(then, shares, strict=True))
-        assert all(b >= a for a, b in zip(now, then, strict=True))
-        now = then
+@pytest.mark.parametrize("slots", [5, 64, 256])
+def test_equals_plain_earliest_deadline_first(spark, slots):
+    rng = random.Random(slots)
+    weights = (lambda: rng.randint(1, 1000), lambda: rng.random() + 1e-4, lambda: 10 ** rng.uniform(-3, 0), lambda: 1.0)
+    tables = [([rng.randint(1, rng.choice([3, 12])) for _ in range(n)], [w() for _ in range(n)]) for n, w in ((rng.randint(2, 60), rng.choice(weights)) for _ in range(40))]
+    groups, expected = groups_of(CASES + tables)
+    assert scheduled(spark, groups, slots) == expected
+
+
+def test_windows_longer_than_many_rounds(spark):
+    groups, expected = groups_of([([400, 300, 2, 1], [1.0, 0.5, 1e-3, 1e-4])])
+    assert scheduled(spark, groups, 2) == expected
+
+
+def test_thousands_of_sources(spark):
+    rng = random.Random(3)
+    blocks = [rng.randint(1, 5) for _ in range(3000)]
+    rows = scheduled(spark, [(list(range(3000)), blocks, [sqrt(b) for b in blocks])], 256)
+    assert [r[0] for r in rows] == list(range(sum(blocks))) and all(release <= slot < deadline for slot, _, _, release, deadline in rows)
+    assert sorted(r[1:3] for r in rows) == [(s, b) for s, n in enumerate(blocks) for b in range(n)]
+
+
+@pytest.mark.parametrize("sources", [49, 50])
+def test_no_document_is_lost(spark, sources):
+    """With 49 sources of these sizes, rounds that are scheduled apart could each count a block as their own."""
+    rng = random.Random(sources)
+    sizes = [max(1, int(9000 * rng.random() ** 3)) for _ in range(sources)]
+    rows = [(i, s) for i, s in enumerate(s for s, n in enumerate(sizes) for _ in range(n))]
+    docs = spark.createDataFrame(rows, "doc_id long, source long")
+    assert mix_documents(docs).groupBy("row.doc_id").count().where("count = 1").count() == len(rows)
+    assert in_mix_order(docs).distinct().count() == len(rows)
 
 
 def test_documents_come_once_in_whole_blocks(spark):
