@@ -329,29 +329,26 @@ def read_archives(spark: SparkSession, path: str, compressed: bool = True, paylo
             yield _batch([closed()], True)
 
     def between(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        file, base, salvage, size = None, 0, Salvage(), 0
+        file, base, begin, size, run = None, 0, 0, 0, bytearray()
 
-        def done(more: bytes) -> list[tuple]:
-            # the reader of lines adds a separator to a last line without one
-            extra = base - size
-            rest = bytes(salvage.data) + more
-            salvage.data.clear()
-            return list(found(file, None, Salvage(salvage.base).feed(rest[:-extra] if extra > 0 else rest, True)))
+        def done(whole_file: bool = False) -> list[tuple]:
+            # the reader of lines adds a separator to a file's last line without one
+            extra = base - size if whole_file else 0
+            return list(found(file, None, Salvage(begin).feed(bytes(run[:-extra] if extra > 0 else run), True)))
 
         for batch in batches:
             for row in batch.to_pylist():
                 if row["file"] != file:
-                    if file is not None and (rows := done(b"")):
+                    if file is not None and (rows := done(True)):
                         yield _batch(rows, False)
-                    file, base, salvage = row["file"], 0, Salvage()
+                    file, base, begin, run = row["file"], 0, 0, bytearray()
                 base, size = base + row["length"], row["size"]
-                salvage.data += row["head"]
+                run += row["head"]
                 if row["tail"] is not None:
-                    if rows := done(b""):
+                    if rows := done():
                         yield _batch(rows, False)
-                    salvage = Salvage(base - len(row["tail"]))
-                    salvage.data += row["tail"]
-        if file is not None and (rows := done(b"")):
+                    begin, run = base - len(row["tail"]), bytearray(row["tail"])
+        if file is not None and (rows := done(True)):
             yield _batch(rows, False)
 
     table = stored(lines.mapInArrow(split_rows, f"{FOUND}, {EDGES}"), "splits")
