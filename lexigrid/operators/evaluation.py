@@ -193,25 +193,39 @@ def extraction_summary(rows: DataFrame) -> DataFrame:
     return sums.select("n", "tp", "fp", "fn", p.alias("micro_precision"), r.alias("micro_recall"), f.alias("micro_f1"), "macro_precision", "macro_recall", "macro_f1")
 
 
-#: Most aliases; they are a table of names that somebody keeps, and become part of the plan.
-ALIASES = 10_000
+#: Aliases that become part of the plan; more of them meet the texts in a join.
+ALIASES = 1000
 
 
 def alias_hits(texts: DataFrame, aliases: DataFrame) -> DataFrame:
-    """key, names: canonical names whose aliases stand in the text as whole words; keys without any go. texts: key, text
+    """key, names: canonical names whose aliases stand in the text as whole words; keys without any go. texts: key (unique), text
     (plain_spaced); aliases: canonical, alias.
 
-    Every text is searched where it is read, and nothing is shuffled. More than ALIASES aliases raise.
+    With up to ALIASES aliases every text is searched where it is read, and nothing is shuffled. With more, runs of as many words
+    as aliases have are joined with them; the same names are found either way.
     """
-    known = aliases.select("canonical", "alias").distinct().limit(ALIASES + 1).collect()
+    table = aliases.select("canonical", "alias").where("alias <> '' AND canonical IS NOT NULL").distinct()
+    known = table.limit(ALIASES + 1).collect()
     if len(known) > ALIASES:
-        raise ValueError(f"over {ALIASES} aliases")
-    table = F.array(*(F.struct(F.lit(r["canonical"]).alias("name"), F.lit(f" {r['alias']} ").alias("alias")) for r in sorted(known)))
+        return _joined_hits(texts, table)
     if not known:
         return texts.select("key", F.expr("cast(array() as array<string>)").alias("names")).limit(0)
-    padded = F.concat(F.lit(" "), F.col("text"), F.lit(" "))
-    names = F.array_sort(F.array_distinct(F.transform(F.filter(table, lambda a: F.contains(padded, a["alias"])), lambda a: a["name"])))
-    return texts.select("key", names.alias("names")).where(F.size("names") > 0)
+    listed = F.array(*(F.struct(F.lit(r["canonical"]).alias("name"), F.lit(f" {r['alias']} ").alias("alias")) for r in sorted(known)))
+    # the text is bound once, however many aliases are looked for; a generator is not worked out again by a filter
+    names = lambda p: F.array_sort(F.array_distinct(F.transform(F.filter(listed, lambda a: F.contains(p, a["alias"])), lambda a: a["name"])))
+    found = F.transform(F.array(F.concat(F.lit(" "), F.col("text"), F.lit(" "))), lambda p: F.struct(names(p).alias("names")))
+    return texts.select("key", F.inline(F.filter(found, lambda r: F.size(r["names"]) > 0)))
+
+
+def _joined_hits(texts: DataFrame, aliases: DataFrame) -> DataFrame:
+    """alias_hits() for any number of aliases: the distinct runs of words of each length that aliases have, joined with them."""
+    sized = aliases.withColumn("_n", F.size(F.split("alias", " ")))
+    lengths = sorted(r["_n"] for r in sized.select("_n").distinct().collect())  # words of the longest alias at most
+    words = texts.select("key", F.split("text", " ").alias("_w"))
+    runs = lambda n: F.transform(F.sequence(F.lit(1), F.size("_w") - (n - 1)), lambda i: F.array_join(F.slice(F.col("_w"), i, F.lit(n)), " "))
+    each = F.flatten(F.array(*(F.when(F.size("_w") >= n, F.array_distinct(runs(n))).otherwise(F.expr("cast(array() as array<string>)")) for n in lengths)))
+    hits = words.select("key", F.explode(each).alias("alias")).join(sized.select("alias", "canonical"), "alias")
+    return hits.groupBy("key").agg(F.array_sort(F.collect_set("canonical")).alias("names"))
 
 
 def canonical_names(names: DataFrame, aliases: DataFrame) -> DataFrame:
