@@ -1,0 +1,62 @@
+"""Queries over workflows: exports, batches of ids, ingestion, schedules, tables of results."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.storage import computed_once
+from ..operators import batches, export, ranking
+from . import search_queries as search
+from .search_queries import _BOTH, table
+
+
+def retrieval_export(spark, sf_dir):
+    """Three ranked artifacts of two nearest-neighbour searches, by way of the service's traces."""
+    first, second = (computed_once(x) for x in search._both(spark, sf_dir))
+    of = lambda df, mode, key, order: ranking.ranked(df, order, "place").withColumn("mode", F.lit(mode)).withColumn("key", F.lit(key))
+    ranks = ranking.ranked(first, "score", "dense").select("query_id", "chunk_id", "dense").join(ranking.ranked(second, "score", "hyde").select("query_id", "chunk_id", "hyde"), ["query_id", "chunk_id"], "full_outer")
+    merged = ranking.union_candidates(first, second).join(ranks, ["query_id", "chunk_id"]).withColumn("fused", ranking.rrf(dense=F.col("dense"), hyde=F.col("hyde"))).drop("dense", "hyde")
+    asked, imagined = first.withColumn("origin", F.lit("question")), second.withColumn("origin", F.lit("hyde"))
+    parts = [of(asked, "direct", "question_candidates", "score"), of(asked, "direct", "selected_candidates", "score").where("place <= 6"), of(imagined, "hyde", "hyde_candidates", "score"), of(merged, "hyde", "selected_candidates", "fused").where("place <= 6").drop("fused")]
+    pool = reduce(DataFrame.unionByName, parts).withColumn("doc_id", F.concat(F.lit(" d"), "chunk_id")).withColumn("doi", F.lit(None).cast("string")).withColumn("title", F.lit(None).cast("string"))
+    modes = search.probes(spark, sf_dir).select("query_id", F.concat(F.lit("Question "), "query_id").alias("question"), F.explode(F.array(F.lit("direct"), F.lit("hyde"))).alias("mode"))
+    responses = computed_once(export.debug_traces(modes, pool))
+    rows = [df.withColumn("artifact", F.lit(name)) for name, df in export.export_artifacts(responses, "run").items()]
+    out = reduce(DataFrame.unionByName, rows)
+    return out.select("artifact", "query_id", "question", "retrieval_mode", "rank", "chunk_id", "doc_id", "doi", F.round("score", 6).alias("score"), "candidate_origin", "selected_for_context")
+
+
+def id_batches(spark, sf_dir):
+    """All documents' ids as one list, and the ids of each source, in batches."""
+    docs = table(spark, sf_dir, "documents").select(F.explode(F.array(F.lit("all"), "source")).alias("key"), F.col("doc_id").alias("position"), F.concat(F.lit("PMC"), "doc_id").alias("id"))
+    out = batches.batch_table(batches.id_batches(docs, most=40, chars=250))
+    return out.select("key", "batch", "n_ids", F.length("ids").alias("n_chars"), F.md5("ids").alias("digest"))
+
+
+WORKFLOWS = {
+    "retrieval_export": (retrieval_export, f"""
+      WITH {_BOTH},
+      q AS (SELECT query_id, chunk_id, score, rank FROM top WHERE src = 0), h AS (SELECT query_id, chunk_id, score, rank FROM top WHERE src = 1),
+      m AS (SELECT query_id, chunk_id, greatest(q.score, h.score) AS score, CASE WHEN h.rank IS NULL THEN 'question' WHEN q.rank IS NULL THEN 'hyde' ELSE 'both' END AS origin,
+          round(coalesce(1.0::DOUBLE / (60 + q.rank), 0) + coalesce(0.6::DOUBLE / (60 + h.rank), 0), 9) AS fused FROM q FULL JOIN h USING (query_id, chunk_id)),
+      s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, chunk_id) AS place FROM m QUALIFY place <= 6),
+      r AS (
+        SELECT 'direct' AS artifact, query_id, 'direct' AS retrieval_mode, rank, chunk_id, score, 'question' AS candidate_origin, rank <= 6 AS selected_for_context FROM q
+        UNION ALL SELECT 'hyde', query_id, 'hyde', rank, chunk_id, h.score, 'hyde', s.place IS NOT NULL FROM h LEFT JOIN s USING (query_id, chunk_id)
+        UNION ALL SELECT 'final_context', query_id, 'direct', rank, chunk_id, score, 'question', TRUE FROM q WHERE rank <= 6
+        UNION ALL SELECT 'final_context', query_id, 'hyde', place, chunk_id, score, origin, TRUE FROM s)
+      SELECT artifact, query_id::VARCHAR AS query_id, 'Question ' || query_id AS question, retrieval_mode, rank::INTEGER AS rank, chunk_id::VARCHAR AS chunk_id, 'd' || chunk_id AS doc_id, '' AS doi,
+        round(score, 6) AS score, candidate_origin, selected_for_context FROM r"""),
+    "id_batches": (id_batches, """
+      WITH RECURSIVE k AS (SELECT 'all' AS key, doc_id FROM documents UNION ALL SELECT source, doc_id FROM documents),
+      d AS (SELECT key, doc_id AS position, 'PMC' || doc_id AS id, row_number() OVER (PARTITION BY key ORDER BY doc_id) AS i FROM k),
+      w AS (
+        SELECT key, position, id, i, 0::BIGINT AS batch, 1 AS n, length(id) AS chars FROM d WHERE i = 1
+        UNION ALL
+        SELECT d.key, d.position, d.id, d.i, CASE WHEN new THEN batch + 1 ELSE batch END, CASE WHEN new THEN 1 ELSE n + 1 END, CASE WHEN new THEN length(d.id) ELSE chars + 1 + length(d.id) END
+        FROM w JOIN d ON d.key = w.key AND d.i = w.i + 1, LATERAL (SELECT n + 1 > 40 OR chars + 1 + length(d.id) > 250 AS new))
+      SELECT key, batch, count(*)::INTEGER AS n_ids, length(string_agg(id, ',' ORDER BY position))::INTEGER AS n_chars, md5(string_agg(id, ',' ORDER BY position)) AS digest FROM w GROUP BY key, batch"""),
+}
