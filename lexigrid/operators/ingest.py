@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import status
+from ..functions import ports, status
 from ..functions.dates import valid_year
 from ..functions.ids import document_id, point_id
 from ..functions.text import canonical_doi, first_nonblank, name_list, nonblank, strip
@@ -55,6 +56,67 @@ def points(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("point_id", point_id(F.col("doc_id"), F.col("chunk_index")))
 
 
+#: What a point keeps of its item, beside the chunk's own fields.
+PAYLOAD = ("job_id", "doc_id", "doi_original", "doi_normalized", "title", "journal", "year", "authors", "disease", "source_type")
+
+
+def embedded_chunks(texts: Column, make: Callable[[], Callable] = ports.hashing_embedder) -> Column:
+    """struct(vectors, error) for the array of an item's texts. The model sees one item at a time; what it raises becomes the error."""
+
+    @F.pandas_udf("struct<vectors:array<array<float>>,error:string>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = make()
+        for series in batches:
+            rows = []
+            for own in series:
+                try:
+                    rows.append(([[float(x) for x in v] for v in model(list(own))] if own is not None and len(own) else [], None))
+                except Exception as e:  # noqa: BLE001: a model may raise anything, and another item must not suffer
+                    rows.append((None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame({"vectors": pd.Series([r[0] for r in rows], dtype=object), "error": pd.Series([r[1] for r in rows], dtype=object)})
+
+    return run(texts)
+
+
+def ingest_documents(items: DataFrame, indexed: DataFrame, cut: Callable[[Column], Column], make: Callable[[], Callable] = ports.hashing_embedder) -> DataFrame:
+    """items with chunks, vectors and `failure`: null for those that become points, else why not, one row for each item.
+
+    items: doc_id (unique in the batch), content_text, others; indexed: doc_id; cut: from a text to an array of struct(index, text, start, end,
+    section, subsection) or without the last two. Failures, the first that holds: empty_document_text, no_chunks, embedding_failed (with the model's
+    words in failure_detail), embedding_count_mismatch, invalid_vector_size, duplicate_doc. The model is costly, so store the result before reading it twice.
+    """
+    text = strip(F.coalesce("content_text", F.lit("")))
+    rows = items.withColumn("chunks", F.when(text != "", cut(text)))
+    rows = rows.withColumn("_e", embedded_chunks(F.transform("chunks", lambda c: c["text"]), make))
+    known = indexed.select("doc_id").distinct().withColumn("_in", F.lit(True))
+    rows = rows.join(known, "doc_id", "left")
+    failure = (
+        F.when(text == "", "empty_document_text")
+        .when(F.coalesce(F.size("chunks"), F.lit(0)) <= 0, "no_chunks")
+        .when(F.col("_e.error").isNotNull(), "embedding_failed")
+        .when(F.size("_e.vectors") != F.size("chunks"), "embedding_count_mismatch")
+        .when(F.size(F.get("_e.vectors", F.lit(0))) <= 0, "invalid_vector_size")
+        .when(F.col("_in"), "duplicate_doc")
+    )
+    return rows.select(*items.columns, "chunks", F.col("_e.vectors").alias("vectors"), failure.alias("failure"), F.col("_e.error").alias("failure_detail"))
+
+
+def item_statuses(ingested: DataFrame) -> DataFrame:
+    """doc_id, state, message, n_points of every item of ingest_documents()."""
+    whole = F.col("failure").isNull()
+    state = F.when(whole, "succeeded").when(F.col("failure") == "duplicate_doc", "skipped_duplicate").otherwise("failed")
+    return ingested.select("doc_id", state.alias("state"), F.col("failure").alias("message"), F.when(whole, F.size("chunks")).otherwise(0).alias("n_points"))
+
+
+def item_points(ingested: DataFrame, created_at: Column) -> DataFrame:
+    """Points of the items that didn't fail: point_id, vector, chunk_index, chunk_start, chunk_end, text, section, subsection, created_at, and PAYLOAD as far as items have it."""
+    fields = ingested.schema["chunks"].dataType.elementType.names
+    whole = ingested.where("failure IS NULL").select(*(c for c in PAYLOAD if c in ingested.columns), F.explode(F.arrays_zip(F.col("chunks").alias("c"), F.col("vectors").alias("v"))).alias("_p"))
+    part = lambda name: F.col(f"_p.c.{name}") if name in fields else F.lit(None).cast("string")
+    out = whole.withColumn("chunk_index", part("index"))
+    return out.select(point_id(F.col("doc_id"), F.col("chunk_index")).alias("point_id"), F.col("_p.v").alias("vector"), "chunk_index", part("start").alias("chunk_start"), part("end").alias("chunk_end"), part("text").alias("text"), part("section").alias("section"), part("subsection").alias("subsection"), created_at.alias("created_at"), *(c for c in whole.columns if c != "_p"))
+
+
 def upserted(index: DataFrame, new: DataFrame, key: str = "point_id") -> DataFrame:
     """The index with new rows in place of old ones of the same key; of several new ones the last by `position`."""
     last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("position")))

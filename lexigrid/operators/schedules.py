@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import status
+from ..functions import dates, status
 from ..functions.text import strip
+from .asof import as_of
 from .ingest import first_of_each
 
 
@@ -74,3 +75,25 @@ def high_water_marks(executions: DataFrame) -> DataFrame:
 def fired_slots(events: DataFrame, time_col: str = "ts") -> DataFrame:
     """Each minute of each day that has an event, once."""
     return events.select(F.date_trunc("minute", time_col).alias("slot")).distinct()
+
+
+def schedule_status(asked: DataFrame, runs: DataFrame, seconds: int = 30 * 86_400) -> DataFrame:
+    """What a scheduler says of itself at each asked time: asked's columns, next_run_at, last_run_at and last_run_status (null before the first run).
+
+    asked: schedule, asked_at, times (array of HH:MM in UTC); runs: schedule, run_id, started_at, status. The last run is the last that began at
+    or before the asked time; of several at one time the largest run_id.
+    """
+    known = as_of(asked, runs.select("schedule", "run_id", "started_at", "status"), "schedule", "asked_at", "started_at", F.col("run_id"), seconds, "_run")
+    return known.select(*asked.columns, dates.next_run(F.col("asked_at"), F.col("times")).alias("next_run_at"), F.col("_run.started_at").alias("last_run_at"), F.col("_run.status").alias("last_run_status"))
+
+
+def run_results(asked: DataFrame, runs: DataFrame, dois: DataFrame) -> DataFrame:
+    """run_id, results: what became of the DOIs of each asked run, in order of created_at; empty for a run without any, null for an unknown one.
+
+    dois: run_id, doi, status, error_message, created_at. A run's results are one value, as they are one answer.
+    """
+    listed = dois.join(asked.select("run_id").distinct(), "run_id", "left_semi").groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("created_at", "doi", "status", "error_message"))).alias("l"))
+    known = runs.select("run_id").distinct().withColumn("_in", F.lit(True))
+    results = F.transform("l", lambda x: F.struct(x["doi"].alias("doi"), x["status"].alias("status"), x["error_message"].alias("error_message")))
+    none = F.expr("cast(array() as array<struct<doi:string,status:string,error_message:string>>)")
+    return asked.select("run_id").distinct().join(known, "run_id", "left").join(listed, "run_id", "left").select("run_id", F.when(F.col("_in"), F.coalesce(results, none)).alias("results"))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import computed_once
-from ..operators import batches, export, ranking
+from ..operators import batches, chunking, export, ingest, ranking, schedules
+from ..streaming import capture, enqueue
 from . import search_queries as search
-from .search_queries import _BOTH, table
+from .search_queries import _BOTH, _sql_windows, table
 
 
 def retrieval_export(spark, sf_dir):
@@ -36,6 +37,57 @@ def id_batches(spark, sf_dir):
     return out.select("key", "batch", "n_ids", F.length("ids").alias("n_chars"), F.md5("ids").alias("digest"))
 
 
+def job_outcomes(spark, sf_dir):
+    """Jobs of users and days: reservations, payloads, refused and finished work, from a replay of the events."""
+    e = table(spark, sf_dir, "events")
+    kind = F.element_at(F.array(*map(F.lit, ("reserve", "reserve", "reserve", "store", "enqueue", "enqueue_failed", "work"))), (F.col("event_id") % 7 + 1).cast("int"))
+    events = e.select(F.concat_ws("-", "user_id", F.date_format("ts", "yyyy-MM-dd")).alias("job_id"), F.col("ts").cast("timestamp").alias("at"), kind.alias("action"), F.concat(F.lit("d"), F.col("event_id") % 400).alias("doc_id"))
+    indexed = table(spark, sf_dir, "embeddings").where("label = 1").select(F.concat(F.lit("d"), "vec_id").alias("doc_id"))
+    return enqueue.replay(events, indexed, enqueue.Rules(patience=4 * 3_600_000, payload=12 * 3_600_000, give_up=24 * 3_600_000))
+
+
+def request_capture(spark, sf_dir):
+    """Views and clicks of a user as requests, purchases and errors as the responses that close them."""
+    e = table(spark, sf_dir, "events").withColumn("at", F.col("ts").cast("timestamp"))
+    requests = e.where("event_type IN ('view', 'click')").select(F.col("event_id").alias("audit_id"), F.col("user_id").alias("request_id"), F.col("at").alias("received_at"))
+    responses = e.where("event_type IN ('purchase', 'error')").select(F.col("event_id").alias("response_id"), F.col("user_id").alias("request_id"), F.col("at").alias("completed_at"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("response_status"))
+    out = capture.captured(requests, responses, 12)
+    return out.select("audit_id", "request_id", F.unix_micros("received_at").alias("received"), F.unix_micros("completed_at").alias("completed"), "response_status", "duration_ms", "status")
+
+
+def schedule_status(spark, sf_dir):
+    """What the schedule of each customer says at the times of that user's events, moved back to the years of the orders."""
+    asked = table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("schedule"), (F.col("ts").cast("timestamp") - F.make_dt_interval(days=(8000 + F.col("event_id") * 37 % 3000).cast("int"))).alias("asked_at"), F.array(F.lit("06:00"), F.lit("18:30")).alias("times"))
+    runs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("schedule"), F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").cast("timestamp").alias("started_at"), F.col("o_orderstatus").alias("status"))
+    out = schedules.schedule_status(asked, runs)
+    minute = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm").alias(c)
+    return out.select("event_id", "schedule", minute("next_run_at"), minute("last_run_at"), "last_run_status")
+
+
+def run_results(spark, sf_dir):
+    """Line items as the DOIs of orders, asked for by every order and by numbers that no order has."""
+    runs = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("run_id"))
+    dois = table(spark, sf_dir, "lineitem").where("l_linenumber <= 5").select(F.col("l_orderkey").alias("run_id"), F.concat(F.lit("10.1/"), F.col("l_partkey")).alias("doi"), F.col("l_returnflag").alias("status"), F.lit(None).cast("string").alias("error_message"), F.timestamp_seconds(F.col("l_linenumber")).alias("created_at"))
+    asked = runs.select(F.explode(F.array("run_id", -F.col("run_id") - 1)).alias("run_id"))
+    return schedules.run_results(asked, runs, dois).select("run_id", F.size("results").alias("n"), F.array_join(F.transform("results", lambda r: F.concat_ws(":", r["doi"], r["status"])), ",").alias("listed"))
+
+
+def _picky(texts):
+    """An embedder that leaves out texts with a dollar sign, and can't read one with an ampersand."""
+    if any("&" in t for t in texts):
+        raise ValueError("cannot read &")
+    return [[float(len(t)), 1.0] for t in texts if "$" not in t]
+
+
+def ingest_documents(spark, sf_dir):
+    """Documents through chunks and vectors into points; every item has one status, and only whole ones have points."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), F.when(F.col("doc_id") % 50 == 0, " ").otherwise(F.col("text")).alias("content_text"), F.col("source").alias("journal"))
+    indexed = table(spark, sf_dir, "embeddings").where("label = 1").select(F.col("vec_id").cast("string").alias("doc_id"))
+    done = computed_once(ingest.ingest_documents(docs, indexed, lambda t: chunking.fixed_windows(t, 500, 100), lambda: _picky))
+    points = ingest.item_points(done, F.lit("2024-01-01T00:00:00Z")).groupBy("doc_id").agg(F.min("point_id").alias("first_point"), F.sum("chunk_end").alias("ends"), F.sum(F.element_at("vector", 1)).cast("long").alias("chars"))
+    return ingest.item_statuses(done).join(points, "doc_id", "left")
+
+
 WORKFLOWS = {
     "retrieval_export": (retrieval_export, f"""
       WITH {_BOTH},
@@ -59,4 +111,34 @@ WORKFLOWS = {
         SELECT d.key, d.position, d.id, d.i, CASE WHEN new THEN batch + 1 ELSE batch END, CASE WHEN new THEN 1 ELSE n + 1 END, CASE WHEN new THEN length(d.id) ELSE chars + 1 + length(d.id) END
         FROM w JOIN d ON d.key = w.key AND d.i = w.i + 1, LATERAL (SELECT n + 1 > 40 OR chars + 1 + length(d.id) > 250 AS new))
       SELECT key, batch, count(*)::INTEGER AS n_ids, length(string_agg(id, ',' ORDER BY position))::INTEGER AS n_chars, md5(string_agg(id, ',' ORDER BY position)) AS digest FROM w GROUP BY key, batch"""),
+    "job_outcomes": (job_outcomes, None),  # a state machine with deadlines: tests/core/test_enqueue.py holds it against the stream
+    "request_capture": (request_capture, """
+      WITH q AS (SELECT event_id AS audit_id, user_id AS request_id, ts FROM events WHERE event_type IN ('view', 'click')),
+      r AS (SELECT event_id AS response_id, user_id AS request_id, ts, CASE WHEN event_type = 'error' THEN 500 ELSE 200 END AS code FROM events WHERE event_type IN ('purchase', 'error')),
+      n AS (SELECT r.*, q.audit_id, q.ts AS received FROM r ASOF JOIN q ON r.request_id = q.request_id AND r.ts >= q.ts),
+      c AS (SELECT * FROM n WHERE ts <= received + INTERVAL 12 HOUR QUALIFY row_number() OVER (PARTITION BY audit_id ORDER BY ts DESC, response_id DESC) = 1)
+      SELECT q.audit_id, q.request_id, epoch_us(q.ts) AS received, epoch_us(c.ts) AS completed, code AS response_status, ((epoch_us(c.ts) - epoch_us(q.ts)) // 1000)::BIGINT AS duration_ms,
+        CASE WHEN code >= 400 THEN 'ERROR' ELSE 'SUCCESS' END AS status FROM q LEFT JOIN c USING (audit_id)"""),
+    "schedule_status": (schedule_status, """
+      WITH a AS (SELECT event_id, user_id AS schedule, ts - to_days((8000 + event_id * 37 % 3000)::INTEGER) AS t FROM events),
+      r AS (SELECT o_custkey AS schedule, o_orderdate AS started, arg_max(o_orderstatus, o_orderkey) AS status FROM orders GROUP BY 1, 2)
+      SELECT event_id, a.schedule,
+        strftime(CASE WHEN t::TIME < TIME '06:00' THEN date_trunc('day', t) + INTERVAL 6 HOUR WHEN t::TIME < TIME '18:30' THEN date_trunc('day', t) + INTERVAL 1110 MINUTE ELSE date_trunc('day', t) + INTERVAL 30 HOUR END, '%Y-%m-%d %H:%M') AS next_run_at,
+        strftime(started, '%Y-%m-%d %H:%M') AS last_run_at, status AS last_run_status
+      FROM a ASOF LEFT JOIN r ON a.schedule = r.schedule AND a.t >= r.started"""),
+    "run_results": (run_results, """
+      WITH l AS (SELECT l_orderkey, count(*) AS n, string_agg('10.1/' || l_partkey || ':' || l_returnflag, ',' ORDER BY l_linenumber, '10.1/' || l_partkey, l_returnflag) AS listed FROM lineitem WHERE l_linenumber <= 5 GROUP BY 1)
+      SELECT DISTINCT o_orderkey AS run_id, coalesce(n, 0)::INTEGER AS n, coalesce(listed, '') AS listed FROM orders LEFT JOIN l ON l_orderkey = o_orderkey
+      UNION ALL SELECT DISTINCT -o_orderkey - 1, NULL, NULL FROM orders"""),
+    "ingest_documents": (ingest_documents, f"""
+      WITH {_sql_windows(500, 100)},
+      c AS (SELECT doc_id, count(*) AS n, bool_or(contains(piece, '&')) AS bad, bool_or(contains(piece, '$')) AS short, sum(stop)::BIGINT AS ends, sum(length(piece))::BIGINT AS chars FROM w GROUP BY doc_id),
+      p AS (SELECT doc_id, sha1(unhex('b2c2df407a1b4f9a9e1c0e7c8a7f6c1a') || (doc_id || ':' || chunk_index)::BLOB) AS h FROM w),
+      u AS (SELECT doc_id, min(substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(printf('%02x', (('0x' || substr(h, 17, 2))::INTEGER & 63) | 128)) || substr(h, 19, 2) || '-' || substr(h, 21, 12)) AS first_point FROM p GROUP BY doc_id),
+      s AS (
+        SELECT doc_id, CASE WHEN doc_id % 50 = 0 OR n IS NULL THEN 'empty_document_text' WHEN bad THEN 'embedding_failed' WHEN short THEN 'embedding_count_mismatch'
+            WHEN doc_id IN (SELECT vec_id FROM embeddings WHERE label = 1) THEN 'duplicate_doc' END AS message, n, ends, chars, first_point
+        FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN u USING (doc_id))
+      SELECT doc_id::VARCHAR AS doc_id, CASE WHEN message IS NULL THEN 'succeeded' WHEN message = 'duplicate_doc' THEN 'skipped_duplicate' ELSE 'failed' END AS state, message, (CASE WHEN message IS NULL THEN n ELSE 0 END)::INTEGER AS n_points,
+        CASE WHEN message IS NULL THEN first_point END AS first_point, CASE WHEN message IS NULL THEN ends END AS ends, CASE WHEN message IS NULL THEN chars END AS chars FROM s"""),
 }
