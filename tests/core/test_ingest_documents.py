@@ -4,18 +4,17 @@ from lexigrid.functions.ids import point_id
 from lexigrid.operators import chunking, ingest
 
 
-def model():
-    def run(texts):
-        if "boom" in texts[0]:
-            raise RuntimeError("out of memory")
-        if "none" in texts[0]:
-            return [[] for _ in texts]
-        return [[float(len(t))] for t in texts if "skip" not in t]
-
-    return run
+def test_failures_are_values(spark):
+    def model():
+        def run(texts):
+            if "boom" in texts[0]:
+                raise RuntimeError("out of memory")
+            if "none" in texts[0]:
+                return [[] for _ in texts]
+            return [[float(len(t))] for t in texts if "skip" not in t]
 
+        return run
 
-def test_failures_are_values(spark):
     rows = [("ok", "abc " * 10), ("blank", " \n"), ("null", None), ("boom", "boom"), ("short", "skip this"), ("empty", "none"), ("there", "known text"), ("boom there", "boom"), ("cut away", "zzz")]
     items = spark.createDataFrame([(i, t, "J", ["A"], 2020) for i, t in rows], "doc_id string, content_text string, journal string, authors array<string>, year int")
     index = spark.createDataFrame([("there",), ("boom there",), ("there",)], "doc_id string")
