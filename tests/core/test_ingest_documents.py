@@ -35,7 +35,7 @@ def test_failures_are_values(spark):
 
 
 def test_section_chunks_carry_their_titles(spark):
-    text = "Results\n\nMany patients had a clot. " + "x" * 50
+    text = "Results\n\nMany patients had a clot. " + "x" * 50 + "."
     items = spark.createDataFrame([("a", text)], "doc_id string, content_text string")
     done = ingest.ingest_documents(items, items.limit(0), chunking.section_chunks)
     assert [p["section"] for p in ingest.item_points(done, F.lit("now")).collect()] == ["Results"]
