@@ -131,8 +131,8 @@ def predicted_names(factors: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(factors, lambda f: F.concat(F.array(f["normalized_name"]), f["aliases"]))))
 
 
-def flatten_json(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, path, value: the leaves of JSON texts by paths like a.b[0], in Arrow batches."""
+def flatten_json(df: DataFrame, key: str, text: str, numeric: bool = False) -> DataFrame:
+    """key, path, value: the leaves of JSON texts by paths like a.b[0], in Arrow batches. With `numeric`, only numbers and truths (1 and 0)."""
 
     def leaves(x, path=""):
         if isinstance(x, dict):
@@ -141,6 +141,9 @@ def flatten_json(df: DataFrame, key: str, text: str) -> DataFrame:
         elif isinstance(x, list):
             for i, v in enumerate(x):
                 yield from leaves(v, f"{path}[{i}]")
+        elif numeric:
+            if isinstance(x, int | float):
+                yield path, str(float(x))
         else:
             yield path, None if x is None else json.dumps(x) if isinstance(x, bool) else str(x)
 
@@ -161,3 +164,19 @@ def harvest_metric(leaves: DataFrame, key: str, pattern: str) -> DataFrame:
     """The first numeric leaf, by path, whose path matches: key, value."""
     number = F.col("value").try_cast("double")
     return leaves.where(F.col("path").rlike(pattern) & number.isNotNull()).groupBy(key).agg(F.min_by(number, "path").alias("value"))
+
+
+#: What names of measures look like in a summary, the first that fits counts.
+MEASURES = (r"(ndcg(?:@?\d+)?)", r"(precision(?:@?\d+)?)", r"(recall(?:@?\d+)?)", r"(map(?:@?\d+)?)", r"(mrr(?:@?\d+)?)", r"(f1)", r"(accuracy)")
+
+
+def summary_metrics(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, metric, value of JSON summaries of unknown shape: numbers whose paths look like a measure, under the name as it is written there.
+
+    Of several numbers of one name the first path counts, in order of its characters. Texts that are no JSON, and summaries
+    without measures, give nothing.
+    """
+    found = flatten_json(df, key, text, numeric=True)
+    names = F.coalesce(*(F.nullif(F.regexp_extract("path", f"(?i){p}", 1), F.lit("")) for p in MEASURES))
+    named = found.withColumn("metric", names).where("metric IS NOT NULL")
+    return named.groupBy(key, "metric").agg(F.min_by(F.col("value").cast("double"), "path").alias("value"))

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.storage import computed_once
-from ..operators import batches, chunking, export, ingest, ranking, schedules
+from ..operators import answers, batches, chunking, export, ingest, ranking, schedules, tables
 from ..streaming import capture, enqueue
 from . import search_queries as search
+from . import workflows
 from .search_queries import _BOTH, _sql_windows, table
 
 
@@ -88,6 +89,52 @@ def ingest_documents(spark, sf_dir):
     return ingest.item_statuses(done).join(points, "doc_id", "left")
 
 
+def _commands(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    command = F.element_at(F.array(*map(F.lit, ("update", "create", "enable", "disable", "create", "remove"))), (F.col("event_id") % 6 + 1).cast("int"))
+    return e.select(F.col("user_id").alias("query_id"), F.col("ts").cast("timestamp").alias("at"), command.alias("command"), F.when(F.col("event_id") % 11 != 0, F.concat(F.lit(" "), "props")).alias("pubmed_query"), F.when(F.col("event_id") % 13 != 0, F.col("event_type")).otherwise(" ").alias("description"), (F.col("value") > 5).alias("enabled"))
+
+
+def saved_query_outcomes(spark, sf_dir):
+    told, _ = tables.saved_query_changes(_commands(spark, sf_dir))
+    return told.groupBy("query_id", "command", "outcome").agg(F.count("*").alias("n"), F.max(F.unix_micros("at")).alias("last"))
+
+
+def saved_queries(spark, sf_dir):
+    _, queries = tables.saved_query_changes(_commands(spark, sf_dir))
+    return queries.select("query_id", "pubmed_query", "description", "enabled", F.unix_micros("created_at").alias("created"), F.unix_micros("updated_at").alias("updated"))
+
+
+def benchmark_table(spark, sf_dir):
+    """Values of events by kind as measures, of four groups of users as configurations; one kind lacks a configuration, and one configuration has no value."""
+    configuration = F.element_at(F.array(*map(F.lit, ("rag_hyde", "rag_no_hyde", "llm_only", "other"))), (F.col("user_id") % 4 + 1).cast("int"))
+    value = F.when(~((F.col("user_id") % 4 == 2) & (F.col("event_type") == "view")), F.col("value"))
+    rows = table(spark, sf_dir, "events").select(F.concat(F.lit("run/"), F.col("user_id") % 7).alias("file"), configuration.alias("configuration"), F.col("event_type").alias("metric"), value.alias("value"))
+    out = workflows.configuration_table(workflows.configuration_means(rows), workflows.CONFIGURATIONS | {"absent": "Absent"})
+    return out.select("metric", *(F.round(f"`{c}`", 6).alias(c.replace(" ", "_")) for c in out.columns if c != "metric"))
+
+
+def benchmark_summary(spark, sf_dir):
+    """Measures found in JSON summaries made of events, of a shape that the reader doesn't know."""
+    number = F.col("value").cast("string")
+    text = F.concat(F.lit('{"b": {"nDCG@10": '), number, F.lit(', "x": ["no", {"Recall@5": 1}]}, "a": {"ndcg@10": '), F.col("event_id").cast("string"), F.lit(', "F1": "0.5", "accuracy": true, "z_recall@5": 2, "MRR": null, "props": '), F.col("props"), F.lit("}}"))
+    out = answers.summary_metrics(table(spark, sf_dir, "events").select("event_id", text.alias("j")), "event_id", "j")
+    return out.select("event_id", "metric", F.round("value", 6).alias("value"))
+
+
+def sentence_chunks(spark, sf_dir):
+    """Whole documents in packed sentences with tails."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.sentence_chunks(F.col("text"), chunking.Sentences(400, 60))).alias("place", "chunk"))
+    return docs.select("doc_id", "place", F.length("chunk").alias("n_chars"), F.md5("chunk").alias("digest"))
+
+
+_COMMANDS = """
+c AS (SELECT user_id AS query_id, ts, event_id, (['update', 'create', 'enable', 'disable', 'create', 'remove'])[event_id % 6 + 1] AS command, CASE WHEN event_id % 11 <> 0 THEN trim(props) END AS q,
+  CASE WHEN event_id % 13 <> 0 THEN event_type END AS d, value > 5 AS enabled FROM events),
+b AS (SELECT *, CASE WHEN command IN ('create', 'update') AND q IS NULL THEN 'invalid: pubmed_query' WHEN command IN ('create', 'update') AND d IS NULL THEN 'invalid: description' WHEN command = 'remove' THEN 'invalid: command' END AS bad FROM c),
+t AS (SELECT *, min(ts) FILTER (command = 'create' AND bad IS NULL) OVER (PARTITION BY query_id) AS t0 FROM b),
+o AS (SELECT *, CASE WHEN bad IS NOT NULL THEN bad WHEN command = 'create' AND ts = t0 THEN 'created' WHEN t0 IS NULL OR ts < t0 THEN 'not_found' WHEN command = 'create' THEN 'exists' ELSE command || 'd' END AS outcome FROM t)"""
+
 WORKFLOWS = {
     "retrieval_export": (retrieval_export, f"""
       WITH {_BOTH},
@@ -141,4 +188,21 @@ WORKFLOWS = {
         FROM documents LEFT JOIN c USING (doc_id) LEFT JOIN u USING (doc_id))
       SELECT doc_id::VARCHAR AS doc_id, CASE WHEN message IS NULL THEN 'succeeded' WHEN message = 'duplicate_doc' THEN 'skipped_duplicate' ELSE 'failed' END AS state, message, (CASE WHEN message IS NULL THEN n ELSE 0 END)::INTEGER AS n_points,
         CASE WHEN message IS NULL THEN first_point END AS first_point, CASE WHEN message IS NULL THEN ends END AS ends, CASE WHEN message IS NULL THEN chars END AS chars FROM s"""),
+    "saved_query_outcomes": (saved_query_outcomes, f"""
+      WITH {_COMMANDS}
+      SELECT query_id, command, outcome, count(*) AS n, max(epoch_us(ts)) AS last FROM o GROUP BY ALL"""),
+    "saved_queries": (saved_queries, f"""
+      WITH {_COMMANDS}
+      SELECT query_id, arg_max(q, ts) FILTER (outcome IN ('created', 'updated')) AS pubmed_query, arg_max(d, ts) FILTER (outcome IN ('created', 'updated')) AS description,
+        arg_max(CASE outcome WHEN 'created' THEN enabled ELSE outcome = 'enabled' END, ts) FILTER (outcome <> 'updated') AS enabled, epoch_us(any_value(t0)) AS created, max(epoch_us(ts)) AS updated
+      FROM o WHERE outcome IN ('created', 'updated', 'enabled', 'disabled') GROUP BY query_id"""),
+    "benchmark_table": (benchmark_table, """
+      WITH r AS (SELECT event_type AS metric, user_id % 4 AS c, user_id % 7 AS file, avg(CASE WHEN NOT (user_id % 4 = 2 AND event_type = 'view') THEN value END) AS v FROM events GROUP BY ALL),
+      g AS (SELECT metric, c, avg(v) AS mean, grouping(c) AS over FROM r GROUP BY GROUPING SETS ((metric, c), (metric)))
+      SELECT metric, round(max(CASE WHEN c = 2 THEN mean END), 6) AS LLM_only, round(max(CASE WHEN c = 1 THEN mean END), 6) AS RAG_no_HyDE, round(max(CASE WHEN c = 0 THEN mean END), 6) AS RAG_HyDE,
+        round(max(CASE WHEN over = 1 THEN mean END), 6) AS "All" FROM g GROUP BY metric"""),
+    "benchmark_summary": (benchmark_summary, """
+      SELECT event_id, 'ndcg@10' AS metric, event_id::DOUBLE AS value FROM events UNION ALL SELECT event_id, 'nDCG@10', value FROM events UNION ALL SELECT event_id, 'Recall@5', 1 FROM events
+      UNION ALL SELECT event_id, 'recall@5', 2 FROM events UNION ALL SELECT event_id, 'accuracy', 1 FROM events"""),
+    "sentence_chunks": (sentence_chunks, None),  # a fold with carried tails: tests/core/test_results_and_readers.py holds it against a plain loop
 }

@@ -84,3 +84,32 @@ def means_by_configuration(rows: DataFrame, file_col: str = "file") -> DataFrame
     chosen = rows if primary.isEmpty() else primary
     named = chosen.withColumn("configuration", run_mode(F.element_at(F.split(file_col, "/"), -1)))
     return evaluation.numeric_means(named.drop(file_col), ["configuration"])
+
+
+#: Configurations in the order of tables, as tables name them.
+CONFIGURATIONS = {"llm_only": "LLM only", "rag_no_hyde": "RAG no HyDE", "rag_hyde": "RAG HyDE"}
+
+
+def configuration_means(rows: DataFrame, primary_only: bool = False) -> DataFrame:
+    """metric, configuration (null: over all of them), mean, files. rows: file, configuration, metric, value.
+
+    First the mean of each file, then the mean of the files, so a long file counts no more than a short one. With primary_only, files of a primary
+    deterministic run stand for all if there are any. Null and NaN values don't count; a measure without any has a null mean.
+    """
+    if primary_only:
+        primary = rows.where(F.col("file").contains("primary_deterministic"))
+        rows = rows if primary.isEmpty() else primary
+    value = F.when(~F.isnan(F.col("value").cast("double")), F.col("value").cast("double"))
+    files = rows.groupBy("metric", "configuration", "file").agg(F.avg(value).alias("value"))
+    sets = files.groupingSets([[F.col("metric"), F.col("configuration")], [F.col("metric")]], F.col("metric"), F.col("configuration"))
+    # a configuration without a name is none, so null stands for all alone
+    out = sets.agg(F.avg("value").alias("mean"), F.count("value").alias("files"), F.grouping("configuration").alias("_all"))
+    return out.where("_all = 1 OR configuration IS NOT NULL").drop("_all")
+
+
+def configuration_table(means: DataFrame, order: dict[str, str] = CONFIGURATIONS, overall: str = "All") -> DataFrame:
+    """A table of means: a row for each measure, a column for each configuration in the order given, under its label, then `overall`. Configurations without any value are dropped."""
+    named = means.withColumn("column", F.coalesce("configuration", F.lit("*")))
+    wide = named.groupBy("metric").pivot("column", [*order, "*"]).agg(F.first("mean"))
+    counts = wide.agg(*(F.count(F.col(f"`{c}`")).alias(c) for c in order)).first()
+    return wide.select("metric", *(F.col(f"`{c}`").alias(label) for c, label in order.items() if counts[c]), F.col("`*`").alias(overall))

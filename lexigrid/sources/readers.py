@@ -153,3 +153,47 @@ def body_text(column: Column) -> Column:
         return texts.map(read)
 
     return run(column)
+
+
+#: The elements of bulk literature files that are read.
+BULK = (
+    "MedlineCitation struct<PMID:string, Article:struct<Journal:struct<Title:string, JournalIssue:struct<PubDate:struct<Year:string>>>, ArticleDate:array<struct<Year:string>>, "
+    "AuthorList:struct<Author:array<struct<LastName:string, Initials:string, CollectiveName:string>>>>>, PubmedData struct<ArticleIdList:struct<ArticleId:array<struct<_VALUE:string, _IdType:string>>>>"
+)
+
+
+def read_articles(spark: SparkSession, path: str) -> DataFrame:
+    """Records of bulk literature files: pmid, doi, journal, year, authors (family name and initials, or the group's name), one row per pmid.
+
+    Files are read in parts by Spark's own XML source, one article element at a time. Articles without a pmid, or with nothing else, go; of several
+    of one pmid the last of the last file counts. A year of other than digits is none, and an issue's year comes before an article's.
+    """
+    raw = spark.read.format("xml").option("rowTag", "PubmedArticle").schema(BULK).load(path).select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    text = lambda c: F.nullif(strip(F.col(c)), F.lit(""))
+    article = "MedlineCitation.Article"
+    dois = F.filter("PubmedData.ArticleIdList.ArticleId", lambda a: (F.lower(a["_IdType"]) == "doi") & (strip(a["_VALUE"]) != ""))
+    year = F.coalesce(strip(F.col(f"{article}.Journal.JournalIssue.PubDate.Year")), strip(F.get(F.filter(F.col(f"{article}.ArticleDate.Year"), lambda y: y.isNotNull()), F.lit(0))))
+    filled = lambda c: F.nullif(c, F.lit(""))
+    name = lambda a: F.when(filled(a["LastName"]).isNotNull(), F.concat_ws(" ", a["LastName"], filled(a["Initials"]))).otherwise(filled(a["CollectiveName"]))
+    people = F.filter(F.transform(f"{article}.AuthorList.Author", name), lambda n: n.isNotNull())
+    rows = raw.select(text("MedlineCitation.PMID").alias("pmid"), strip(F.get(dois, F.lit(0))["_VALUE"]).alias("doi"), text(f"{article}.Journal.Title").alias("journal"), F.when(year.rlike(r"^\d+$"), year).try_cast("int").alias("year"), F.when(F.size(people) > 0, people).alias("authors"), "_file", "_at")
+    kept = rows.where("pmid IS NOT NULL AND (doi IS NOT NULL OR journal IS NOT NULL OR year IS NOT NULL OR authors IS NOT NULL)")
+    return kept.groupBy("pmid").agg(F.max_by(F.struct("doi", "journal", "year", "authors"), F.struct("_file", "_at")).alias("r")).select("pmid", "r.*")
+
+
+def read_id_table(spark: SparkSession, path: str) -> DataFrame:
+    """pmid, doi, pmcid from tables of ids separated by tabs, whose columns stand in any order and case under the first line of each file.
+
+    Lines are trimmed first, blank ones are passed over. Files without a pmid column give nothing, rows without a pmid, or without either
+    other id, go; of several rows of one pmid the last line of the last file counts.
+    """
+    lines = read_lines(spark, path).withColumn("value", strip(F.col("value"))).where("value <> ''")
+    heads = lines.groupBy("file").agg(F.min("line").alias("first"), F.min_by("value", "line").alias("head"))
+    names = F.transform(F.split("head", "\t"), lambda h: F.lower(strip(h)))
+    # of two columns of one name the later one counts
+    place = lambda name: F.when(F.array_contains(names, name), F.size(names) - F.array_position(F.reverse(names), name))
+    heads = heads.select("file", "first", *(place(n).cast("int").alias(f"_{n}") for n in ("pmid", "doi", "pmcid"))).where("_pmid IS NOT NULL")
+    cell = lambda name: F.nullif(strip(F.get(F.split("value", "\t"), F.col(f"_{name}"))), F.lit("")).alias(name)
+    rows = lines.join(heads, "file").where("line > first").select("file", "line", cell("pmid"), cell("doi"), cell("pmcid"))
+    kept = rows.where("pmid IS NOT NULL AND (doi IS NOT NULL OR pmcid IS NOT NULL)")
+    return kept.groupBy("pmid").agg(F.max_by(F.struct("doi", "pmcid"), F.struct("file", "line")).alias("r")).select("pmid", "r.*")

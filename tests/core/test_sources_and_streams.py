@@ -52,12 +52,3 @@ def test_stream_equals_batch(spark, tmp_path):
         query = form(stream).writeStream.format("parquet").option("path", str(out)).option("checkpointLocation", str(tmp_path / f"{name}-c")).trigger(availableNow=True).start()
         query.awaitTermination()
         assert sorted(map(str, spark.read.parquet(str(out)).collect())) == sorted(map(str, form(events).collect()))
-
-
-def test_upserts_of_a_stream(spark, tmp_path):
-    path = str(tmp_path / "table")
-    first = spark.createDataFrame([("a", 1, 1), ("b", 1, 1)], "k string, v int, at int")
-    second = spark.createDataFrame([("a", 2, 2)], first.schema)
-    for batch in (first, second, second):
-        jobs.upsert_latest(batch, path, ["k"], "at")
-    assert sorted(map(tuple, jobs.read_latest(spark, path).collect())) == [("a", 2, 2), ("b", 1, 1)]
