@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NAME_SYNONYMS, strip, truncated
+from ..functions.variants import words
 
 #: How much of an answer is kept.
 FACTORS, CITATIONS, BACKFILL, FEW, SUMMARY, RATIONALE = 8, 4, 2, 3, 900, 260
@@ -180,3 +181,54 @@ def summary_metrics(df: DataFrame, key: str, text: str) -> DataFrame:
     names = F.coalesce(*(F.nullif(F.regexp_extract("path", f"(?i){p}", 1), F.lit("")) for p in MEASURES))
     named = found.withColumn("metric", names).where("metric IS NOT NULL")
     return named.groupBy(key, "metric").agg(F.min_by(F.col("value").cast("double"), "path").alias("value"))
+
+
+def fallback_answer(reason: Column) -> Column:
+    """The answer that stands where none could be grounded, with the reason as its limitation: struct(summary, factors, limitations, citations)."""
+    none = F.expr("cast(array() as array<string>)")
+    return F.struct(F.lit(NO_SUMMARY).alias("summary"), F.expr(f"cast(array() as array<{FACTOR}>)").alias("factors"), F.array(reason).alias("limitations"), none.alias("citations"))
+
+
+def supporting_texts(raw: Column) -> Column:
+    """Texts that a response (VARIANT) says it was made of, each once, in order: of its citations, then of its evidence, chunks and contexts."""
+    listed = lambda path: F.coalesce(F.try_variant_get(raw, path, "array<variant>"), F.expr("cast(array() as array<variant>)"))
+    # the first of these keys that holds anything is the one that counts, whatever it holds
+    one = lambda x, keys: F.coalesce(*(F.when(F.coalesce(F.variant_get(x, f"$.{k}", "string"), F.lit("")) != "", F.coalesce(words(x, f"$.{k}"), F.lit(""))) for k in keys))
+    kind = F.schema_of_variant
+    cited = F.transform(listed("$.citations"), lambda c: F.when(kind(c).startswith("OBJECT"), one(c, ("snippet", "text", "content"))))
+    others = [F.transform(listed(f"$.{key}"), lambda c: F.when(kind(c) == "STRING", words(c, "$")).when(kind(c).startswith("OBJECT"), one(c, ("snippet", "content_text", "text", "content")))) for key in ("evidence", "chunks", "retrieved_contexts", "contexts")]
+    return F.array_distinct(F.filter(F.concat(cited, *others), lambda t: t.isNotNull() & (t != "")))
+
+
+#: Ways to answer, in the order in which they are asked.
+MODES = ("rag_no_hyde", "rag_hyde", "llm_only")
+
+
+def answer_records(queries: DataFrame, responses: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
+    """Records of answers over several modes: query_id, question, mode, answer_raw (VARIANT; null for llm_only), answer_text (llm_only), contexts, contexts_source.
+
+    responses: query_id, mode, raw (VARIANT), text, error. A query whose answer fails in one mode keeps what the modes before it gave, and
+    nothing after. Unknown modes raise; see generation_failures() for queries that fail.
+    """
+    if unknown := sorted(set(modes) - set(MODES)):
+        raise ValueError(f"unknown modes: {', '.join(unknown)}")
+    if not modes:
+        raise ValueError("no modes")
+    order = [m for m in MODES if m in modes]
+    place = F.array_position(F.array(*map(F.lit, order)), F.col("mode"))
+    asked = queries.select("query_id", "question", F.explode(F.array(*map(F.lit, order))).alias("mode"))
+    rows = asked.join(responses, ["query_id", "mode"], "left").withColumn("_p", place)
+    failed = F.when(F.col("error").isNotNull() | (F.col("raw").isNull() & F.col("text").isNull()), F.col("_p"))
+    stops = rows.groupBy("query_id").agg(F.min(failed).alias("_stop"))
+    kept = rows.join(stops, "query_id").where("_stop IS NULL OR _p < _stop")
+    alone = F.col("mode") == "llm_only"
+    none = F.expr("cast(array() as array<string>)")
+    return kept.select("query_id", "question", "mode", F.when(~alone, F.col("raw")).alias("answer_raw"), F.when(alone, F.col("text")).alias("answer_text"), F.when(alone, none).otherwise(supporting_texts(F.col("raw"))).alias("contexts"), F.when(alone, "none").otherwise("ask").alias("contexts_source"))
+
+
+def generation_failures(queries: DataFrame, responses: DataFrame, modes: tuple[str, ...] = MODES) -> DataFrame:
+    """One row: queries and how many of them fail in a mode. If all do, and there are any, reading it raises."""
+    bad = responses.where(F.col("mode").isin(*modes)).groupBy("query_id").agg(F.count_if(F.col("error").isNull() & (F.col("raw").isNotNull() | F.col("text").isNotNull())).alias("good"))
+    counts = queries.select("query_id").join(bad, "query_id", "left").agg(F.count("*").alias("queries"), F.count_if(F.coalesce("good", F.lit(0)) < len(set(modes))).alias("failures"))
+    all_bad = (F.col("queries") > 0) & (F.col("failures") == F.col("queries"))
+    return counts.select("queries", F.when(all_bad, F.raise_error(F.lit("answers failed for all queries")).cast("long")).otherwise(F.col("failures")).alias("failures"))
