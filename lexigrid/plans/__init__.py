@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import gold_queries, record_queries, search_queries, workflow_queries
+from . import gold_queries, lookup_queries, record_queries, search_queries, workflow_queries
 
-TABLE = search_queries.SEARCH | record_queries.RECORDS | gold_queries.GOLD | workflow_queries.WORKFLOWS
+TABLE = search_queries.SEARCH | record_queries.RECORDS | gold_queries.GOLD | workflow_queries.WORKFLOWS | lookup_queries.LOOKUPS
 flagship = search_queries.search_flagship
 
 

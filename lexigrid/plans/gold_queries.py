@@ -59,9 +59,14 @@ def audit_rows(spark, sf_dir):
     return out.select("query_id", "question", F.array_join("contexts", "|").alias("contexts"), *(F.md5(c).alias(c) for c in ("rag_no_hyde", "rag_hyde", "llm_only")))
 
 
+def _pair():
+    """Two documents share a DOI."""
+    return (F.col("doc_id") - F.col("doc_id") % 2).cast("string")
+
+
 def _weak(spark, sf_dir):
-    pool = table(spark, sf_dir, "documents").select((F.col("doc_id") % 9).alias("query_id"), F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 60).cast("string")).otherwise(" ").alias("doi"), F.col("doc_id").alias("rank"))
-    return gold.weak_unique(pool, table(spark, sf_dir, "labels").where("quality = 1 AND doc_id < 40").select(F.col("doc_id").cast("string").alias("doi")))
+    pool = table(spark, sf_dir, "documents").select((F.col("doc_id") % 9).alias("query_id"), F.when(F.col("doc_id") % 7 != 0, _pair()).otherwise(" ").alias("doi"), F.col("doc_id").alias("rank"))
+    return gold.weak_unique(pool, table(spark, sf_dir, "labels").where("quality = 1").select(_pair().alias("doi")))
 
 
 def weak_unique_metrics(spark, sf_dir):
@@ -73,7 +78,18 @@ def weak_label_summary(spark, sf_dir):
 
 
 def label_field_types(spark, sf_dir):
-    return gold.label_fields(_tasks(spark, sf_dir))
+    """Events of each user as answers: the kind of event is the field, its value decides the type."""
+    kind = F.when(F.col("value") < 2, "rating").when((F.col("value") > 30) & (F.col("event_type") != "view"), "textarea").otherwise("choices")
+    name = F.when(F.col("user_id") % 10 == 0, " ").otherwise(F.col("event_type"))
+    entry = F.struct(name.alias("from_name"), kind.alias("type"), F.lit(None).cast(gold.RESULT[: -1].split("value:", 1)[1][:-1]).alias("value"))
+    return gold.label_fields(table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_list(entry).alias("result")))
+
+
+def metadata_matches(spark, sf_dir):
+    """Documents as a pool of DOIs, and vectors as the tasks of these DOIs."""
+    pool = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), (F.col("doc_id") % 700).cast("string")).alias("doi"), F.col("doc_id").alias("rank"), F.when(F.col("doc_id") % 3 == 0, "123").otherwise("A b.C").alias("title"), (F.col("doc_id") % 30 + 1990).cast("int").alias("year"), F.when(F.col("doc_id") % 5 != 0, F.col("lang")).alias("journal"))
+    tasks = table(spark, sf_dir, "embeddings").select(F.concat(F.lit("d"), F.col("vec_id").cast("string")).alias("doi"), F.when(F.col("vec_id") % 4 != 0, "a  bc").alias("title"), F.when(F.col("vec_id") % 7 != 0, F.col("vec_id") % 30 + 1990).cast("int").alias("year"), F.lit(" EN ").alias("journal"))
+    return gold.metadata_matches(pool, tasks)
 
 
 def missing_id_list(spark, sf_dir):
@@ -124,18 +140,25 @@ GOLD = {
       c AS (SELECT * FROM conversations WHERE length(text) > 60 QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) = 1)
       SELECT conv_id AS query_id, a.role AS question, a.role AS contexts, md5(a.text) AS rag_no_hyde, md5(b.text) AS rag_hyde, md5(c.text) AS llm_only FROM a JOIN b USING (conv_id) JOIN c USING (conv_id)"""),
     "weak_unique_metrics": (weak_unique_metrics, """
-      WITH p AS (SELECT doc_id % 9 AS query_id, (doc_id % 60)::VARCHAR AS doi, min(doc_id) AS rank FROM documents WHERE doc_id % 7 <> 0 GROUP BY 1, 2),
-      y AS (SELECT DISTINCT doc_id::VARCHAR AS doi FROM labels WHERE quality = 1 AND doc_id < 40),
+      WITH p AS (SELECT doc_id % 9 AS query_id, (doc_id - doc_id % 2)::VARCHAR AS doi, min(doc_id) AS rank FROM documents WHERE doc_id % 7 <> 0 GROUP BY 1, 2),
+      y AS (SELECT DISTINCT (doc_id - doc_id % 2)::VARCHAR AS doi FROM labels WHERE quality = 1),
       r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, doi) AS k, doi IN (SELECT doi FROM y) AS yes FROM p)
       SELECT query_id, round(coalesce(1.0 / min(k) FILTER (yes), 0), 6)::DOUBLE AS mrr, count(*) AS retrieved, count(*) FILTER (yes) AS relevant, round(count(*) FILTER (yes AND k <= 5) / 5.0, 6)::DOUBLE AS p5, round(count(*) FILTER (yes AND k <= 10) / 10.0, 6)::DOUBLE AS p10 FROM r GROUP BY query_id"""),
     "weak_label_summary": (weak_label_summary, """
-      WITH p AS (SELECT doc_id % 9 AS query_id, (doc_id % 60)::VARCHAR AS doi, min(doc_id) AS rank FROM documents WHERE doc_id % 7 <> 0 GROUP BY 1, 2),
-      y AS (SELECT DISTINCT doc_id::VARCHAR AS doi FROM labels WHERE quality = 1 AND doc_id < 40),
+      WITH p AS (SELECT doc_id % 9 AS query_id, (doc_id - doc_id % 2)::VARCHAR AS doi, min(doc_id) AS rank FROM documents WHERE doc_id % 7 <> 0 GROUP BY 1, 2),
+      y AS (SELECT DISTINCT (doc_id - doc_id % 2)::VARCHAR AS doi FROM labels WHERE quality = 1),
       r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank, doi) AS k, doi IN (SELECT doi FROM y) AS yes FROM p),
       q AS (SELECT coalesce(1.0 / min(k) FILTER (yes), 0) AS m, count(*) FILTER (yes AND k <= 5) / 5.0 AS p5, count(*) FILTER (yes AND k <= 10) / 10.0 AS p10, (count(*) FILTER (yes) > 0)::INTEGER AS hit FROM r GROUP BY query_id)
       SELECT 0::INTEGER AS place, 'mrr' AS metric, round(avg(m), 6)::DOUBLE AS value FROM q UNION ALL SELECT 1::INTEGER, 'precision@5', round(avg(p5), 6)::DOUBLE FROM q
       UNION ALL SELECT 2::INTEGER, 'precision@10', round(avg(p10), 6)::DOUBLE FROM q UNION ALL SELECT 3::INTEGER, 'queries_with_any_relevant_rate', round(avg(hit), 6)::DOUBLE FROM q"""),
-    "label_field_types": (label_field_types, "SELECT * FROM (VALUES ('note', 'textarea'), ('risk', 'choices'), ('sure', 'rating'), ('why', 'textarea')) v(field, types) WHERE EXISTS (SELECT 1 FROM documents JOIN labels USING (doc_id))"),
+    "label_field_types": (label_field_types, """
+      WITH e AS (SELECT event_type AS field, CASE WHEN value < 2 THEN 'rating' WHEN value > 30 AND event_type <> 'view' THEN 'textarea' ELSE 'choices' END AS type FROM events WHERE user_id % 10 <> 0)
+      SELECT field, string_agg(DISTINCT type, '|' ORDER BY type) AS types FROM e GROUP BY field"""),
+    "metadata_matches": (metadata_matches, """
+      WITH p AS (SELECT doc_id % 700 AS k, min(doc_id) AS d FROM documents GROUP BY 1),
+      r AS (SELECT 'd' || k AS doi, d % 3 <> 0 AS t, d % 30 + 1990 AS y, CASE WHEN d % 5 <> 0 THEN lang END AS j FROM p JOIN documents ON doc_id = d)
+      SELECT DISTINCT doi, CASE WHEN t AND vec_id % 4 <> 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS title_similarity, (coalesce(vec_id % 7 <> 0 AND y = vec_id % 30 + 1990, FALSE))::INTEGER AS year_match,
+        coalesce(j = 'en', FALSE)::INTEGER AS journal_match, (t AND vec_id % 4 <> 0)::INTEGER AS title_sim_ok FROM r JOIN embeddings ON doi = 'd' || vec_id"""),
     "missing_id_list": (missing_id_list, "SELECT DISTINCT doc_id::VARCHAR AS pmid FROM documents WHERE doc_id % 10 <> 0 AND doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)"),
     "first_source_wins": (first_source_wins, """
       SELECT id, CASE min(p) WHEN 0 THEN 'labels' WHEN 1 THEN 'embeddings' ELSE 'documents' END AS source

@@ -101,8 +101,10 @@ def grade_histogram(spark, sf_dir):
 
 
 def annotation_errors(spark, sf_dir):
-    pool = table(spark, sf_dir, "nation").select(F.col("n_regionkey").cast("string").alias("query_id"), F.col("n_nationkey").cast("string").alias("resolved_doc_id"))
-    rows = table(spark, sf_dir, "nation").where("n_nationkey % 6 <> 0").select((F.col("n_nationkey") + 2).alias("row"), F.when(F.col("n_nationkey") == 7, "").otherwise(F.col("n_regionkey").cast("string")).alias("query_id"), F.when(F.col("n_nationkey") == 9, "999").otherwise(F.col("n_nationkey").cast("string")).alias("resolved_doc_id"), (F.col("n_nationkey") % 4).cast("string").alias("relevance"), F.when(F.col("n_nationkey") % 5 == 0, " ").otherwise("why").alias("rationale"), F.when(F.col("n_nationkey") == 4, "odd").otherwise("").alias("adjudication_status"))
+    """Customers as judged pairs: one in six lacks its judgement; some keys are empty or unknown, some grades, reasons and states wrong."""
+    c, k = table(spark, sf_dir, "customer"), F.col("c_custkey")
+    pool = c.select(F.col("c_nationkey").cast("string").alias("query_id"), k.cast("string").alias("resolved_doc_id"))
+    rows = c.where("c_custkey % 6 <> 0").select((k + 2).alias("row"), F.when(k % 97 == 7, "").otherwise(F.col("c_nationkey").cast("string")).alias("query_id"), F.when(k % 89 == 9, "none").otherwise(k.cast("string")).alias("resolved_doc_id"), (k % 4).cast("string").alias("relevance"), F.when(k % 5 == 0, " ").otherwise("why").alias("rationale"), F.when(k % 83 == 4, "odd").otherwise("").alias("adjudication_status"))
     return evaluation.annotation_errors(rows, pool)
 
 
@@ -319,9 +321,10 @@ RECORDS = {
       UNION ALL SELECT mode, query_id, 'shallow' FROM r2 GROUP BY mode, query_id HAVING count(*) < 20"""),
     "grade_histogram": (grade_histogram, f"WITH {_CAND}, {_J} SELECT g::INTEGER AS relevance, (SELECT count(*) FROM j WHERE relevance = g) AS n FROM (VALUES (0), (1), (2)) v(g)"),
     "annotation_errors": (annotation_errors, """
-      WITH pool AS (SELECT n_regionkey::VARCHAR AS q, n_nationkey::VARCHAR AS d FROM nation),
-      a AS (SELECT (n_nationkey + 2)::INTEGER AS row, CASE WHEN n_nationkey = 7 THEN '' ELSE n_regionkey::VARCHAR END AS q, CASE WHEN n_nationkey = 9 THEN '999' ELSE n_nationkey::VARCHAR END AS d, n_nationkey % 4 AS g, CASE WHEN n_nationkey % 5 = 0 THEN '' ELSE 'why' END AS why, CASE WHEN n_nationkey = 4 THEN 'odd' ELSE '' END AS s FROM nation WHERE n_nationkey % 6 <> 0),
+      WITH pool AS (SELECT c_nationkey::VARCHAR AS q, c_custkey::VARCHAR AS d FROM customer),
+      a AS (SELECT c_custkey + 2 AS row, CASE WHEN c_custkey % 97 = 7 THEN '' ELSE c_nationkey::VARCHAR END AS q, CASE WHEN c_custkey % 89 = 9 THEN 'none' ELSE c_custkey::VARCHAR END AS d, c_custkey % 4 AS g, CASE WHEN c_custkey % 5 = 0 THEN '' ELSE 'why' END AS why, CASE WHEN c_custkey % 83 = 4 THEN 'odd' ELSE '' END AS s FROM customer WHERE c_custkey % 6 <> 0),
       e AS (SELECT row, q, d, 'empty key' AS error FROM a WHERE q = '' OR d = '' UNION ALL SELECT row, q, d, 'not in the pool' FROM a ANTI JOIN pool USING (q, d) UNION ALL SELECT NULL, q, d, 'missing' FROM pool ANTI JOIN a USING (q, d)
+        UNION ALL SELECT row, q, d, 'duplicate' FROM (SELECT *, row_number() OVER (PARTITION BY q, d ORDER BY row) AS n FROM a) WHERE n > 1
         UNION ALL SELECT row, q, d, 'relevance must be 0, 1 or 2' FROM a WHERE g > 2 UNION ALL SELECT row, q, d, 'a rationale is required' FROM a WHERE g IN (1, 2) AND why = '' UNION ALL SELECT row, q, d, 'unknown status' FROM a WHERE s = 'odd')
       SELECT row, q AS query_id, d AS resolved_doc_id, error FROM e"""),
     "ingest_split_dedupe": (ingest_split_dedupe, f"""

@@ -136,9 +136,11 @@ def doc_ids_uuid5(spark, sf_dir):
 
 
 def canonical_url_ids(spark, sf_dir):
-    doi = F.concat(F.lit("see https://doi.org/10.1234/AB."), F.col("page_id").cast("string"), F.lit("). "))
+    """DOIs whose suffix is the path of a page's address."""
+    path = F.regexp_extract("url", "^https?://[^/]+/([^?#]*)", 1)
+    made = lambda before, after="": F.concat(F.lit(before), path, F.lit(after))
     pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", text.canonical_doi(doi).alias("canonical"), text.canonical_doi(F.col("url")).alias("none"), text.doi_without_prefixes(F.concat(F.lit(" DOI: 10.1/"), F.col("page_id").cast("string"))).alias("b"), text.doi_without_addresses(F.concat(F.lit("https://doi.org/10.1/A"), F.col("page_id").cast("string"))).alias("c"), text.doi_from_plain(F.concat(F.lit("https://doi.org/10.1/A"), F.col("page_id").cast("string"))).alias("d"))
+    return pages.select("page_id", text.canonical_doi(made("see https://doi.org/10.1234/AB.", "). ")).alias("canonical"), text.canonical_doi(F.col("url")).alias("none"), text.doi_without_prefixes(made(" DOI: 10.1/")).alias("b"), text.doi_without_addresses(made("https://doi.org/10.1/A")).alias("c"), text.doi_from_plain(made("https://doi.org/10.1/A")).alias("d"))
 
 
 def norm_text(spark, sf_dir):
@@ -169,8 +171,10 @@ def fetch_by_doc_ids(spark, sf_dir):
 
 
 def page_records(spark, sf_dir):
-    xml = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("<A><PMID>"), F.col("page_id").cast("string"), F.lit("</PMID><ArticleTitle>deep <i>vein</i> clot</ArticleTitle><PubDate>2021 May</PubDate><Author><ForeName>A</ForeName><LastName>B</LastName></Author></A>")).alias("xml"))
-    return readers.article_records(xml).select("page_id", "pmid", "title", "year", F.array_join("authors", "|").alias("authors"))
+    """Literature records made of pages: the page's title, with markup inside, its language as the author's family name."""
+    title = F.regexp_replace(F.regexp_extract("html", "<title>(.*?)</title>", 1), "&[a-z]+;", " and ")
+    xml = F.concat(F.lit("<A><PMID>"), "page_id", F.lit("</PMID><ArticleTitle>\n<i>"), title, F.lit("</i> end</ArticleTitle><PubDate>"), (F.col("page_id") % 150 + 1900).cast("string"), F.lit(" May</PubDate><Author><ForeName>"), F.length("html"), F.lit("</ForeName><LastName>"), F.regexp_extract("html", 'lang="(..)"', 1), F.lit("</LastName></Author></A>"))
+    return readers.article_records(table(spark, sf_dir, "pages").select("page_id", xml.alias("xml"))).select("page_id", "pmid", "title", "year", F.array_join("authors", "|").alias("authors"))
 
 
 def search_flagship(spark, sf_dir):
@@ -290,7 +294,9 @@ SEARCH = {
       h AS (SELECT *, sha1(unhex('b2c2df407a1b4f9a9e1c0e7c8a7f6c1a') || (sha || ':3')::BLOB) AS h FROM s)
       SELECT doc_id, sha, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || lower(printf('%02x', (('0x' || substr(h, 17, 2))::INTEGER & 63) | 128)) || substr(h, 19, 2) || '-' || substr(h, 21, 12) AS uuid FROM h"""),
     "canonical_url_ids": (canonical_url_ids, """
-      SELECT page_id, '10.1234/ab.' || page_id AS canonical, '' AS "none", '10.1/' || page_id AS b, '10.1/a' || page_id AS c, '10 1 a' || page_id AS d FROM pages"""),
+      WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://[^/]+/([^?#]*)', 1)) AS path FROM pages)
+      SELECT page_id, regexp_replace('10.1234/ab.' || path, '[).,;\\]}>"'']+$', '') AS canonical, CASE WHEN regexp_matches(url, '10\\.[0-9]{4,9}/') THEN url ELSE '' END AS "none", '10.1/' || path AS b, '10.1/a' || path AS c,
+        trim(regexp_replace('10 1 a' || path, '[^a-z0-9]+', ' ', 'g')) AS d FROM p"""),
     "norm_text": (norm_text, f"""
       SELECT doc_id, md5({_PLAIN.removeprefix('trim(').removesuffix(')')}) AS plain, md5(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g'))) AS spaced,
         CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) <= 40 THEN regexp_replace(text, '^\\s+|\\s+$', '', 'g') ELSE regexp_replace(substr(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 40), '\\s+$', '') END AS capped FROM documents"""),
@@ -304,5 +310,7 @@ SEARCH = {
         CASE WHEN length(trim(t)) > 12 THEN rtrim(substr(trim(t), 1, 9)) || '...' ELSE trim(t) END AS short FROM t"""),
     "index_exists": (index_exists, "SELECT doc_id, (doc_id IN (SELECT vec_id FROM embeddings))::INTEGER AS found FROM documents"),
     "fetch_by_doc_ids": (fetch_by_doc_ids, f"WITH {_sql_windows(1200, 150)} SELECT doc_id, chunk_index FROM w WHERE source <> 'src3' AND doc_id IN (SELECT vec_id FROM embeddings WHERE label = 1)"),
-    "page_records": (page_records, "SELECT page_id, page_id::VARCHAR AS pmid, 'deep vein clot' AS title, 2021 AS year, 'A B' AS authors FROM pages"),
+    "page_records": (page_records, """
+      SELECT page_id, page_id::VARCHAR AS pmid, trim(regexp_replace(regexp_replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&[a-z]+;', ' and ', 'g') || ' end', '\\s+', ' ', 'g')) AS title,
+        (page_id % 150 + 1900)::INTEGER AS year, length(html) || ' ' || regexp_extract(html, 'lang="(..)"', 1) AS authors FROM pages"""),
 }
