@@ -29,8 +29,8 @@ from .common import column, texts
 
 MARK = "▁"
 #: Most entries of the caches of a Python worker; segments have two generations of this size.
-CACHE = 60_000
-PAIRS = 200_000
+CACHE = 250_000
+PAIRS = 400_000
 #: Segments longer than this are not kept in the cache.
 CACHED_CHARS = 48
 #: Ids that are gathered before their texts are handed on.
