@@ -39,6 +39,10 @@ TOKENS, STRETCH = 256_000, 1024
 SCALED, TOGETHER = 8, 64
 
 
+#: Words beyond the common ones that a task of _coded() holds before it sends them.
+RARE = 50_000
+
+
 @dataclass(frozen=True)
 class Settings:
     states: int = 16
@@ -89,14 +93,19 @@ def _coded(rows: DataFrame, shared) -> DataFrame:
         other = len(number)
         pack = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
-            n, ids, rest = [], [], []
-            for value in column(batch, "text"):
+            at, n, ids, words, times, ends = 0, [], [], [], [], [0]
+            for k, value in enumerate(column(batch, "text"), 1):
                 t = tokens(value.as_py())
                 code = np.fromiter(map(number.get, t, repeat(other)), np.uint32, len(t))
                 n.append(len(t)), ids.append(pack(code.tobytes()))
-                rest.append(list(Counter(filterfalse(number.__contains__, t)).items()))
-            rare = pa.array([[{"word": w, "times": k} for w, k in r] for r in rest], pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "held_out"), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), rare], ["id", "held_out", "n_tokens", "ids", "rare"])
+                rare = Counter(filterfalse(number.__contains__, t))
+                words.extend(rare), times.extend(rare.values()), ends.append(len(words))
+                # a batch's other words are sent in parts, so that they are never all held
+                if len(words) >= RARE or k == batch.num_rows:
+                    pairs = pa.StructArray.from_arrays([pa.array(words, pa.binary()), pa.array(times, pa.int64())], ["word", "times"])
+                    made = [pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)]
+                    yield pa.RecordBatch.from_arrays([column(batch, "id")[at:k], column(batch, "held_out")[at:k], *made], ["id", "held_out", "n_tokens", "ids", "rare"])
+                    at, n, ids, words, times, ends = k, [], [], [], [], [0]
 
     schema = "id long, held_out boolean, n_tokens long, ids binary, rare array<struct<word:binary,times:bigint>>"
     return rows.mapInArrow(run, schema).withColumn("row", F.monotonically_increasing_id())
