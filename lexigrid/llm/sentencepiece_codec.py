@@ -28,8 +28,9 @@ from pyspark.sql import types as T
 from .common import column, texts
 
 MARK = "▁"
-#: Most entries of the caches of a Python worker; segments have two generations of this size.
-CACHE = 250_000
+#: Most entries of the caches of a Python worker; segments have two generations of this size. The smaller one is for workers that
+#: other stages use too, and that keep what those left.
+CACHE, SHARED_CACHE = 250_000, 60_000
 PAIRS = 400_000
 #: Segments longer than this are not kept in the cache.
 CACHED_CHARS = 48
@@ -40,7 +41,8 @@ GATHER = 300_000
 class PrefixTableCodec:
     """Encoder and decoder for BPE models with identity normalization, a dummy prefix and byte fallback."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache: int = CACHE):
+        self.size = cache
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         probe = " Ａ ́e  x"
@@ -176,7 +178,7 @@ class PrefixTableCodec:
             ids = cache.get(part) if at else None  # parts after a cut are cached under themselves, without a mark
             if ids is None:
                 ids = self.segment_ids(part)
-                if at and len(part) <= CACHED_CHARS and len(cache) < 2 * CACHE:
+                if at and len(part) <= CACHED_CHARS and len(cache) < 2 * self.size:
                     cache[part] = tuple(ids)
             out.extend(ids)
             at = k
@@ -213,14 +215,14 @@ class PrefixTableCodec:
         out: list[int] = []
         if not text:
             return out
-        if len(self.cache) >= CACHE:
+        if len(self.cache) >= self.size:
             self.cache, self.older = {}, self.cache
         cache, older, put = self.cache, self.older, out.extend
         for segment in self.cut.findall(MARK + text.replace(" ", MARK)):
             ids = cache.get(segment)
             if ids is None:
                 ids = older.get(segment) or self.with_marks(segment)
-                if len(segment) <= CACHED_CHARS and len(cache) < 2 * CACHE:
+                if len(segment) <= CACHED_CHARS and len(cache) < 2 * self.size:
                     cache[segment] = ids
             put(ids)
         return out
@@ -247,14 +249,14 @@ class PrefixTableCodec:
         return out[1:] if dummy else out
 
 
-_codecs: dict[str, PrefixTableCodec] = {}
+_codecs: dict[tuple[str, int], PrefixTableCodec] = {}
 
 
-def codec(path: str) -> PrefixTableCodec:
-    """One codec for each model file and Python worker."""
-    if path not in _codecs:
-        _codecs[path] = PrefixTableCodec(path)
-    return _codecs[path]
+def codec(path: str, cache: int = CACHE) -> PrefixTableCodec:
+    """One codec for each model file, size of caches, and Python worker."""
+    if (path, cache) not in _codecs:
+        _codecs[path, cache] = PrefixTableCodec(path, cache)
+    return _codecs[path, cache]
 
 
 def default_model() -> str:
@@ -263,8 +265,8 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
-    """Encode every whole text and, with decode, decode it again.
+def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", decode: bool = True, cache: int = SHARED_CACHE) -> DataFrame:
+    """Encode every whole text and, with decode, decode it again. `cache` bounds the segments that a worker keeps (twice as many at most).
 
     Returns id_col, ids array<int>, and decoded string with decode. A null or empty text has no ids and decodes to ''.
     Rows are independent: repeated rows give repeated results, an empty table an empty one; other
@@ -274,7 +276,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
     names = [id_col, "ids", *(["decoded"] if decode else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(where)
+        c = codec(where, cache)
         for batch in batches:
             at, n, ids, decoded = 0, 0, [], []
             for k, text in enumerate(texts(batch, text_col), 1):
