@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -130,6 +131,23 @@ def added_up(tables: DataFrame, kind: type) -> dict[int, np.ndarray]:
     return {r["part"]: np.frombuffer(zstandard.ZstdDecompressor().decompress(r["cells"]), kind) for r in tables.collect()}
 
 
+def trimmed(run):
+    """run (for mapInArrow), after which its worker gives freed memory back to the machine: the next task there may need none of it, and
+    the worker's idle memory counts against its executor."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (AttributeError, OSError):
+                pass  # another C library, that has no such call
+
+    return wrapped
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

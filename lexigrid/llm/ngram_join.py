@@ -33,7 +33,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NUMBERS, added_up, column, discard, encode, mix, numbers_of_task, stored
+from .common import NUMBERS, added_up, column, discard, encode, mix, numbers_of_task, stored, trimmed
 from .components import components
 from .placed_texts import LAST, whole_runs
 from .shingles import shingle_set, shingle_sets
@@ -74,7 +74,7 @@ def _counters(docs: DataFrame, text: str, k: int) -> np.ndarray:
             yield numbers_of_task(np.split(cells, PARTS))
 
     out = np.zeros((PARTS, CELLS // PARTS), np.int64)
-    for part, total in added_up(docs.select(text).mapInArrow(count, NUMBERS), np.int64).items():
+    for part, total in added_up(docs.select(text).mapInArrow(trimmed(count), NUMBERS), np.int64).items():
         out[part] = total
     return np.minimum(out, 2**32 - 1).astype(np.uint32).reshape(-1)
 
@@ -106,7 +106,7 @@ def _sets(docs: DataFrame, id_col: str, text: str, k: int, num: int, den: int, o
                 n.append(len(h)), one.append(a), two.append(b), posted.append(h[rank].tobytes()), bits.append(parity(h))
             yield pa.RecordBatch.from_arrays([column(batch, id_col).cast(pa.int64()), pa.array(n, pa.int32()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(posted, pa.binary()), pa.array(bits, pa.binary())], ["id", "n", "s1", "s2", "posted", "bits"])
 
-    return docs.select(id_col, text).mapInArrow(run, "id long, n int, s1 long, s2 long, posted binary, bits binary")
+    return docs.select(id_col, text).mapInArrow(trimmed(run), "id long, n int, s1 long, s2 long, posted binary, bits binary")
 
 
 def _entries(classes: DataFrame) -> DataFrame:
@@ -126,7 +126,7 @@ def _entries(classes: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(blobs[at:end])), pa.array(np.repeat(nodes[at:end], count)), pa.array(np.repeat(sizes[at:end], count)), pa.array(np.concatenate([np.arange(c, dtype=np.int32) for c in count]))], ["h", "node", "n", "pos"])
                 at = end
 
-    return classes.select("node", "n", "posted").mapInArrow(run, "h long, node long, n int, pos int")
+    return classes.select("node", "n", "posted").mapInArrow(trimmed(run), "h long, node long, n int, pos int")
 
 
 def _shared(num: int, den: int):
@@ -229,7 +229,7 @@ def _pairs(lists: DataFrame, turn: int | None, num: int, den: int) -> DataFrame:
         if found:
             yield packed()
 
-    return lists.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(run, "q long, c long").distinct()
+    return lists.repartition("h").sortWithinPartitions("h", "n", "node").mapInArrow(trimmed(run), "q long, c long").distinct()
 
 
 def _open_lists(lists: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ class _Bloom:
             yield pa.RecordBatch.from_arrays([pa.array([zstandard.ZstdCompressor().compress(np.packbits(found).tobytes())], pa.binary())], ["bits"])
 
         all_marks = np.zeros(bits // 8, np.uint8)
-        for r in numbers.select(name).coalesce(4).mapInArrow(mark, "bits binary").toLocalIterator():
+        for r in numbers.select(name).coalesce(4).mapInArrow(trimmed(mark), "bits binary").toLocalIterator():
             all_marks |= np.frombuffer(zstandard.ZstdDecompressor().decompress(r["bits"]), np.uint8)
         self.shared = numbers.sparkSession.sparkContext.broadcast(all_marks)
 
@@ -282,7 +282,7 @@ class _Bloom:
             for batch in batches:
                 yield batch.filter(pa.array(self.holds(column(batch, name))))
 
-        return df.mapInArrow(run, df.schema)
+        return df.mapInArrow(trimmed(run), df.schema)
 
 
 def _wanted_texts(docs: DataFrame, id_col: str, text: str, k: int, wanted: DataFrame) -> DataFrame:
@@ -302,7 +302,7 @@ def _wanted_texts(docs: DataFrame, id_col: str, text: str, k: int, wanted: DataF
             yield pa.RecordBatch.from_arrays([ids, pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(bodies, pa.binary())], ["id", "s1", "s2", "body"])
 
     # of rows of one id with equal sets, whose texts may differ by white space and case, any will do
-    found = docs.select(id_col, text).mapInArrow(run, "id long, s1 long, s2 long, body binary").alias("f")
+    found = docs.select(id_col, text).mapInArrow(trimmed(run), "id long, s1 long, s2 long, body binary").alias("f")
     w = wanted.alias("w")
     met = found.join(w, (F.col("f.s1") == F.col("w.s1")) & (F.col("f.s2") == F.col("w.s2")) & F.col("f.id").eqNullSafe(F.col("w.rep")))
     return met.select("w.node", "f.body").groupBy("node").agg(F.first("body").alias("body"))
@@ -321,7 +321,7 @@ def _plausible(pairs: DataFrame, names: DataFrame, num: int, den: int) -> DataFr
             apart = np.bitwise_count(a ^ b).sum(1, dtype=np.int64)
             yield batch.select(["q", "c"]).filter(pa.array(apart <= total + 2 * (-num * total // (num + den))))
 
-    return both.select("q", "c", "n", "m", "a", "b").mapInArrow(run, "q long, c long")
+    return both.select("q", "c", "n", "m", "a", "b").mapInArrow(trimmed(run), "q long, c long")
 
 
 def divide_skip(query: np.ndarray, sets: list[np.ndarray], num: int, den: int) -> list[int]:
@@ -399,7 +399,7 @@ def _check(pairs: DataFrame, bodies: DataFrame, k: int, num: int, den: int) -> D
         out += links()
         yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
-    return asked.join(texts, "node").select("q", "part", "kind", "node", "body").repartition("q", "part").sortWithinPartitions("q", "part", "kind").mapInArrow(run, "a long, b long")
+    return asked.join(texts, "node").select("q", "part", "kind", "node", "body").repartition("q", "part").sortWithinPartitions("q", "part", "kind").mapInArrow(trimmed(run), "a long, b long")
 
 
 def block_degrees(left: list[np.ndarray], right: list[np.ndarray] | None, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
@@ -459,7 +459,7 @@ def _degrees(roots: DataFrame, names: DataFrame, bodies: DataFrame, k: int, num:
         count()
         yield packed()
 
-    counted = rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "side").mapInArrow(run, "node long, degree long")
+    counted = rows.repartition("root", "low", "high").sortWithinPartitions("root", "low", "high", "side").mapInArrow(trimmed(run), "node long, degree long")
     return counted.unionByName(members.where("m = 2").select("node", F.lit(1).cast("long").alias("degree"))).groupBy("node").agg(F.sum("degree").alias("degree"))
 
 

@@ -14,7 +14,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, encode, mix
+from .common import column, encode, mix, trimmed
 
 LAST = 2**63 - 1
 
@@ -48,7 +48,7 @@ def with_facts(rows: DataFrame, facts: DataFrame, use: Callable[[Iterator], Iter
             yield pa.RecordBatch.from_arrays([column(batch, "doc"), column(batch, "tag"), column(batch, "row"), body], ["doc", "tag", "row", "body"])
 
     kind = rows.schema["row"].dataType
-    bodies = rows.select("doc", "tag", "row", "body") if packed else rows.mapInArrow(pack, f"doc long, tag long, row {kind.simpleString()}, body binary")
+    bodies = rows.select("doc", "tag", "row", "body") if packed else rows.mapInArrow(trimmed(pack), f"doc long, tag long, row {kind.simpleString()}, body binary")
     null = F.lit(None)
     both = facts.select("doc", "tag", "kind", "start", "stop", null.cast(kind).alias("row"), null.cast("binary").alias("body")).unionByName(
         bodies.select("doc", "tag", F.lit(LAST >> 32).cast("int").alias("kind"), null.cast("long").alias("start"), null.cast("long").alias("stop"), "row", "body")
@@ -57,7 +57,7 @@ def with_facts(rows: DataFrame, facts: DataFrame, use: Callable[[Iterator], Iter
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return use(_documents(batches, bytes if packed else zstandard.ZstdDecompressor().decompress))
 
-    return both.repartition("doc", "tag").sortWithinPartitions("doc", "tag", "kind", "start").mapInArrow(run, schema)
+    return both.repartition("doc", "tag").sortWithinPartitions("doc", "tag", "kind", "start").mapInArrow(trimmed(run), schema)
 
 
 def _documents(batches: Iterator[pa.RecordBatch], expand: Callable[[bytes], bytes]) -> Iterator[tuple]:
@@ -166,7 +166,7 @@ def repeated_places(asked: DataFrame, kind: int) -> DataFrame:
             keep = (alive == 1) | (again & (many == 0))  # where many is set, the places are among those alive
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in place], ["doc", "tag", "pos"])
 
-    return _facts(asked.repartition("h").sortWithinPartitions("h").mapInArrow(run, "doc long, tag long, pos long"), kind)
+    return _facts(asked.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(run), "doc long, tag long, pos long"), kind)
 
 
 def first_places(asked: DataFrame, kind: int) -> DataFrame:
@@ -177,7 +177,7 @@ def first_places(asked: DataFrame, kind: int) -> DataFrame:
             keep = np.concatenate([[True], h[1:] != h[:-1]])
             yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in place], ["doc", "tag", "pos"])
 
-    return _facts(asked.repartition("h").sortWithinPartitions("h", "doc", "pos", "tag").mapInArrow(run, "doc long, tag long, pos long"), kind)
+    return _facts(asked.repartition("h").sortWithinPartitions("h", "doc", "pos", "tag").mapInArrow(trimmed(run), "doc long, tag long, pos long"), kind)
 
 
 #: Kinds of facts about texts that stand more than once: a copy of the first one, and the first one itself.

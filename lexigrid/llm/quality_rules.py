@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import column, encode, texts
+from .common import column, encode, texts, trimmed
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -163,7 +163,7 @@ def rate_documents(docs: DataFrame, bands: Bands = Bands(), id_col: str = "doc_i
             yield pa.RecordBatch.from_arrays([column(batch, id_col), *made], [id_col, *(f[0] for f in FIELDS)])
 
     picked = docs.select(id_col, text_col)
-    return picked.mapInArrow(run, T.StructType([picked.schema[id_col], *(T.StructField(n, t) for n, t, _ in FIELDS)]))
+    return picked.mapInArrow(trimmed(run), T.StructType([picked.schema[id_col], *(T.StructField(n, t) for n, t, _ in FIELDS)]))
 
 
 def keep_documents(docs: DataFrame, bands: Bands = Bands(), text_col: str = "text") -> DataFrame:
@@ -175,4 +175,4 @@ def keep_documents(docs: DataFrame, bands: Bands = Bands(), text_col: str = "tex
         for batch in batches:
             yield batch.filter(pa.array([rater.rate(t)[6] for t in texts(batch, text_col)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

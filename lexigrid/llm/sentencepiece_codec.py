@@ -25,7 +25,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import column, texts
+from .common import column, texts, trimmed
 
 MARK = "▁"
 #: Most entries of the caches of a Python worker; segments have two generations of this size. The smaller one is for workers that
@@ -293,7 +293,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
 
     picked = docs.select(id_col, text_col)
     schema = T.StructType([picked.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType(), True)), T.StructField("decoded", T.StringType())][: len(names)])
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(trimmed(run), schema)
 
 
 def digest_documents(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -319,4 +319,4 @@ def digest_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
 
     picked = docs.select(id_col, text_col)
     schema = T.StructType([picked.schema[id_col], T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(trimmed(run), schema)

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NUMBERS, added_up, column, discard, numbers_of_task, stored
+from .common import NUMBERS, added_up, column, discard, numbers_of_task, stored, trimmed
 from .placed_texts import ASKED, COPY, REPEATED, Asking, copies, keyed, repeated_places, row_array, row_type, runs_of, with_facts
 from .shingles import prefix_hash, slices, window_hash
 from .suffix_sort import common_prefixes, sort_suffixes
@@ -81,7 +81,7 @@ def _counters(rows: DataFrame, key: int, length: int) -> np.ndarray:
             yield numbers_of_task(np.split(cells, PARTS))
 
     out = np.zeros((PARTS, CELLS // PARTS), np.int64)
-    for part, total in added_up(rows.select("text").mapInArrow(count, NUMBERS), np.int64).items():
+    for part, total in added_up(rows.select("text").mapInArrow(trimmed(count), NUMBERS), np.int64).items():
         out[part] = total
     return out.reshape(-1)
 
@@ -107,7 +107,7 @@ def _keys(rows: DataFrame, cells, key: int, length: int) -> DataFrame:
         if out.size:
             yield out.send()
 
-    return rows.select("doc", "tag", "text").mapInArrow(run, ASKED)
+    return rows.select("doc", "tag", "text").mapInArrow(trimmed(run), ASKED)
 
 
 PIECES = "kind int, doc long, tag long, h long, many int, start long, windows int, body binary"
