@@ -127,7 +127,7 @@ def added_up(tables: DataFrame, kind: type) -> dict[int, np.ndarray]:
             yield send()
 
     for bundle in (F.expr(f"task div {FAN_IN}").cast("int"), F.lit(0)):
-        tables = tables.withColumn("bundle", bundle).repartition("part", "bundle").sortWithinPartitions("part", "bundle", "task").mapInArrow(run, NUMBERS)
+        tables = tables.withColumn("bundle", bundle).repartition("part", "bundle").sortWithinPartitions("part", "bundle", "task").mapInArrow(trimmed(run), NUMBERS)
     return {r["part"]: np.frombuffer(zstandard.ZstdDecompressor().decompress(r["cells"]), kind) for r in tables.collect()}
 
 

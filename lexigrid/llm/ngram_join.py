@@ -492,7 +492,7 @@ def _joined(docs: DataFrame, k: int, num: int, den: int, id_col: str, text_col:
     classes = stored(grouped.withColumn("node", F.monotonically_increasing_id()), "classes")
     rows = stored(posted.select("id", "n", "s1", "s2"), "rows")
     discard(posted)
-    lists = stored(_entries(classes).repartition("h").sortWithinPartitions("h", "n").mapInArrow(_shared(num, den), "h long, node long, n int, pos int"), "lists")
+    lists = stored(_entries(classes).repartition("h").sortWithinPartitions("h", "n").mapInArrow(trimmed(_shared(num, den)), "h long, node long, n int, pos int"), "lists")
     names = stored(classes.select("node", "s1", "s2", "rep", "n", "bits"), "names")
     discard(classes)
     wanted = stored(lists.select("node").distinct().join(names.select("node", "s1", "s2", "rep"), "node"), "wanted")

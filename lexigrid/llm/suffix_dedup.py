@@ -260,7 +260,7 @@ def _dedup(docs: DataFrame, length: int, key: int, id_col: str, text_col: str, c
     found = stored(with_facts(rows, facts, _pieces(cells, key, length), f"{PIECES}, row {row_type(rows)}"), "pieces")
     discard(facts)
     pieces = found.where(f"kind = {PIECE}").select("h", "doc", "tag", "many", "start", "windows", "body")
-    single = stored(pieces.repartition("h").sortWithinPartitions("h").mapInArrow(_single_strings(length), "doc long, tag long, start long, stop long"), "strings")
+    single = stored(pieces.repartition("h").sortWithinPartitions("h").mapInArrow(trimmed(_single_strings(length)), "doc long, tag long, start long, stop long"), "strings")
     single = single.select("doc", "tag", F.lit(SINGLE).alias("kind"), "start", "stop")
     texts = found.where(f"kind = {TEXT}").select("doc", "tag", "row", "body")
     return with_facts(texts, single, _cut_out(length, whole_characters), f"row {row_type(rows)}, n_bytes long, n_removed long, spans array<array<long>>, kept binary, kept_sha256 string", packed=True)
