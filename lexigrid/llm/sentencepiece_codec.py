@@ -211,6 +211,11 @@ class PrefixTableCodec:
                 heapq.heappush(ready, before[k])
         return [self.runs[x] for x in size if x]
 
+    def forget(self) -> None:
+        """Empty the caches."""
+        self.cache, self.older = {}, {}
+        self._pairs.clear()
+
     def encode(self, text: str) -> list[int]:
         out: list[int] = []
         if not text:
@@ -290,6 +295,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, id_col: str = "d
                     made = [column(batch, id_col)[at:k], pa.ListArray.from_arrays(lengths, pa.concat_arrays(ids)), pa.array(decoded, pa.string())]
                     yield pa.RecordBatch.from_arrays(made[: len(names)], names)
                     at, n, ids, decoded = k, 0, [], []
+        c.forget()  # other stages use the worker next
 
     picked = docs.select(id_col, text_col)
     schema = T.StructType([picked.schema[id_col], T.StructField("ids", T.ArrayType(T.IntegerType(), True)), T.StructField("decoded", T.StringType())][: len(names)])
