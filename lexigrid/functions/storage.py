@@ -11,7 +11,8 @@ def shared_folder(spark: SparkSession) -> str:
     if named:
         return named.rstrip("/")
     folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    if not spark.sparkContext.master.startswith("local") and (":" not in folder or folder.startswith("file:")):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local[") and (":" not in folder or folder.startswith("file:")):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return f"{folder}/shared"
 
