@@ -13,6 +13,8 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.storage import shared_folder as shared_dir
+
 #: bytes.split() without an argument cuts at exactly these bytes: the words are [^\x20\x09-\x0D]+.
 WHITE = b" \t\n\v\f\r"
 
@@ -28,12 +30,6 @@ def words(text: str | None, lower: bool = False) -> list[bytes]:
     return (raw.lower() if lower else raw).split()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it; where it names none, one in the warehouse."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/shared"
-    return found.rstrip("/")
-
-
 #: Drops the shuffle files of a query as soon as it has ended.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
