@@ -2,7 +2,8 @@
 
 A disguised word is a path through a lattice: each written character may stand for itself, for letters that it
 imitates, or for nothing (separators, and repeats of the letter before). Viterbi decoding finds the path of least cost
-under a character trigram model of the whole corpus. Only words that show a sign of disguise are decoded.
+under a character trigram model of the whole corpus. Only words that show a sign of disguise are decoded. Neighbouring tokens
+that together may stand for a known word are decoded as one string, in which white space may stand for itself or for nothing.
 
 The classifier knows words and word beginnings that toxic texts have far oftener than others, from restored texts of a
 bounded sample of labelled rows, and a logistic regression over how strongly and how often a text shows them.
@@ -91,8 +92,8 @@ class Restorer:
     def number(c: str) -> int:
         return int(letter_numbers(np.array([ord(c)], np.uint32))[0])
 
-    def decode(self, written: str) -> str:
-        """Letters that the written characters most likely stand for."""
+    def decode(self, written: str, spaces: bool = False) -> str:
+        """Letters that the written characters most likely stand for; with `spaces`, white space may also stand for the end of a word."""
         costs, number = self.costs, self.number
         ends: dict[tuple[int, int], tuple[float, tuple | None, str]] = {(0, 0): (0.0, None, "")}  # last two letters -> cost, letters as a chain, last character read
         first = next((k for k, c in enumerate(written) if c.isalnum()), len(written))
@@ -103,6 +104,8 @@ class Restorer:
                 arcs.append((c, 0.0))
             elif c.isalnum():
                 arcs.append((c, KEEP_SIGN))
+            elif spaces and c == " ":
+                arcs.append((c, 0.0))
             means = IMITATES.get(c, "")
             arcs += [(m, HIDE if len(means) > 2 else IMITATE) for m in means]
             edge = first >= at or final <= at
@@ -172,13 +175,75 @@ class Beginnings:
         return not alive.isdisjoint(self.short)
 
 
+class Parts:
+    """Spans of neighbouring tokens that together may stand for one of `wanted` words, each token for a letter at least.
+
+    A walk from a token ends once no wanted word goes on, so it takes no more tokens than the longest such word has letters.
+    """
+
+    def __init__(self, wanted: Iterable[str]):
+        self.whole = {f[1:] for f in wanted if f[0] == "=" and len(f) > BEGIN}
+        self.begun = {w[:k] for w in self.whole for k in range(len(w) + 1)}
+        self.first: dict[str, frozenset[str]] = {}
+
+    def after(self, alive: Iterable[str], token: str) -> set[str]:
+        """Beginnings of wanted words that a token can lead to, longer than those that it came from."""
+        out: set[str] = set()
+        for came in alive:
+            reached = {came}
+            for c in token:
+                means = (c if c.isalnum() else "") + IMITATES.get(c, "")
+                now = {longer for w in reached for m in means if (longer := w + m) in self.begun}
+                now |= {w for w in reached if not c.isalnum() or (w and w[-1] in means)}
+                reached = now
+                if not reached:
+                    break
+            out |= {w for w in reached if len(w) > len(came)}
+        return out
+
+    def opened(self, token: str) -> frozenset[str]:
+        known = self.first.get(token)
+        if known is None:
+            if len(self.first) >= CACHE:
+                self.first.clear()
+            known = self.first[token] = frozenset(self.after(("",), token))
+        return known
+
+    def of(self, written: list[str]) -> set[str]:
+        if not self.whole:
+            return set()
+        spans, opened = set(), self.opened
+        opens = {w for w in set(written) if opened(w)}
+        for k in [k for k, w in enumerate(written) if w in opens]:
+            alive, at = opened(written[k]), k + 1
+            while at < len(written) and (alive := self.after(alive, written[at])):
+                at += 1
+                # three and more single characters are a spaced run
+                if not alive.isdisjoint(self.whole) and (at - k == 2 or any(len(w) > 1 for w in written[k:at])):
+                    spans.add(" ".join(written[k:at]))
+        return spans
+
+
 class Words:
-    """Restored words of texts; with `wanted` features, disguised words that can't show one of them are left out."""
+    """Restored words of texts; with `wanted` features, disguised words that can't show one of them are left out. With
+    `parts`, words of these features that white space breaks up are found too."""
 
-    def __init__(self, costs: np.ndarray, wanted: Iterable[str] | None = None):
+    def __init__(self, costs: np.ndarray, wanted: Iterable[str] | None = None, parts: bool = False):
         self.restorer = Restorer(costs)
         self.cache: dict[str, tuple[str, ...]] = {}
         self.meets = (lambda _: True) if wanted is None else Beginnings(wanted).meets
+        self.parts = Parts(wanted) if parts else None
+        self.spans: dict[str, str] = {}
+
+    def joined(self, span: str) -> str:
+        """What a span of tokens stands for; empty if its likeliest reading keeps it apart."""
+        known = self.spans.get(span)
+        if known is None:
+            if len(self.spans) >= CACHE:
+                self.spans.clear()
+            meant = self.restorer.decode(span, spaces=True)
+            known = self.spans[span] = "" if " " in meant else meant
+        return known
 
     def forms(self, token: str) -> tuple[str, ...]:
         """The token in lower case and without signs around it; decoded if it still shows a sign of disguise. A doubled
@@ -203,6 +268,8 @@ class Words:
         low = (text or "").lower()
         written, known = low.split(), self.cache.get
         found = {f for w in set(written) for f in known(w) or self.forms(w)}
+        if self.parts is not None:
+            found |= {self.joined(span) for span in self.parts.of(written)}
         found.discard("")
         if b"\1\1\1" not in bytes(map((1).__eq__, map(len, written))):  # no three single characters in a row
             return found, []
@@ -219,6 +286,10 @@ class Classifier:
     logit: np.ndarray
     cache: dict[str, float] = field(default_factory=dict)
 
+    def __post_init__(self):
+        # within a spaced run; a word of fewer letters counts as a whole run only ('class' isn't 'ass')
+        self.lengths = sorted({len(f) - 1 for f in self.weights if f[0] == "=" and len(f) > BEGIN})
+
     def strength(self, word: str) -> float:
         known = self.cache.get(word)
         if known is None:
@@ -231,8 +302,8 @@ class Classifier:
         """How strongly and how often a text shows what toxic texts show."""
         found = [s for w in words if (s := self.strength(w)) > 0]
         for run in runs:
-            inner = [self.weights.get(f"={run[a:b]}", 0.0) for a in range(len(run)) for b in range(a + 4, min(len(run), a + 16) + 1)]
-            found += [s for s in inner if s > 0]
+            inner = [self.weights.get(f"={run[a:a + n]}", 0.0) for n in self.lengths if n < len(run) for a in range(len(run) - n + 1)]
+            found += [s for s in [self.strength(run), *inner] if s > 0]
         found.sort(reverse=True)
         top = [*found[:3], 0.0, 0.0, 0.0]
         return [1.0, top[0], top[1], top[2], min(sum(found), 60.0), float(np.log1p(len(found))), float(np.log1p(sum(s > 3 for s in found)))]
@@ -290,7 +361,7 @@ def _train(rows: DataFrame, costs) -> Classifier:
     model = Classifier({f: sure[f] for f in sorted(sure, key=lambda f: (-sure[f], f))[:FEATURES]}, np.zeros(7))
 
     def signs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(costs.value, model.weights)
+        words = Words(costs.value, model.weights, parts=True)
         for batch in batches:
             found = [model.signs(*words.of(t.as_py())) for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.float64())), column(batch, "toxic")], ["x", "toxic"])
@@ -326,7 +397,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, modulus: int = 5, held:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classifier = model.value
-        words = Words(costs.value, classifier.weights)
+        words = Words(costs.value, classifier.weights, parts=True)
         for batch in batches:
             scores = [classifier.score(classifier.signs(*words.of(t.as_py()))) for t in column(batch, "text")]
             yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "held_out"), pa.array(scores, pa.float64()), pa.array([int(s >= 0.5) for s in scores], pa.int32())], [id_col, "held_out", "score", "predicted"])

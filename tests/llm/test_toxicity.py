@@ -1,9 +1,11 @@
 import random
 import zlib
+from itertools import product
 
+import numpy as np
 import pytest
 
-from lexigrid.llm.toxicity import DROP, EDGE, HIDE, IMITATE, IMITATES, KEEP_SIGN, REPEAT, SEPARATORS, Beginnings, Restorer, Words, count_trigrams, features, score_documents, trigram_costs
+from lexigrid.llm.toxicity import DROP, EDGE, HIDE, IMITATE, IMITATES, KEEP_SIGN, REPEAT, SEPARATORS, Beginnings, Classifier, Parts, Restorer, Words, count_trigrams, features, score_documents, trigram_costs
 
 DOCS, LABELS = "doc_id long, text string, score string, toxic int", "doc_id long, quality int, toxic int, text string"
 
@@ -32,7 +34,7 @@ def test_restores(spark, written, meant):
     assert Restorer(COSTS).decode(written) == meant
 
 
-def all_paths(written, costs):
+def all_paths(written, costs, spaces=False):
     """Cost and letters of each path of the lattice, one by one."""
     number = Restorer.number
     letters = [k for k, c in enumerate(written) if c.isalnum()]
@@ -42,7 +44,7 @@ def all_paths(written, costs):
             yield cost + costs[a][b][0], out
             return
         c, means = written[at], IMITATES.get(written[at], "")
-        arcs = [(c, 0.0 if c.isalpha() else KEEP_SIGN)] if c.isalnum() else []
+        arcs = [(c, 0.0 if c.isalpha() else KEEP_SIGN)] if c.isalnum() else [(c, 0.0)] if spaces and c == " " else []
         arcs += [(m, HIDE if len(means) > 2 else IMITATE) for m in means]
         for m, extra in arcs:
             yield from go(at + 1, b, number(m), out + m, cost + extra + costs[a][b][number(m)])
@@ -70,6 +72,33 @@ def test_viterbi_is_the_best_of_all_paths(spark):
             assert begin.meets(written)
 
 
+def test_words_in_parts(spark):
+    costs = trigram_costs(count_trigrams(spark.createDataFrame(corpus()[0], DOCS), "text"))
+    wanted = {"=moron", "=idiot", "=pathetic", "^idio", "=ass"}
+    words, rnd = Words(costs, wanted, parts=True), random.Random(4)
+    for written in ("mo ron", "id i ot", "id 1 0t!", "mor on.", "p4 the tic"):
+        (meant,) = words.parts.of(f"walk {written} and".split())
+        assert words.joined(meant) == meant.translate(str.maketrans("104", "ioa", " !.")) and words.joined(meant) in words.of(f"walk {written} and")[0]
+    assert words.parts.of("a s s as s m o r o n mo bridge ron".split()) == set()  # a spaced run, or too short, or not next to each other
+    # what white space stands for, against all paths; and the spans against all spans and all readings of them
+    for written in ("mo ron", "id i ot", "the mo", "an d a", *(" ".join("".join(rnd.choices("mronidt10", k=rnd.randint(1, 2))) for _ in range(3)) for _ in range(60))):
+        found = sorted(all_paths(written, costs, True))
+        assert words.restorer.decode(written, spaces=True) in {w for c, w in found if c < found[0][0] + 1e-9} or any(a == b for a, b in zip(written, written[1:]))
+    parts = Parts({"=moron", "=idiot"})
+    for tokens in product(["mo", "ron", "id", "iot", "i", "0t", "mor", "oron"], repeat=3):
+        spans = [" ".join(tokens[a:b]) for a in range(3) for b in range(a + 2, 4)]
+        assert parts.of(list(tokens)) == {s for s in spans if any(w in ("moron", "idiot") for _, w in all_paths(s, costs))}
+    assert parts.of(["m"] * 200_000) == set()
+
+
+def test_runs_of_any_length():
+    model = Classifier({"=ass": 5.0, "=moron": 4.0, "^idio": 3.0, "=incomprehensibilities": 2.0}, np.zeros(7))
+    top = lambda run: sorted(model.signs(set(), [run])[1:4], reverse=True)
+    assert top("ass") == [5.0, 0.0, 0.0] and top("class") == [0.0, 0.0, 0.0]
+    assert top("moron") == [4.0, 0.0, 0.0] and top("amoronmoron") == [4.0, 4.0, 0.0]
+    assert top("idiotic") == [3.0, 0.0, 0.0] and top("theincomprehensibilities") == [2.0, 0.0, 0.0]
+
+
 def test_opens_the_gates(spark):
     words = Words(trigram_costs(count_trigrams(spark.createDataFrame(corpus()[0], DOCS), "text")))
     for written, meant in (("stuupid", "stupid"), ("iddiot", "idiot"), ("bridge", "bridge")):
@@ -84,7 +113,7 @@ def test_opens_the_gates(spark):
 
 def test_held_out_and_disguised(spark):
     rows, labels = corpus()
-    disguised = [(2000 + i, t, "k", 0) for i, t in enumerate(["people walk along 1d10t and talk", "the old m o r o n runs under stone", "music bread stuuuupid gardens", "weather p4th3t1c music"])]
+    disguised = [(2000 + i, t, "k", 0) for i, t in enumerate(["people walk along 1d10t and talk", "the old m o r o n runs under stone", "the old mo ron runs", "walk id i ot under stone", "music bread stuuuupid gardens", "weather p4th3t1c music"])]
     edges = [(None, None, None, None), (5000, "", None, 1), (5000, "", None, 1), (5001, "river " * 20000, None, None)]
     out = {r["doc_id"]: r for r in score_documents(spark.createDataFrame(rows + disguised + edges, DOCS), spark.createDataFrame(labels + [(None, 1, 1, "")], LABELS)).collect()}
     held = [(i, bool(t)) for i, _, t, _ in labels if zlib.crc32(str(i).encode()) % 5 == 0]
