@@ -142,6 +142,8 @@ DOUBLE = re.compile(r"(.)\1")
 SIGNS = re.compile(r"[^\W\d_].*[\d\W_]|[\d@$!|+€£*(].*[^\W\d_]")
 
 
+#: Signs that can stand for nothing only.
+SILENT = ".,;:?\"')]"
 #: Letters of a feature that a disguised word must be able to begin with.
 BEGIN = 4
 
@@ -185,21 +187,23 @@ class Parts:
         self.whole = {f[1:] for f in wanted if f[0] == "=" and len(f) > BEGIN}
         self.begun = {w[:k] for w in self.whole for k in range(len(w) + 1)}
         self.first: dict[str, frozenset[str]] = {}
+        self.leads: dict[tuple[str, str], bool] = {}
+
+    def read(self, reached: set[str], token: str) -> set[str]:
+        """Beginnings of wanted words that the lattice of a token leads to."""
+        begun, bare = self.begun, token.rstrip(SILENT)
+        if bare.isalpha() and not DOUBLE.search(bare):  # letters that stand for themselves; the first may be a repeat
+            return {longer for w in reached if (longer := w + bare) in begun} | {longer for w in reached if w and w[-1] == bare[0] and (longer := w + bare[1:]) in begun}
+        for c in bare:
+            means = (c if c.isalnum() else "") + IMITATES.get(c, "")
+            reached = {longer for w in reached for m in means if (longer := w + m) in begun} | {w for w in reached if not c.isalnum() or (w and w[-1] in means)}
+            if not reached:
+                break
+        return reached
 
     def after(self, alive: Iterable[str], token: str) -> set[str]:
-        """Beginnings of wanted words that a token can lead to, longer than those that it came from."""
-        out: set[str] = set()
-        for came in alive:
-            reached = {came}
-            for c in token:
-                means = (c if c.isalnum() else "") + IMITATES.get(c, "")
-                now = {longer for w in reached for m in means if (longer := w + m) in self.begun}
-                now |= {w for w in reached if not c.isalnum() or (w and w[-1] in means)}
-                reached = now
-                if not reached:
-                    break
-            out |= {w for w in reached if len(w) > len(came)}
-        return out
+        """Those that are longer than what they came from."""
+        return {w for came in alive for w in self.read({came}, token) if len(w) > len(came)}
 
     def opened(self, token: str) -> frozenset[str]:
         known = self.first.get(token)
@@ -209,13 +213,26 @@ class Parts:
             known = self.first[token] = frozenset(self.after(("",), token))
         return known
 
+    def goes_on(self, token: str, start: str) -> bool:
+        """May a token that opens a word be followed by one that starts so? Settles most neighbours without a walk."""
+        known = self.leads.get((token, start))
+        if known is None:
+            if len(self.leads) >= CACHE:
+                self.leads.clear()
+            known = self.leads[token, start] = bool(self.read(set(self.opened(token)), start))
+        return known
+
     def of(self, written: list[str]) -> set[str]:
         if not self.whole:
             return set()
         spans, opened = set(), self.opened
         opens = {w for w in set(written) if opened(w)}
-        for k in [k for k, w in enumerate(written) if w in opens]:
-            alive, at = opened(written[k]), k + 1
+        known, goes_on = self.leads.get, self.goes_on
+        starts = [w[:3] for w in written]
+        for k, pair in enumerate(zip(written, starts[1:])):
+            if pair[0] not in opens or not (goes_on(*pair) if (may := known(pair)) is None else may):
+                continue
+            alive, at = opened(pair[0]), k + 1
             while at < len(written) and (alive := self.after(alive, written[at])):
                 at += 1
                 # three and more single characters are a spaced run
