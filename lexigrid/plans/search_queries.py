@@ -172,8 +172,8 @@ def fetch_by_doc_ids(spark, sf_dir):
 
 def page_records(spark, sf_dir):
     """Literature records made of pages: the page's title, with markup inside, its language as the author's family name."""
-    title = F.regexp_replace(F.regexp_extract("html", "<title>(.*?)</title>", 1), "&[a-z]+;", " and ")
-    xml = F.concat(F.lit("<A><PMID>"), "page_id", F.lit("</PMID><ArticleTitle>\n<i>"), title, F.lit("</i> end</ArticleTitle><PubDate>"), (F.col("page_id") % 150 + 1900).cast("string"), F.lit(" May</PubDate><Author><ForeName>"), F.length("html"), F.lit("</ForeName><LastName>"), F.regexp_extract("html", 'lang="(..)"', 1), F.lit("</LastName></Author></A>"))
+    title = readers.xml_text(F.regexp_replace(F.regexp_extract("html", "<title>(.*?)</title>", 1), "&[a-z]+;", " and "))
+    xml = F.concat(F.lit("<A><PMID>"), "page_id", F.lit("</PMID><ArticleTitle>\n<i>"), title, F.lit("</i> end</ArticleTitle><PubDate>"), (F.col("page_id") % 150 + 1900).cast("string"), F.lit(" May</PubDate><Author><ForeName>"), F.length("html"), F.lit("</ForeName><LastName>"), readers.xml_text(F.regexp_extract("html", 'lang="(..)"', 1)), F.lit("</LastName></Author></A>"))
     return readers.article_records(table(spark, sf_dir, "pages").select("page_id", xml.alias("xml"))).select("page_id", "pmid", "title", "year", F.array_join("authors", "|").alias("authors"))
 
 

@@ -93,10 +93,17 @@ def task_labels(tasks: DataFrame, position: str = "position") -> DataFrame:
     return last.select("doi", F.explode("result").alias("r")).select("doi", "r.from_name", "r.type", value.alias("value"))
 
 
+def xml_text(text: Column) -> Column:
+    """A text as it stands between the tags of an XML element. Control characters, which XML cannot hold, stay."""
+    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        text = F.replace(text, F.lit(sign), F.lit(name))
+    return text
+
+
 def article_records(xml: DataFrame, column: str = "xml") -> DataFrame:
     """Literature records of XML texts (one article each): pmid, doi, title, journal, year, abstract, authors, mesh.
 
-    A text that is no XML gives nulls. Trees are read in Arrow batches; markup inside a title is dropped, its words stay.
+    A text that is no XML gives nulls, whatever stands beside it. Trees are read in Arrow batches; markup inside a title is dropped, its words stay.
     """
     kind = "pmid string, doi string, title string, journal string, year int, abstract string, authors array<string>, mesh array<string>"
 
@@ -116,7 +123,9 @@ def article_records(xml: DataFrame, column: str = "xml") -> DataFrame:
 
     @F.pandas_udf(kind)
     def parse(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([record(t) for t in texts], columns=[c.split()[0] for c in kind.split(", ")])
+        # columns of objects: else pandas puts NaN, which is no list, where a record is lacking
+        records = [record(t) for t in texts]
+        return pd.DataFrame({name: pd.Series([r.get(name) for r in records], dtype=object) for name in (c.split()[0] for c in kind.split(", "))})
 
     return xml.withColumn("_r", parse(column)).select(*(c for c in xml.columns if c != column), "_r.*")
 

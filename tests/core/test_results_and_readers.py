@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lexigrid.operators import answers, chunking, tables
 from lexigrid.operators.chunking import Sentences
-from lexigrid.plans import workflows
+from lexigrid.plans import search_queries, workflows
 from lexigrid.sources import readers
 
 BASE = datetime.datetime(2024, 1, 1)
@@ -139,3 +139,17 @@ def test_sentences_are_packed_with_tails(spark):
         assert got[80] == [] and got[81] == []
     packer = Sentences(3, 10)
     assert packer.pieces("abcdefghij") == ["abc", "def", "ghi", "j"] and packer.packed(["x abcdefg yz"]) == ["x", "abc", "def", "g", "yz"]
+
+
+def test_broken_article_beside_a_whole_one(spark):
+    """A text that is no XML stands in one batch with others."""
+    rows = [(1, "<A><PMID>7</PMID><PubDate>1999 May</PubDate><Author><LastName>B</LastName></Author></A>"), (2, "<A>cut &amp</A>"), (3, None)]
+    out = readers.article_records(spark.createDataFrame(rows, "k int, xml string").coalesce(1)).orderBy("k").collect()
+    assert [(r["pmid"], r["year"], r["authors"], r["mesh"]) for r in out] == [("7", 1999, ["B"], []), (None,) * 4, (None,) * 4]
+
+
+def test_page_records_keep_titles_with_signs(spark, tmp_path):
+    html = [(1, '<html lang="en"><title>A &lt; B &amp</title>'), (2, "<html lang='de'><title>R&D <b ]]></title>"), (3, '<html lang="fr"><title>C</title>')]
+    spark.createDataFrame(html, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    out = search_queries.page_records(spark, str(tmp_path)).orderBy("page_id").collect()
+    assert [r["title"] for r in out] == ["A and B &amp end", "R&D <b ]]> end", "C end"] and [r["pmid"] for r in out] == ["1", "2", "3"]
