@@ -17,8 +17,8 @@ from ..functions.text import canonical_doi, first_nonblank, nonblank
 OVERFETCH, MOST_CHUNKS = 8, 400
 #: Queries that a task holds beside its chunks; more of them are dealt into groups, each with a scan of the chunks.
 QUERY_GROUP = 2048
-#: Differences of vectors' numbers that a task holds at once.
-DIFFERENCES = 1 << 22
+#: Scores, or differences of vectors' numbers, that a task holds at once.
+DIFFERENCES = 1 << 20
 FILTER_KEYS = ("doi", "disease", "source_type", "year", "year_min", "year_max")
 
 
@@ -44,6 +44,47 @@ def compile_filters(filters: dict | None, columns: dict[str, str] | None = None)
     return reduce(lambda a, b: a & b, terms, F.lit(True))
 
 
+def _scores(q: np.ndarray, x: np.ndarray, distance: str) -> np.ndarray:
+    """Scores of queries (rows) and vectors (columns), rounded to nine places; NaN where there is none. They are worked out in place."""
+    if distance == "euclid":
+        s = q[:, None, :] - x[None, :, :]
+        s *= s
+        s = np.sqrt(s.sum(2))
+        np.negative(s, out=s)
+    else:
+        s = q @ x.T
+        if distance == "cosine":
+            size = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
+            np.divide(s, size, out=s, where=size > 0)
+            s[~(size > 0)] = np.nan
+    return np.round(s, 9, out=s)
+
+
+def _chosen(s: np.ndarray, floor: np.ndarray, k: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
+    """Places and values of the k best scores of each row, those under its floor left out; of equal ones the first."""
+    usable = s >= floor[:, None]  # no NaN is
+    if s.shape[1] > k and usable.sum() > k * len(s):
+        # where a row has more than k, its k-th best is the new floor
+        more = np.flatnonzero(usable.sum(1) > k)
+        own = np.where(usable[more], s[more], -np.inf)
+        usable[more] &= s[more] >= np.partition(own, own.shape[1] - k, axis=1)[:, own.shape[1] - k, None]
+    rows, columns = np.nonzero(usable)
+    values = s[rows, columns]
+    order = np.lexsort((columns, -values, rows))
+    order = order[_first_of_each(order, rows, k)]
+    return (rows[order], columns[order]), values[order]
+
+
+def _in_order(at: np.ndarray, score: np.ndarray, point: np.ndarray) -> np.ndarray:
+    return pd.DataFrame({"at": at, "score": -score, "point": point}).sort_values(["at", "score", "point"]).index.to_numpy()
+
+
+def _first_of_each(order: np.ndarray, groups: np.ndarray, k: int) -> np.ndarray:
+    """Of rows in this order, by groups, if they are among the first k of their group."""
+    own = groups[order]
+    return np.arange(len(own)) - np.searchsorted(own, own, "left") < k
+
+
 def knn(queries: DataFrame, chunks: DataFrame, k: int, distance: str = "cosine", where: Column | None = None) -> DataFrame:
     """The k chunks nearest to each query: query_id, point_id, score, rank (ties: smaller point_id).
 
@@ -62,34 +103,29 @@ def knn(queries: DataFrame, chunks: DataFrame, k: int, distance: str = "cosine",
 
         def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             own, q = shared.value
-            kept: pd.DataFrame | None = None
+            # the k best of every query so far: its place, score and point
+            at, top, which = np.empty(0, int), np.empty(0), None
+            floor = np.full(len(q), -np.inf)  # no score under it can be among them
             for batch in batches:
-                batch = batch[batch.vector.notna()]
+                batch = batch[batch.vector.notna()].sort_values("point_id")
                 if not len(own) or not len(batch):
                     continue
-                x = np.array(batch.vector.tolist(), float)
-                if distance == "euclid":
-                    s = np.empty((len(q), len(x)))
-                    step = max(1, DIFFERENCES // max(1, x.size))
-                    for i in range(0, len(q), step):
-                        s[i : i + step] = -np.sqrt(((q[i : i + step, None, :] - x[None, :, :]) ** 2).sum(2))
-                else:
-                    s = q @ x.T
-                    if distance == "cosine":
-                        size = np.sqrt((q * q).sum(1))[:, None] * np.sqrt((x * x).sum(1))[None, :]
-                        s = np.divide(s, size, out=np.full_like(s, np.nan), where=size > 0)
-                s = np.round(s, 9)
-                points = batch.point_id.to_numpy()
-                take = min(k, len(points))
-                found = []
-                for i, name in enumerate(own):
-                    order = np.lexsort((points, -s[i]))[:take]
-                    order = order[~np.isnan(s[i][order])]
-                    found.append(pd.DataFrame({"query_id": name, "point_id": points[order], "score": s[i][order]}))
-                kept = pd.concat([*found, *([kept] if kept is not None else [])])
-                kept = kept.sort_values(["query_id", "score", "point_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            if kept is not None:
-                yield kept
+                x, points = np.array(batch.vector.tolist(), float), batch.point_id.to_numpy()
+                which = points[:0] if which is None else which
+                found = [(at, top, which)]
+                step = max(1, DIFFERENCES // max(1, x.size if distance == "euclid" else len(x)))
+                for i in range(0, len(q), step):
+                    rows, s = _chosen(_scores(q[i : i + step], x, distance), floor[i : i + step], k)
+                    found.append((rows[0] + i, s, points[rows[1]]))
+                at, top, which = (np.concatenate(c) for c in zip(*found, strict=True))
+                # earlier batches may hold smaller points
+                keep = _first_of_each(order := _in_order(at, top, which), at, k)
+                at, top, which = (c[order][keep] for c in (at, top, which))
+                full = np.flatnonzero(np.bincount(at, minlength=len(q)) == k)
+                floor[full] = top[np.searchsorted(at, full, "right") - 1]
+            if len(at):
+                names = pd.Series(own).to_numpy()[at]
+                yield pd.DataFrame({"query_id": names, "point_id": which, "score": top})
 
         return pool.mapInPandas(best, f"query_id {kind}, point_id {point}, score double")
 

@@ -3,7 +3,10 @@
 import json
 import math
 import random
+import tracemalloc
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -79,6 +82,46 @@ def test_knn_euclid_copies_and_groups(spark, monkeypatch, group):
     assert "Join" not in plan
 
 
+@pytest.mark.parametrize("distance", ["cosine", "dot", "euclid"])
+@pytest.mark.parametrize("named", [int, "p{:03}".format])
+def test_knn_of_many_ties_over_small_batches(spark, distance, named):
+    rnd = random.Random(5)
+    draw = lambda: [float(rnd.randint(-2, 2)) for _ in range(3)]
+    asked, known = [(i, draw()) for i in range(30)], [(named(i), draw()) for i in rnd.sample(range(900), 400)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "60")
+    try:
+        out = retrieval.knn(spark.createDataFrame(asked, "query_id long, vector array<double>"), spark.createDataFrame(known, f"point_id {'long' if named is int else 'string'}, vector array<double>").coalesce(2), 7, distance).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+    def score(a, b):
+        dot, sizes = sum(x * y for x, y in zip(a, b, strict=True)), sum(x * x for x in a) * sum(x * x for x in b)
+        return {"dot": dot, "euclid": -math.dist(a, b), "cosine": dot / math.sqrt(sizes) if sizes else None}[distance]
+
+    expected = []
+    for i, a in asked:
+        scored = sorted((-round(s, 9), p) for p, b in known if (s := score(a, b)) is not None)[:7]
+        expected += [(i, p, -s, n) for n, (s, p) in enumerate(scored, 1)]
+    assert sorted((r["query_id"], r["point_id"], r["score"], r["rank"]) for r in out) == sorted(expected)
+
+
+def test_knn_holds_few_scores_at_once(spark, monkeypatch):
+    steps, kind = [], type(spark.range(1))
+    keep = kind.mapInPandas
+    monkeypatch.setattr(kind, "mapInPandas", lambda self, f, schema: steps.append(f) or keep(self, f, schema))
+    rng = np.random.default_rng(3)
+    asked, known = rng.normal(size=(1000, 8)), rng.normal(size=(8000, 8))
+    retrieval.knn(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "query_id long, vector array<double>"), spark.createDataFrame([], "point_id long, vector array<double>"), 5)
+    batch = pd.DataFrame({"point_id": range(8000), "vector": list(known)})
+    tracemalloc.start()
+    out = pd.concat(steps[0](iter([batch, batch.assign(point_id=batch.point_id + 8000)])))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 80e6  # all scores of a batch are 64 MB, of which several copies were held
+    scores = asked @ known.T / np.linalg.norm(asked, axis=1)[:, None] / np.linalg.norm(known, axis=1)
+    assert (np.sort(out.sort_values("query_id").score.to_numpy().reshape(1000, 5)) == np.round(np.sort(np.repeat(scores, 2, axis=1))[:, -5:], 9)).all()
+
+
 def test_rerank_orders(spark):
     q = spark.createDataFrame([(1, "deep clot")], "query_id long, question string")
     same = candidates(spark, [(1, "c1", 0.9, "deep clot", "Methods"), (1, "c2", 0.8, "deep clot", "Results")])
