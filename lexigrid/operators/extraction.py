@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.status import precision_recall_f1
+from ..functions.storage import computed_once
 from ..functions.text import doi_from_plain, nonblank, plain_spaced
 from ..functions.variants import members, texts, words
 from .evaluation import alias_hits
@@ -55,13 +56,14 @@ def evaluate(answers: DataFrame, gold: DataFrame, aliases: DataFrame, policy: Po
     answers: line (unique), query_id, mode, raw (VARIANT); gold: doi (normalised), factors; aliases: canonical, alias (plain_spaced), place.
     A blank query_id becomes row_<line>, a blank mode the one given. Predicted are the canonical forms of the answer's names (in a closed set only
     known ones), and by the policy also the factors in its summary and in its citations' snippets. Gold is the union over cited DOIs that are known.
-    With no_gold 'skip', answers without gold factors are excluded.
+    With no_gold 'skip', answers without gold factors are excluded. The answers are read once, before this returns.
     """
     raw = F.col("raw")
-    parts = answers.select(
+    # read several times below, and small beside the answers: these are parsed once
+    parts = computed_once(answers.select(
         F.col("line").cast("long").alias("key"), F.coalesce(nonblank(F.col("query_id").cast("string")), F.concat(F.lit("row_"), "line")).alias("query_id"), F.coalesce(nonblank(F.col("mode")), F.lit(mode)).alias("mode"),
         factor_names(raw, policy.aliases).alias("names"), words(raw, "$.answer.summary").alias("summary"), citation_snippets(raw).alias("snippets"), cited_dois(raw).alias("cited"),
-    )
+    ))
     names = parts.select("key", F.explode(F.array_distinct("names")).alias("name"))
     known = canonical_factor(names.select("name").distinct(), aliases).where("canonical <> ''")
     if policy.closed_set:

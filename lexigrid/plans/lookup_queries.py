@@ -42,8 +42,10 @@ def fetched_documents(spark, sf_dir):
 def extraction_policies(spark, sf_dir):
     """Answers made of documents: their first two words as names, their beginnings as summaries, held against the gold of two cited DOIs."""
     docs = table(spark, sf_dir, "documents")
-    words = F.split(text.plain_spaced(F.col("text")), " ")
-    factor = F.struct(F.get(words, F.lit(0)).alias("normalized_name"), F.array(F.get(words, F.lit(1))).alias("aliases"))
+    # the words of text.plain_spaced(), of which the first two are read from the text's beginning
+    low = F.lower(F.coalesce("text", F.lit("")))
+    word = lambda before: F.regexp_extract(low, f"^{before}[^a-z0-9]*+([a-z0-9]++)", 1)
+    factor = F.struct(word("").alias("normalized_name"), F.array(word("[^a-z0-9]*+[a-z0-9]++")).alias("aliases"))
     cite = lambda k: F.struct(F.concat(F.lit("https://doi.org/10.5/"), (k % 70).cast("string")).alias("doi"))
     raw = F.struct(F.struct(F.left("text", F.lit(60)).alias("summary"), F.array(factor).alias("risk_factors")).alias("answer"), F.array(cite(F.col("doc_id")), cite(F.col("doc_id") * 7)).alias("citations"))
     made = docs.select(F.col("doc_id").alias("line"), F.when(F.col("doc_id") % 10 != 0, F.concat(F.lit("q"), "doc_id")).alias("query_id"), F.col("lang").alias("mode"), F.parse_json(F.to_json(raw)).alias("raw"))

@@ -85,3 +85,19 @@ def test_odd_answers(spark):
     assert [r["excluded"] for r in rows.orderBy("line").collect()] == [True] * 4 + [False] and m["micro_f1"] == 1.0
     with pytest.raises(ValueError):
         Policy(no_gold="other")
+
+
+def test_answers_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def read(text):
+        seen.add(1)
+        return text
+
+    aliases = extraction.closed_aliases(spark.createDataFrame([("obesity", "obesity", 0)], "canonical string, alias string, place int"))
+    truth = spark.createDataFrame([("10 1000 a", ["obesity"])], "doi string, factors array<string>")
+    raw = json.dumps(an_answer(["obesity"], ["10.1000/A"], summary="obesity"))
+    df = spark.createDataFrame([(k, f"q{k}", None, raw) for k in range(20)], "line int, query_id string, mode string, raw string").select("line", "query_id", "mode", F.parse_json(read("raw")).alias("raw"))
+    rows = extraction.evaluate(df, truth, aliases, Policy(closed_set=True, summary=True, snippets=True)).collect()
+    assert len(rows) == 20 and {r["tp"] for r in rows} == {1} and seen.value == 20
