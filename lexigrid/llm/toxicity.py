@@ -16,6 +16,7 @@ from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -50,20 +51,42 @@ def letter_numbers(codes: np.ndarray) -> np.ndarray:
     return out
 
 
+#: Numbers of the first codes, and letter trigrams that are counted together.
+NUMBER_OF = letter_numbers(np.arange(256, dtype=np.uint32)).astype(np.int32)
+COUNTED = 1 << 20
+
+
+def _trigrams(low: str) -> np.ndarray:
+    """Numbers of the letter trigrams of a text, which is lower-cased."""
+    if low.isascii():
+        n = NUMBER_OF[np.frombuffer(low.encode(), np.uint8)]
+    else:
+        n = letter_numbers(np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)).astype(np.int32)
+    # a boundary before and after each word, whatever stands between words
+    some = n > 0
+    some[1:] |= some[:-1].copy()
+    some[:1] = True
+    n = n[some]
+    return (n[:-2] * LETTERS + n[1:-1]) * LETTERS + n[2:]
+
+
 def count_trigrams(docs: DataFrame, text_col: str) -> np.ndarray:
     """Letter trigrams of all texts; a table of LETTERS ** 3 numbers whatever the corpus."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, some = np.zeros(LETTERS**3, np.int64), False
+        waiting, size = [], 0
         for batch in batches:
             for value in column(batch, text_col):
                 text = value.as_py()
                 for at in range(0, len(text or ""), 1 << 20):
                     some = True
-                    codes = np.frombuffer(text[max(0, at - 2) : at + (1 << 20)].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-                    n = letter_numbers(codes)
-                    # a boundary before and after each word, whatever stands between words
-                    n = n[(n > 0) | np.concatenate([[True], n[:-1] > 0])]
-                    cells += np.bincount((n[:-2] * LETTERS + n[1:-1]) * LETTERS + n[2:], minlength=LETTERS**3) if len(n) > 2 else 0
+                    waiting.append(_trigrams(text[max(0, at - 2) : at + (1 << 20)].lower()))
+                    size += len(waiting[-1])
+                    if size >= COUNTED:
+                        cells += np.bincount(np.concatenate(waiting), minlength=LETTERS**3)
+                        waiting, size = [], 0
+        if waiting:
+            cells += np.bincount(np.concatenate(waiting), minlength=LETTERS**3)
         if some:
             yield numbers_of_task(np.split(cells, PARTS))
 
@@ -99,6 +122,17 @@ class Restorer:
         first = next((k for k, c in enumerate(written) if c.isalnum()), len(written))
         final = next((k for k in range(len(written) - 1, -1, -1) if written[k].isalnum()), -1)
         for at, c in enumerate(written):
+            if c not in IMITATES and c.isalpha():  # stands for itself, or repeats the letter before
+                k, now = number(c), {}
+                for (a, b), (cost, letters, last) in ends.items():
+                    total = cost + costs[a][b][k]
+                    key = (b, k)
+                    if key not in now or total < now[key][0]:
+                        now[key] = (total, (letters, c), c)
+                    if last == c and letters and ((a, b) not in now or cost + REPEAT < now[a, b][0]):
+                        now[a, b] = (cost + REPEAT, letters, last)
+                ends = now
+                continue
             arcs: list[tuple[str, float]] = []
             if c.isalpha():
                 arcs.append((c, 0.0))
@@ -144,8 +178,10 @@ SIGNS = re.compile(r"[^\W\d_].*[\d\W_]|[\d@$!|+€£*(].*[^\W\d_]")
 
 #: Signs that can stand for nothing only.
 SILENT = ".,;:?\"')]"
-#: Letters of a feature that a disguised word must be able to begin with.
+#: Words of fewer letters are no whole words of a run, and white space doesn't break them up.
 BEGIN = 4
+#: First characters of a token that settle whether it can begin like a feature.
+HEAD = 4
 
 
 class Beginnings:
@@ -153,12 +189,22 @@ class Beginnings:
     some feature begins so; no path that decode() may take is left out."""
 
     def __init__(self, wanted: Iterable[str]):
-        words = {f[1:] for f in wanted}
-        self.short = {w for w in words if len(w) < BEGIN}
-        self.begun = {w[:k] for w in words for k in range(min(len(w), BEGIN) + 1)}
+        wanted = set(wanted)
+        self.whole = {f[1:] for f in wanted if f[0] == "="}
+        self.leads = {f[1:] for f in wanted if f[0] == "^"}
+        self.begun = {w[:k] for w in self.whole | self.leads for k in range(len(w) + 1)}
+
+    def begins(self, written: str) -> bool:
+        """May what begins so stand for a word that shows a feature?"""
+        return self.walk(written) != set()
 
     def meets(self, written: str) -> bool:
-        begun, alive = self.begun, {""}
+        alive = self.walk(written)
+        return alive is None or not alive.isdisjoint(self.whole)
+
+    def walk(self, written: str) -> set[str] | None:
+        """Beginnings of features that the written characters lead to; None if one of them is a feature of its own."""
+        begun, leads, alive = self.begun, self.leads, {""}
         for c in written:
             means = (c if c.isalnum() else "") + IMITATES.get(c, "")
             now = set()
@@ -166,15 +212,15 @@ class Beginnings:
                 for m in means:
                     longer = w + m
                     if longer in begun:
-                        if len(longer) == BEGIN:
-                            return True
+                        if longer in leads:
+                            return None
                         now.add(longer)
                 if not c.isalnum() or (w and w[-1] in means):  # a sign that stands for nothing, or a repeat
                     now.add(w)
             alive = now
             if not alive:
-                return False
-        return not alive.isdisjoint(self.short)
+                break
+        return alive
 
 
 class Parts:
@@ -222,17 +268,22 @@ class Parts:
             known = self.leads[token, start] = bool(self.read(set(self.opened(token)), start))
         return known
 
-    def of(self, written: list[str]) -> set[str]:
-        if not self.whole:
-            return set()
+    def of(self, written: list[str], opens: set[str] | None = None) -> set[str]:
+        """opens: those of the tokens that open a word, if known."""
         spans, opened = set(), self.opened
-        opens = {w for w in set(written) if opened(w)}
+        if opens is None:
+            opens = set(filter(opened, set(written)))
+        if not opens:
+            return spans
         known, goes_on = self.leads.get, self.goes_on
-        starts = [w[:3] for w in written]
-        for k, pair in enumerate(zip(written, starts[1:])):
-            if pair[0] not in opens or not (goes_on(*pair) if (may := known(pair)) is None else may):
+        for k in compress(range(len(written) - 1), map(opens.__contains__, written)):
+            token, after = written[k], written[k + 1]
+            # what can't go on with a first character can't with more, and few pairs of a token and a character differ
+            if not (goes_on(*pair) if (may := known(pair := (token, after[:1]))) is None else may):
                 continue
-            alive, at = opened(pair[0]), k + 1
+            if not (goes_on(*pair) if (may := known(pair := (token, after[:3]))) is None else may):
+                continue
+            alive, at = opened(token), k + 1
             while at < len(written) and (alive := self.after(alive, written[at])):
                 at += 1
                 # three and more single characters are a spaced run
@@ -242,15 +293,46 @@ class Parts:
 
 
 class Words:
-    """Restored words of texts; with `wanted` features, disguised words that can't show one of them are left out. With
-    `parts`, words of these features that white space breaks up are found too."""
+    """Restored words of texts; with `wanted` features, words that show none of them are left out (and disguised ones that
+    can't are not decoded). With `parts`, words of these features that white space breaks up are found too."""
 
     def __init__(self, costs: np.ndarray, wanted: Iterable[str] | None = None, parts: bool = False):
         self.restorer = Restorer(costs)
         self.cache: dict[str, tuple[str, ...]] = {}
-        self.meets = (lambda _: True) if wanted is None else Beginnings(wanted).meets
+        self.all = wanted is None
+        wanted = frozenset(wanted or ())
+        self.whole, self.leads = ({f[1:] for f in wanted if f[0] == kind} for kind in "=^")
+        beginnings = Beginnings(wanted)
+        self.meets = (lambda _: True) if self.all else beginnings.meets
+        self.begins = lru_cache(1 << 16)(beginnings.begins)
         self.parts = Parts(wanted) if parts else None
         self.spans: dict[str, str] = {}
+        #: What is known of tokens: forms that show something, those that open a word, those of them that show nothing, and all others.
+        self.shown: dict[str, tuple[str, ...]] = {}
+        self.opens: set[str] = set()
+        self.only_opens: set[str] = set()
+        self.nothing: set[str] = set()
+
+    def shows(self, word: str) -> bool:
+        return word in self.whole or word[:4] in self.leads or word[:5] in self.leads
+
+    def learn(self, token: str) -> None:
+        """Notes forms of a token that show something, and whether it opens a word."""
+        bare = token.rstrip(SILENT)
+        if bare.isalpha() and not DOUBLE.search(bare):  # its only form; as what it may open, see Parts.read()
+            shown = (bare,) if self.shows(bare) else ()
+            opens = self.parts is not None and bare in self.parts.begun
+        elif not self.begins(token[:HEAD]):  # no reading of it goes on, its own letters included
+            shown, opens = (), False
+        else:
+            shown = tuple(filter(self.shows, self.forms(token)))
+            opens = self.parts is not None and bool(self.parts.opened(token))
+        if opens:
+            self.opens.add(token)
+        if shown:
+            self.shown[token] = shown
+        else:
+            (self.only_opens if opens else self.nothing).add(token)
 
     def joined(self, span: str) -> str:
         """What a span of tokens stands for; empty if its likeliest reading keeps it apart."""
@@ -275,18 +357,30 @@ class Words:
                     known = (self.restorer.decode(core),) if self.meets(core) else ()
             elif DOUBLE.search(word) and self.meets(word) and (meant := self.restorer.decode(word)) != word:
                 known = (word, meant)
-            if len(self.cache) >= CACHE:
-                self.cache.clear()
-            self.cache[token] = known
+            if self.all:  # else learn() keeps what it takes from this
+                if len(self.cache) >= CACHE:
+                    self.cache.clear()
+                self.cache[token] = known
         return known
 
     def of(self, text: str | None) -> tuple[set[str], list[str]]:
         """Distinct restored words, and restored runs of spaced letters (which may hold several words)."""
         low = (text or "").lower()
         written, known = low.split(), self.cache.get
-        found = {f for w in set(written) for f in known(w) or self.forms(w)}
-        if self.parts is not None:
-            found |= {self.joined(span) for span in self.parts.of(written)}
+        if self.all:
+            found = {f for w in set(written) for f in known(w) or self.forms(w)}
+        else:
+            if len(self.nothing) + len(self.opens) + len(self.shown) >= CACHE:  # never within a text
+                for tokens in (self.nothing, self.opens, self.only_opens, self.shown):
+                    tokens.clear()
+            rest, found, shown = set(written).difference(self.nothing), set(), self.shown
+            for w in rest.difference(self.only_opens):
+                if w not in shown:
+                    self.learn(w)
+                if w in shown:
+                    found.update(shown[w])
+            if self.parts is not None:
+                found |= {self.joined(span) for span in self.parts.of(written, rest.intersection(self.opens))}
         found.discard("")
         if b"\1\1\1" not in bytes(map((1).__eq__, map(len, written))):  # no three single characters in a row
             return found, []

@@ -129,3 +129,23 @@ def test_no_labels_and_no_rows(spark):
     rows = spark.createDataFrame([(1, "an idiot", None, 1)], DOCS)
     assert [r["predicted"] for r in score_documents(rows, none).collect()] == [0]
     assert score_documents(spark.createDataFrame([], DOCS), none).count() == 0
+
+
+def test_only_words_that_show_something_are_kept(spark):
+    costs = trigram_costs(count_trigrams(spark.createDataFrame(corpus()[0], DOCS), "text"))
+    wanted = {"=moron", "=idiot", "^path"}
+    all_words, some = Words(costs), Words(costs, wanted, parts=True)
+    for text in ("bridge m0r0n, people", "the Patthetic river", "(idiot) mo ron x9", "walk bridge", "", None):
+        shown = {w for w in all_words.of(text)[0] if wanted & set(features(w))}
+        found = some.of(text)[0]
+        assert shown == {w for w in found if w not in map(some.joined, some.parts.of((text or "").lower().split()))} | (shown & found)
+        assert all(wanted & set(features(w)) for w in found)
+    assert {"bridge", "people", "the", "walk"} <= some.nothing | some.only_opens and not some.cache
+
+
+def test_trigrams_of_many_texts_count_like_those_of_each(spark):
+    texts = ["a", "", None, "Ab!c d", "é İx", "zz" * 5, "Ünder the bridge"]
+    rows = [(k, t, None) for k, t in enumerate(texts)]
+    whole = count_trigrams(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(1), "text")
+    each = sum(count_trigrams(spark.createDataFrame([r], "doc_id long, text string, source string"), "text") for r in rows)
+    assert (whole == each).all() and whole.sum() > 0
