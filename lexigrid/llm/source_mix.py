@@ -23,7 +23,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 #: Documents of a source that are numbered together, about.
 NUMBERED = 4096
@@ -113,12 +113,14 @@ def rounds(blocks: DataFrame, length: int, reach: int) -> DataFrame:
     per_round = per_round.join(counts, ["start", "p"], "left").fillna(0, ["n"]).withColumn("far", F.expr(f"p div {NUMBERED}"))
     far = per_round.groupBy("start", "far").agg(F.sum("n").alias("n")).withColumn("before", F.sum("n").over(Window.partitionBy("start").orderBy("far")) - F.col("n")).select("start", "far", "before")
     sums = per_round.join(far, ["start", "far"]).withColumn("released", F.col("before") + F.sum("n").over(Window.partitionBy("start", "far").orderBy("p")))
-    sums = sums.select("start", "p", (F.col("released") - F.col("n")).alias("before"), (F.col("released") - (F.col("p") + 1) * length).alias("at_end"))
+    # each step is stored: the next one reads it several times, and its plan would hold that of the step as often
+    sums = stored(sums.select("start", "p", (F.col("released") - F.col("n")).alias("before"), (F.col("released") - (F.col("p") + 1) * length).alias("at_end")), "sums")
     own = Window.partitionBy("start", "p")
     waiting = rows.join(sums, ["start", "p"]).withColumn("earlier", F.count("*").over(own.orderBy("begin").rangeBetween(Window.unboundedPreceding, -1)))
     waiting = waiting.withColumn("u", F.col("before") + F.col("earlier") - F.col("begin") + F.col("start"))
     # the least U between a block's release and the end of its round, and that of whole rounds
     waiting = waiting.withColumn("least", F.least("at_end", F.min("u").over(own.orderBy(F.desc("begin")).rangeBetween(Window.unboundedPreceding, -1))))
+    waiting = stored(waiting.select("number", "block", "deadline", "start", "begin", "p", "last", "u", "least"), "waiting")
     whole = waiting.groupBy("start", "p").agg(F.min("u").alias("u"))
     whole = sums.join(whole, ["start", "p"], "left").select("start", F.explode(F.expr(f"sequence(p + 1, p + {reach})")).alias("e"), F.struct("p", F.least("u", "at_end").alias("u")).alias("m"))
     whole = whole.groupBy("start", "e").agg(F.collect_list("m").alias("mins"))
@@ -143,20 +145,22 @@ def rounds(blocks: DataFrame, length: int, reach: int) -> DataFrame:
     left = open_at.select(F.explode(left).alias("j")).groupBy("j.number", "j.block").agg(F.count("*").alias("ends"))
     out = rows.join(left, ["number", "block"], "left").withColumn("p", F.col("p") + F.coalesce("ends", F.lit(0)))
     begin = F.expr(f"start + p * {length}")
-    return out.select("number", "block", "release", "deadline", begin.alias("start"), F.least("stop", begin + length).alias("stop"))
+    out = stored(out.select("number", "block", "release", "deadline", begin.alias("start"), F.least("stop", begin + length).alias("stop")), "rounds")
+    discard(sums, waiting)
+    return out
 
 
 def timetable(spark: SparkSession, groups: list[tuple[list[int], list[int], list[float]]], slots: int) -> DataFrame:
     """number (of a source), block (from 0), round, slot, release, deadline of all blocks of the groups (see windows())."""
-    blocks = windows(spark, groups)
+    blocks = stored(windows(spark, groups), "blocks")
     # no window is longer than this: the pace is highest before any source has run out
     longest = max((min(sum(b), sum(k) // min(k) + 2) for _, b, raw in groups for k in [whole_weights(raw)]), default=1)
     lengths = [slots]
     while lengths[-1] * REACH < longest:
         lengths.append(lengths[-1] * REACH)
     for length in reversed(lengths):
-        # each step reads its blocks several times: a second step would compute the first one as often
-        blocks = rounds(blocks if len(lengths) == 1 else stored(blocks, "blocks"), length, -(-longest // length) + 1)
+        before, blocks = blocks, rounds(blocks, length, -(-longest // length) + 1)
+        discard(before)
         longest = length
     each = blocks.groupBy("start", "stop").agg(F.collect_list(F.struct("deadline", "number", "block", "release")).alias("jobs"))
     picked = F.expr(
@@ -234,6 +238,6 @@ def in_mix_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sou
     tag = F.xxhash64(*(F.coalesce(docs[c].cast("string"), F.lit("null")) for c in docs.columns))
     thin = docs.select(number.alias("id"), tag.alias("tag"), docs[source_col].alias("source"))
     placed = mix_documents(thin, id_col="id", source_col="source", **options)
-    first = placed.groupBy(F.col("row.id").alias("id"), F.col("row.tag").alias("tag")).agg(F.min(F.struct("slot", "place")).alias("at"))
+    first = stored(placed.groupBy(F.col("row.id").alias("id"), F.col("row.tag").alias("tag")).agg(F.min(F.struct("slot", "place")).alias("at")), "places")
     whole = docs.select(number.alias("id"), tag.alias("tag"), F.struct(*(docs[c] for c in docs.columns)).alias("row"))
     return whole.join(first, ["id", "tag"]).orderBy("at").select("row.*")

@@ -126,3 +126,11 @@ def test_edges(spark):
     assert in_mix_order(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
         mix_documents(spark.createDataFrame(rows, SCHEMA), {"": -1.0})
+
+
+def test_the_plan_of_the_mix_stays_small(spark):
+    """Each step reads stored tables: plans that hold those of all steps before took the driver's memory."""
+    docs = spark.createDataFrame([(i, f"t{i}", "abc"[i % 3], i, "x") for i in range(200)], SCHEMA)
+    out = in_mix_order(docs, block_docs=4, slots=8)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+    assert out.count() == 200
